@@ -32,7 +32,7 @@ class PatternError(ValueError):
 def _clauses(query: str) -> list[tuple[str, str]]:
     masked = _STRING.sub(lambda m: "'" + "x" * (len(m[0]) - 2) + "'", query)
     at = [(m.start(), m.end(), re.sub(r"\s+", " ", m[1].upper())) for m in _CLAUSE.finditer(masked)]
-    if not at or masked[: at[0][0]].strip():
+    if not at or at[0][2] != "MATCH" or masked[: at[0][0]].strip():
         raise PatternError("a query begins with MATCH")
     ends = [x[0] for x in at[1:]] + [len(query)]
     return [(kind, query[e:z].strip().rstrip(";")) for (_, e, kind), z in zip(at, ends)]
