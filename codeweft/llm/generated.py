@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.php_syntax import _DQ, _SQ, _NAME
+from codeweft.llm.php_syntax import _DQ, _NAME, _SQ
+from codeweft.session import cut
 
 #: What generators write into a comment of their output.
 MARKERS = re.compile(
@@ -19,6 +20,8 @@ MARKERS = re.compile(
     | \boutput\s+of\s+[`'"] | \bdo\s+not\s+touch:\s | \bwritten\s+by\s+the\s+\w+\s+(?:exporter|generator|builder|compiler|dumper)\b | \brun\s+[`'"].+[`'"]\s+to\s+(?:rebuild|regenerate|refresh)\b
     | \bthis\s+file\s+(?:is|was)\s+(?:auto|generated|created\s+by|built\s+by)"""
 )
+#: Each marker holds one of these in lower case; they are looked for first, as that is fast.
+_MARKER_PARTS = ("generat", "erzeugt", "génér", "scaffold", "machine", "compiled ", "produced by", "output of", "do not touch", "written by", "to rebuild", "to refresh", "this file ")
 #: A licence banner as third parties ship it.
 BANNER = re.compile(r"(?is)^\s*(?:<\?php\s*)?/\*[*!]?(?:(?!\*/).){0,400}?(?:@license\b(?:(?!\*/).)*\bLICENSE\b|\bv?\d+\.\d+(?:\.\d+)?\b(?:(?!\*/).)*(?:released|licen[sc]ed)\s+under\b)")
 _STRINGS_AND_COMMENTS = re.compile(
@@ -33,7 +36,8 @@ MIN_SHARED = 150
 
 def _marked(text: str) -> bool:
     """Whether a comment outside strings names a generator, in the head of the file or after its last code."""
-    if not MARKERS.search(text):
+    low = text.lower()
+    if not any(x in low for x in _MARKER_PARTS) or not MARKERS.search(text):
         return False
     at = depth = 0
     for m in _STRINGS_AND_COMMENTS.finditer(text):
@@ -46,53 +50,53 @@ def _marked(text: str) -> bool:
 
 
 _NUMBER = re.compile(r"-?\b\d[\d.]*(?:e[+-]?\d+)?\b")
-_BLOB = re.compile(r"[A-Za-z0-9+/=]{60,}")
+_BLOB = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{60,}+")
 _STUB = re.compile(r"^\s*\*\s*@(?:method|property(?:-read|-write)?|mixin)\b.*$", re.M)
 
 
+def _numbers(text: str, share: float, solid: int) -> bool:
+    """Whether numbers make up more than a share of the characters; counted exactly only where the digits allow it."""
+    if sum(map(text.count, "0123456789")) < 0.6 * share * solid:
+        return False
+    return sum(len(m[0]) for m in _NUMBER.finditer(text)) > share * solid
+
+
 def layout(extension: str, text: str) -> str | None:
     """Why the layout of a text is a tool's and not a person's."""
     n = len(text)
-    if n == 0:
+    if n == 0 or extension not in (".json", ".js", ".php"):
         return None
-    bare = text.strip()
+    space = sum(map(text.count, " \t\r\n"))
+    solid = n - space
     if extension == ".json":
-        head = bare[:400]
+        head = text.lstrip()[:400]
         if '"mappings"' in text and '"sources"' in text and re.search(r'"version"\s*:\s*\d', head):
             return "source map"
         if re.search(r'"(?:content-hash|lockfileVersion|shasum|integrity)"\s*:', text) and re.search(r'"(?:packages|dependencies|dist)"\s*:', text):
             return "lock file"
-        if re.search(r'"type"\s*:\s*"FeatureCollection"', head) and n > 1000:
+        if n > 1000 and re.search(r'"type"\s*:\s*"FeatureCollection"', head):
             return "data"
-        numbers = sum(len(m[0]) for m in _NUMBER.finditer(text))
-        solid = n - sum(map(text.count, " \t\r\n"))
-        return "data" if n > 4000 and numbers > 0.35 * solid else None
+        return "data" if n > 4000 and _numbers(text, 0.35, solid) else None
     if extension == ".js":
-        space = sum(map(text.count, " \t\r\n"))
-        long_lines = sum(len(x) for x in text.split("\n") if len(x) > 300)
-        if n > 300 and (space < 0.10 * n or (long_lines > 0.8 * n and space < 0.15 * n)):
+        if n > 300 and space < 0.15 * n and (space < 0.10 * n or sum(len(x) for x in text.split("\n") if len(x) > 300) > 0.8 * n):
             return "minified"
-        if n > 1500 and sum(len(m[0]) for m in _NUMBER.finditer(text)) > 0.85 * (n - space):
-            return "data"
-        return None
-    if extension == ".php":
-        if re.match(r"<\?php\s+return\s+array\s*\(\s*\n", text) and re.search(r"=>\s\n\s*array\s\(\n", text):
-            return "cache"
-        if re.match(r"(?:<\?php|\s)*(?:\$__\w+->|/\*\*? ?(?:PATH|SRC)\b)", text) or re.search(r"<\?php /\*\*\s*(?:PATH|SRC)\s.*?\*/ \?>\s*\Z", text):
-            return "compiled template"
+        return "data" if n > 1500 and _numbers(text, 0.85, solid) else None
+    if text.startswith("<?php return") and re.match(r"<\?php\s+return\s+array\s*\(\s*\n", text) and re.search(r"=>\s\n\s*array\s\(\n", text):
+        return "cache"
+    if re.match(r"(?:<\?php|\s)*(?:\$__\w+->|/\*\*? ?(?:PATH|SRC)\b)", text) or re.search(r"<\?php /\*\*\s*(?:PATH|SRC)\s.*?\*/ \?>\s*\Z", text[-400:]):
+        return "compiled template"
+    if "@method" in text or "@property" in text:
         stubs = _STUB.findall(text)
         if len(stubs) >= 3 and sum(map(len, stubs)) > 0.5 * n:
             return "stubs"
-        if n > 600:
-            space = sum(map(text.count, " \t\r\n"))
-            solid = n - space
+    if n > 600:
+        if _numbers(text, 0.4, solid):
+            return "data"
+        # prose and code have more blanks than this
+        if space < 0.22 * n:
             if sum(len(m[0]) for m in _BLOB.finditer(text)) > 0.5 * solid:
                 return "data"
-            numbers = sum(len(m[0]) for m in _NUMBER.finditer(text))
-            if numbers > 0.4 * solid:
-                return "data"
             longest = max(map(len, text.split("\n")))
-            # a table of codes in a row
             if longest > 500 and re.search(r"(?:'[^']{1,40}'\s*=>\s*[\w.'-]+,\s*){20}", text):
                 return "data"
             if space < 0.06 * n and longest > 1000:
@@ -115,7 +119,7 @@ def path_reason(path: Column) -> Column:
 
 def _bare(text: Column) -> Column:
     """A text without comments and white space, for the hash of a file."""
-    return F.regexp_replace(text, r"(?s)/\*.*?\*/|(?m:(?://|#(?!\[))[^\r\n]*$)|\s+", "")
+    return F.translate(F.regexp_replace(text, r"(?s)/\*.*?\*/|//[^\r\n]*|#(?!\[)[^\r\n]*", ""), " \t\r\n", "")
 
 
 def merkle_tree(files: DataFrame) -> DataFrame:
@@ -128,16 +132,17 @@ def merkle_tree(files: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     rows = files.select("repo", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("dir"), (F.size(parts) - 1).alias("depth"), "leaf", F.lit(1).cast("long").alias("n_files"), "n_chars")
     deepest = rows.agg(F.max("depth").alias("d")).first()["d"] or 0
-    out = None
+    out = rows.filter(F.lit(False)).select("repo", "dir", F.col("leaf").alias("hash"), "n_files", "n_chars")
     pending = None
     for level in range(deepest, 0, -1):
         here = rows.filter(F.col("depth") == level).select("repo", "dir", "leaf", "n_files", "n_chars")
         if pending is not None:
             here = here.unionByName(pending)
-        dirs = here.groupBy("repo", "dir").agg(
+        # each level is written once, as the next one and the result both read it
+        dirs = cut(here.groupBy("repo", "dir").agg(
             F.sum(F.xxhash64("leaf").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("leaf", F.lit(7)).cast("decimal(38,0)")).alias("s2"), F.sum("n_files").alias("n_files"), F.sum("n_chars").alias("n_chars")
-        ).select("repo", "dir", F.sha2(F.concat_ws(":", F.col("s1").cast("string"), F.col("s2").cast("string"), F.col("n_files").cast("string")), 256).alias("hash"), "n_files", "n_chars")
-        out = dirs if out is None else out.unionByName(dirs)
+        ).select("repo", "dir", F.sha2(F.concat_ws(":", F.col("s1").cast("string"), F.col("s2").cast("string"), F.col("n_files").cast("string")), 256).alias("hash"), "n_files", "n_chars"), "level")
+        out = out.unionByName(dirs)
         pending = dirs.select("repo", F.when(F.col("dir").contains("/"), F.regexp_replace("dir", "/[^/]*$", "")).otherwise("").alias("dir"), F.col("hash").alias("leaf"), "n_files", "n_chars")
     return out
 
@@ -164,28 +169,30 @@ def file_origins(source_files: DataFrame) -> DataFrame:
 
     code = base.filter(F.col("content").isNotNull() & F.col("ext").isin(".php", ".js"))
     space = F.regexp_extract("content", r"(?m)^\s*namespace\s+([A-Za-z_]\w*)", 1)
-    bare = _bare(F.col("content"))
-    leaves = code.select("file_id", "repo", "path", F.length(bare).cast("long").alias("n_chars"), F.sha2(bare, 256).alias("leaf"), F.when(F.col("ext") == ".php", space).otherwise("").alias("root"), "ext")
+    stripped = code.select("file_id", "repo", "path", _bare(F.col("content")).alias("bare"), F.when(F.col("ext") == ".php", space).otherwise("").alias("root"), "ext")
+    # the texts are hashed once; all that follows reads this small table
+    leaves = cut(stripped.select("file_id", "repo", "path", F.length("bare").cast("long").alias("n_chars"), F.sha2("bare", 256).alias("leaf"), "root", "ext"), "leaves")
     big = leaves.filter(F.col("n_chars") >= MIN_SHARED)
     same_file = _shared(big.select("repo", F.col("leaf").alias("hash")))
     copies = big.join(same_file.withColumnRenamed("hash", "leaf"), "leaf", "left_semi").select("file_id")
     tree = merkle_tree(leaves)
-    same_dirs = tree.filter((F.col("n_files") >= 2) & (F.col("n_chars") >= 2 * MIN_SHARED)) if tree is not None else None
+    same_dirs = tree.filter((F.col("n_files") >= 2) & (F.col("n_chars") >= 2 * MIN_SHARED))
+    shared_dirs = same_dirs.join(_shared(same_dirs.select("repo", "hash")), "hash", "left_semi").select("repo", "dir").distinct()
     parts = F.split("path", "/")
-    if same_dirs is not None:
-        shared_dirs = same_dirs.join(_shared(same_dirs.select("repo", "hash")), "hash", "left_semi").select("repo", "dir").distinct()
-        above = leaves.select("file_id", "repo", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("dir"))
-        copies = copies.unionByName(above.join(shared_dirs, ["repo", "dir"], "left_semi").select("file_id"))
-    copies = copies.distinct().withColumn("copy", F.lit(True))
+    above = leaves.select("file_id", "repo", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("dir"))
+    copies = cut(copies.unionByName(above.join(shared_dirs, ["repo", "dir"], "left_semi").select("file_id")).distinct().withColumn("copy", F.lit(True)), "copies")
 
     # names of libraries: roots of namespaces and scripts seen where third parties live, and of copies
     lib_path = F.regexp_extract("path", r"(?:^|/)(?:node_modules|public/vendor)/([^/]+)/", 1)
     placed = leaves.filter(path_reason(F.col("path")).isNotNull()).select(F.when(F.col("ext") == ".php", F.col("root")).otherwise(lib_path).alias("lib"), "ext")
     copied = leaves.join(copies.select("file_id"), "file_id", "left_semi").filter("ext = '.php'").select(F.col("root").alias("lib"), "ext")
-    own = leaves.filter("ext = '.php' and root <> ''").groupBy("repo", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("repo").agg(F.max_by("root", F.struct("n", "root")).alias("lib")).select("lib", F.lit(".php").alias("ext")).distinct()
-    libs = placed.unionByName(copied).filter("lib <> ''").distinct().join(own, ["lib", "ext"], "left_anti")
+    libs = placed.unionByName(copied).filter("lib <> ''").distinct()
+    # the root that most of a repository's other files have is its own, whoever else copies it
+    rest_of = leaves.filter("ext = '.php' and root <> ''").filter(path_reason(F.col("path")).isNull()).join(copies, "file_id", "left_anti")
+    own = rest_of.groupBy("repo", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("repo").agg(F.max_by("root", F.struct("n", "root")).alias("lib")).withColumn("ext", F.lit(".php"))
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"(?:\.min)?\.js$", "")
-    known = leaves.select("file_id", F.when(F.col("ext") == ".php", F.col("root")).otherwise(stem).alias("lib"), "ext").join(libs, ["lib", "ext"], "left_semi").select("file_id", F.lit(True).alias("known"))
+    named = leaves.select("file_id", "repo", F.when(F.col("ext") == ".php", F.col("root")).otherwise(stem).alias("lib"), "ext")
+    known = named.join(libs, ["lib", "ext"], "left_semi").join(own, ["repo", "lib", "ext"], "left_anti").select("file_id", F.lit(True).alias("known"))
 
     joined = by_path.join(by_text, "file_id", "left").join(copies, "file_id", "left").join(known, "file_id", "left")
     reason = F.coalesce("by_path", "why", F.when(F.col("copy"), F.lit("copy in other repositories")), F.when(F.col("known"), F.lit("name of a library")))
