@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.skew import grouped_rank, salted_join
+from codeweft.skew import grouped_rank, hot_keys, salted_join
 
 SCORES = ("bm25_score", "vector_score", "fuzzy_score")
 #: Share of the values of a query cut off at either end before scaling.
@@ -38,7 +38,8 @@ def ideal_point(hits: DataFrame, query: str = "query_id", item: str = "node_id",
     rows = hits.filter(F.col(query).isNotNull() & F.col(item).isNotNull()).select(F.col(query).alias("q"), F.col(item).alias("i"), *[present(F.col(s).cast("double")).alias(c) for s, c in zip(scores, cols)])
     best = rows.groupBy("q", "i").agg(*[F.max(c).alias(c) for c in cols])
     first = best.groupBy("q").agg(*[x for c in cols for x in (F.max(c).alias(f"{c}_max"), F.percentile_approx(c, [winsor, 1 - winsor], ACCURACY).alias(f"{c}_cut"))])
-    with_first = salted_join(best, first, ["q"])
+    hot = hot_keys(best, ["q"])
+    with_first = salted_join(best, first, ["q"], hot=hot)
     clipped = with_first.withColumns({f"{c}_w": F.least(F.greatest(F.col(c), F.col(f"{c}_cut")[0]), F.col(f"{c}_cut")[1]) for c in cols})
     second = clipped.groupBy("q").agg(
         *[
@@ -50,7 +51,7 @@ def ideal_point(hits: DataFrame, query: str = "query_id", item: str = "node_id",
             )
         ]
     )
-    x = salted_join(clipped, second, ["q"])
+    x = salted_join(clipped, second, ["q"], hot=hot)
     near, far, above = F.lit(0.0), F.lit(0.0), []
     for c, w in zip(cols, weights):
         norm = F.when(F.col(f"{c}_norm") > 0, F.col(f"{c}_norm"))
