@@ -279,7 +279,7 @@ def sql_tables(bodies: DataFrame, text: str = "sql") -> DataFrame:
 def db_access(files: DataFrame) -> DataFrame:
     """(file_id, line, target, operation, via, confidence): query builder, joins, raw SQL, static ORM calls and instance writes."""
     lines = code_lines(files, "DB::", "::", "->save(", "->delete(", "join(").filter(~F.col("text").rlike(r"^\s*(?:\*|//|#|/\*)"))
-    op = F.when(F.col("text").rlike(r"->(?:insert|create|upsert|insertGetId|save)\("), "write").when(F.col("text").rlike(r"->(?:update|increment|decrement)\("), "write").when(F.col("text").rlike(r"->(?:delete|truncate)\("), "delete").otherwise("read")
+    op = F.when(F.col("text").rlike(r"(?:->|::)(?:insert|create|upsert|insertGetId|firstOrCreate|updateOrCreate|save)\("), "write").when(F.col("text").rlike(r"(?:->|::)(?:update|increment|decrement)\("), "write").when(F.col("text").rlike(r"(?:->|::)(?:delete|truncate|destroy)\("), "delete").otherwise("read")
     kinds = (
         ("query_builder", r"DB::table\(\s*'(\w+)'", 0.95, op), ("join", r"->(?:left|right|cross)?[jJ]oin\(\s*'(\w+)'", 0.90, F.lit("read")),
         ("raw_sql", r"(?i)DB::(?:select|statement|insert|update|delete|raw)\(\s*[\"'][^\"']*?\b(?:from|into|update|join)\s+`?(\w+)", 0.75, F.when(F.lower("text").rlike(r"insert|update|delete"), "write").otherwise("read")),
