@@ -37,7 +37,7 @@ def line_stats(files: DataFrame) -> DataFrame:
     """(file_id, n_lines, n_chars) counted from the content; null content gives nulls."""
     ends = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
     tail = F.when((F.col("content") != "") & ~F.col("content").endswith("\n"), 1).otherwise(0)
-    return files.select("file_id", (ends + tail).alias("n_lines"), F.length("content").alias("n_chars"))
+    return files.select("file_id", (ends + tail).cast("long").alias("n_lines"), F.length("content").cast("long").alias("n_chars"))
 
 
 def folders(files: DataFrame) -> DataFrame:
