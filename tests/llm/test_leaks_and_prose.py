@@ -133,3 +133,30 @@ def test_nothing_to_learn_from(spark, corpus):
 
 def test_the_holdout_is_balanced_and_distinct():
     assert len({t for t, _ in HOLDOUT}) == len(HOLDOUT) and 0.4 < sum(y for _, y in HOLDOUT) / len(HOLDOUT) < 0.6
+
+
+@pytest.mark.parametrize("n,edits", [(22, 1), (22, 2), (24, 3), (40, 5)])
+def test_edits_anywhere_inside_a_passage_are_found(n, edits):
+    r = random.Random(n + edits)
+    block = leaks.Items(ITEMS, 22, 8)
+    for _ in range(100):
+        i = r.randrange(len(ITEMS))
+        w = ITEMS[i][1].split()
+        a = r.randrange(len(w) - n + 1)
+        part = [[x] for x in w[a : a + n]]
+        for k in r.sample(range(1, n - 1), edits):
+            part[k] = r.choice([["zzz"], [], ["zzz", *part[k]]])
+        doc = ["filler"] * 7 + [x for p in part for x in p] + ["filler"] * 7
+        known = block.numbers(doc)
+        assert i in block.candidates(known[2])
+        covered, e, at = block.longest(i, *known)
+        assert covered >= n and e * 8 <= covered and 7 <= at < 10
+
+
+def test_a_passage_with_too_many_edits_is_none():
+    w = ITEMS[4][1].split()[5:29]
+    for k in (3, 8, 13, 18):
+        w[k] = "zzz"
+    block = leaks.Items(ITEMS, 22, 8)
+    assert block.longest(4, *block.numbers(w))[0] == 0
+    assert leaks.least_intact(22, 8) == 5
