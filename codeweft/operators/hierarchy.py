@@ -167,7 +167,11 @@ def closure(nodes: DataFrame, links: DataFrame) -> DataFrame:
     path, not its length. Only pairs found in the last round are carried on.
     """
     forest, rest = forest_of(nodes, links)
-    spans = euler_intervals(nodes, forest)
+    return _closed(nodes, euler_intervals(nodes, forest), rest)
+
+
+def _closed(nodes: DataFrame, spans: DataFrame, rest: DataFrame) -> DataFrame:
+    """:func:`closure` from the intervals of the forest and the links left over."""
     tree = cut(ancestor_pairs(spans).select("node", F.col("ancestor").alias("reached")), "tree")
     if rest.isEmpty():
         return tree
@@ -187,6 +191,49 @@ def closure(nodes: DataFrame, links: DataFrame) -> DataFrame:
         seen, frontier, last = more, new, new
 
 
+def _forest_paths(spans: DataFrame, named: DataFrame) -> DataFrame:
+    """(node, path) of every node: the names (node, fqn) from its root down to itself."""
+    up = ancestor_pairs(spans).join(named.withColumnRenamed("node", "ancestor"), "ancestor")
+    above = up.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("ancestor_depth", "fqn"))), lambda x: x["fqn"]).alias("above"))
+    return named.join(above, "node", "left").select("node", F.concat(F.coalesce("above", F.array().cast("array<string>")), F.array("fqn")).alias("path"))
+
+
+def ways(named: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, reached, distance, path) of every pair of :func:`closure`, with the way of fewest left-over links, of these the shortest.
+
+    ``named`` has (node, fqn); ``path`` has the names from the reached node down to the node. As in
+    closure(), a round takes one left-over link and the forest above it, and only pairs found in
+    the last round are carried on.
+    """
+    only = named.select("node")
+    forest, rest = forest_of(only, links)
+    spans = euler_intervals(only, forest)
+    lines = _forest_paths(spans, named)
+    steps = F.col("depth") - F.col("ancestor_depth")
+    down = ancestor_pairs(spans).join(spans.select("node", "depth"), "node").join(lines, "node")
+    tree = cut(down.select("node", F.col("ancestor").alias("reached"), steps.cast("long").alias("distance"), F.slice("path", (F.col("ancestor_depth") + 1).cast("int"), (steps + 1).cast("int")).alias("path")), "tree")
+    if rest.isEmpty():
+        return tree
+    named_rest = rest.join(named.select(F.col("node").alias("child"), F.col("fqn").alias("child_fqn")), "child")
+    one = named_rest.join(named.select(F.col("node").alias("parent"), F.col("fqn").alias("parent_fqn")), "parent")
+    above = tree.select(F.col("node").alias("parent"), F.col("reached").alias("to"), "distance", "path")
+    hop = one.select(F.col("child").alias("reached"), F.col("parent").alias("to"), F.lit(1).cast("long").alias("far"), F.array("parent_fqn", "child_fqn").alias("way")).unionByName(
+        salted_join(above, named_rest, ["parent"]).select(F.col("child").alias("reached"), "to", (F.col("distance") + 1).alias("far"), F.concat("path", F.array("child_fqn")).alias("way"))
+    )
+    hop = cut(hop.groupBy("reached", "to").agg(F.min(F.struct("far", "way")).alias("x")).select("reached", "to", "x.*"), "hop")
+    frontier = tree.unionByName(named.select("node", F.col("node").alias("reached"), F.lit(0).cast("long").alias("distance"), F.array("fqn").alias("path")))
+    seen, last = tree, None
+    while True:
+        met = salted_join(frontier, hop, ["reached"]).select("node", F.col("to").alias("reached"), (F.col("distance") + F.col("far")).alias("distance"), F.concat("way", F.slice("path", F.lit(2), F.size("path"))).alias("path"))
+        found = met.groupBy("node", "reached").agg(F.min(F.struct("distance", "path")).alias("x")).select("node", "reached", "x.*")
+        new = cut(found.join(seen.select("node", "reached"), ["node", "reached"], "left_anti"), "pairs")
+        if new.isEmpty():
+            return seen
+        more = cut(seen.unionByName(new), "seen")
+        discard(last, seen)
+        seen, frontier, last = more, new, new
+
+
 def symbol_links(parsed_classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, fqn) and links (child, parent, prio) of the living symbols' extends, implements and traits."""
     alive = cut(living_symbols(parsed_classes, ["extends", "implements", "traits"]).withColumnRenamed("key", "node"), "alive")
@@ -215,38 +262,43 @@ def symbol_pairs(parsed_classes: DataFrame) -> DataFrame:
 
 
 def symbol_hierarchy(parsed_classes: DataFrame) -> DataFrame:
-    """(fqn, root, depth, path, n_descendants) of every living symbol in the spanning forest.
-
-    The parent in the forest is the extended class, else the least interface, else the least
-    trait; ``path`` runs from the root to the symbol. A circle of such parents is cut above its
-    least name, which becomes a root; :func:`symbol_loops` lists the symbols on circles.
+    """(fqn, root, depth, path, n_descendants, roots) of every living symbol.
+
+    ``root``, ``depth`` and ``path``, from the root to the symbol, are those of the main line, whose
+    parent is the extended class, else the least interface, else the least trait. A circle of
+    such parents is cut above its least name, which becomes a root; :func:`symbol_loops` lists the
+    symbols on circles. ``n_descendants`` counts the symbols of :func:`symbol_descendants`, and
+    ``roots`` has, besides that of the main line, every symbol without parents that is reached over
+    any of the links; :func:`symbol_descendants` gives the ways from them.
     """
     nodes, links = symbol_links(parsed_classes)
     only = nodes.select("node")
-    forest, _ = forest_of(only, links)
+    forest, rest = forest_of(only, links)
     spans = euler_intervals(only, forest)
-    up = ancestor_pairs(spans).join(nodes.withColumnRenamed("node", "ancestor"), "ancestor")
-    paths = up.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("ancestor_depth", "fqn"))), lambda x: x["fqn"]).alias("above"))
+    pairs = cut(_closed(only, spans, rest), "closure")
+    below = pairs.groupBy(F.col("reached").alias("node")).agg(F.count(F.lit(1)).alias("n_descendants"))
+    tops = nodes.join(forest.select("child").unionByName(rest.select("child")).select(F.col("child").alias("node")), "node", "left_anti")
+    reached = pairs.join(tops.select(F.col("node").alias("reached"), "fqn"), "reached").groupBy("node").agg(F.collect_set("fqn").alias("tops"))
     roots = nodes.select(F.col("node").alias("root"), F.col("fqn").alias("root_fqn"))
-    out = spans.join(nodes, "node").join(paths, "node", "left").join(roots, "root")
+    out = spans.join(nodes, "node").join(_forest_paths(spans, nodes), "node").join(roots, "root").join(below, "node", "left").join(reached, "node", "left")
     none = F.array().cast("array<string>")
     return out.select(
-        "fqn", F.col("root_fqn").alias("root"), "depth",
-        F.concat(F.coalesce("above", none), F.array("fqn")).alias("path"),
-        ((F.col("leave") - F.col("entry") - 1) / 2).cast("long").alias("n_descendants"),
+        "fqn", F.col("root_fqn").alias("root"), "depth", "path",
+        F.coalesce("n_descendants", F.lit(0).cast("long")).alias("n_descendants"),
+        F.array_sort(F.array_union(F.coalesce("tops", none), F.array("root_fqn"))).alias("roots"),
     )
 
 
 def symbol_descendants(parsed_classes: DataFrame) -> DataFrame:
-    """(fqn, descendant, distance) for every symbol and every symbol below it in the spanning forest."""
+    """(fqn, descendant, distance, path) for every symbol and every symbol below it over any mix of its parents.
+
+    ``path`` is a way from the symbol down to the descendant and ``distance`` its number of links: along
+    the main line of :func:`symbol_hierarchy` where that holds both, else with the fewest links beside
+    main lines and of these the shortest. A symbol on a loop is below itself.
+    """
     nodes, links = symbol_links(parsed_classes)
-    only = nodes.select("node")
-    forest, _ = forest_of(only, links)
-    spans = euler_intervals(only, forest)
-    up = ancestor_pairs(spans).join(spans.select("node", "depth"), "node")
-    a = nodes.select(F.col("node").alias("ancestor"), "fqn")
-    d = nodes.select("node", F.col("fqn").alias("descendant"))
-    return up.join(a, "ancestor").join(d, "node").select("fqn", "descendant", (F.col("depth") - F.col("ancestor_depth")).alias("distance"))
+    found = ways(nodes, links)
+    return found.select(F.element_at("path", 1).alias("fqn"), F.element_at("path", -1).alias("descendant"), "distance", "path")
 
 
 def symbol_loops(parsed_classes: DataFrame) -> DataFrame:

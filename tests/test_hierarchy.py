@@ -105,3 +105,37 @@ def test_hierarchy_gives_path_depth_and_descendants(frame):
     assert {got["X"]["depth"], got["Y"]["depth"]} == {0, 1}
     below = {(r["fqn"], r["descendant"], r["distance"]) for r in hierarchy.symbol_descendants(symbols(frame, rows)).collect()}
     assert {("R", "M", 1), ("R", "L", 2), ("M", "L", 1)} <= below
+
+
+def test_descendants_follow_left_over_links(frame):
+    rows = [
+        ("I", None, [], [], T0, None), ("U", None, [], [], T0, None), ("B", None, [], [], T0, None), ("C", "B", ["I"], ["U"], T0, None), ("D", "C", [], [], T0, None),
+        ("E", "D", ["B"], [], T0, None), ("X", "Y", [], [], T0, None), ("Y", "X", ["I"], [], T0, None),
+    ]
+    df = symbols(frame, rows)
+    below = {(r["fqn"], r["descendant"]): r for r in hierarchy.symbol_descendants(df).collect()}
+    want = {("I", x) for x in "CDEXY"} | {("U", x) for x in "CDE"} | {("B", x) for x in "CDE"} | {("C", "D"), ("C", "E"), ("D", "E")} | {(a, b) for a in "XY" for b in "XY"}
+    assert set(below) == want
+    assert below["U", "E"]["path"] == ["U", "C", "D", "E"] and below["U", "E"]["distance"] == 3
+    assert below["B", "E"]["path"] == ["B", "C", "D", "E"] and below["I", "X"]["path"] == ["I", "Y", "X"] and below["X", "X"]["distance"] == 2
+    got = {r["fqn"]: r for r in hierarchy.symbol_hierarchy(df).collect()}
+    assert {x: got[x]["n_descendants"] for x in got} == {x: sum(a == x for a, _ in want) for x in got}
+    assert got["E"]["path"] == ["B", "C", "D", "E"] and got["E"]["roots"] == ["B", "I", "U"] and got["X"]["roots"] == ["I", "X"] and got["I"]["roots"] == ["I"]
+
+
+def test_ways_are_those_of_brute_force(frame):
+    names, links = graph("random", 24, random.Random(24))
+    named, df = frame([(x, x) for x in names], "node string, fqn string"), frame(links, "child string, parent string, prio int")
+    got = hierarchy.ways(named, df).collect()
+    main = {tuple(r) for r in hierarchy.forest_of(named.select("node"), df)[0].select("child", "parent").collect()}
+    edges = {(a, b): ((a, b) not in main, 1) for a, b, _ in links if a in names and b in names}
+    far = dict(edges)
+    for _ in names:
+        for (a, b), n in list(far.items()):
+            for (c, d), m in edges.items():
+                if c == b:
+                    far[a, d] = min(far.get((a, d), (99, 99)), (n[0] + m[0], n[1] + m[1]))
+    assert {(r["node"], r["reached"]): r["distance"] for r in got} == {p: n for p, (_, n) in far.items()} and len(got) == len(far)
+    for r in got:
+        way = r["path"]
+        assert way[0] == r["reached"] and way[-1] == r["node"] and len(way) == r["distance"] + 1 and all((b, a) in edges for a, b in zip(way, way[1:]))
