@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -59,32 +58,32 @@ def boundary_strengths(text: str, method: Method, starts: list[int]) -> list[int
 def piece_ranges(strengths: list[int], limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(first, last, strength of the cut after it) of each piece, in line numbers from 0, both included.
 
-    The fewest pieces get targets at equal distances; each cut moves to the strongest boundary
-    near its target, nearer ones first on ties. When a piece then breaks the limit, one more
-    piece is tried; without any boundary in reach the targets themselves are taken.
+    Cuts that are no boundary are made only where none lies within the limit, and of such ways
+    to cut the one with the fewest pieces counts. Its cuts get targets at equal distances; each
+    moves to the strongest boundary near its target, nearer ones first on ties, among those from
+    which the rest still fits, or else to the nearest of these.
     """
     n = len(strengths)
     if n <= limit:
         return [(0, n - 1, 0)]
-    k = max(2, math.ceil((n - overlap) / (limit - overlap)))
-    while True:
-        for reach in (max(1, (limit - overlap) // 4), 0):
-            cuts: list[int] = []
-            begin, ok = 0, True
-            for j in range(1, k):
-                target = round(j * n / k)
-                low = max((cuts[-1] if cuts else 0) + overlap + 1, target - reach, begin + 1)
-                high = min(begin + limit, target + reach, n - 1)
-                if low > high:
-                    ok = False
-                    break
-                cut = max(range(low, high + 1), key=lambda c: (strengths[c - 1], -abs(c - target)))
-                cuts.append(cut)
-                begin = cut - overlap
-            if ok and n - begin <= limit:
-                edges = [0, *[c - overlap for c in cuts]]
-                return [(edges[i], (cuts[i] if i < len(cuts) else n) - 1, strengths[cuts[i] - 1] if i < len(cuts) else 0) for i in range(k)]
-        k += 1
+    # rest[c]: cuts that are no boundary, times n, and pieces behind a cut after line c; cost[c] counts that cut too
+    rest, cost = [0] * n, [n * n * n] * n
+    for c in range(n - 1, -1, -1):
+        begin = c - overlap if c else 0
+        rest[c] = 1 if n - begin <= limit else 1 + min(cost[c + overlap + 1 : begin + limit + 1], default=n * n * n)
+        cost[c] = rest[c] + (0 if c and strengths[c - 1] else n)
+    k = rest[0] % n
+    reach = max(1, (limit - overlap) // 4)
+    cuts: list[int] = []
+    at, begin = 0, 0
+    while n - begin > limit:
+        target = round((len(cuts) + 1) * n / k)
+        fit = [c for c in range(at + overlap + 1, min(begin + limit + 1, n)) if cost[c] + 1 == rest[at]]
+        at = max(fit, key=lambda c: ((near := abs(c - target) <= reach), strengths[c - 1] if near else 0, -abs(c - target)))
+        cuts.append(at)
+        begin = at - overlap
+    edges = [0, *[c - overlap for c in cuts]]
+    return [(edges[i], (cuts[i] if i < len(cuts) else n) - 1, strengths[cuts[i] - 1] if i < len(cuts) else 0) for i in range(k)]
 
 
 _PIECES = "file_id bigint, class_key string, name_key string, sig_line int, last_line int, n_lines int, pieces array<struct<piece:int,first_line:int,last_line:int,strength:int,text:string>>"

@@ -127,3 +127,15 @@ def test_documentation_is_handed_down(spark):
     got = {(r["fqn"], r["method_name"]): (r["description"], r["inherited_from"]) for r in documentation.documented_methods(classes, src).collect()}
     assert got == {("A\\Base", "run"): ("Walks the rows once.", None), ("A\\Base", "top"): ("Never alone.", None), ("A\\Mid", "run"): ("Walks the rows once.", "A\\Base"), ("\\a\\low", "run"): ("Walks the rows once.", "A\\Base"), ("\\a\\low", "go"): ("Starts when all is ready.", "A\\I")}
     assert documentation.documented_methods(classes.limit(0), src).count() == 0
+
+
+def test_a_later_boundary_within_the_limit_is_taken_before_a_bare_cut():
+    strengths = [0] * 140
+    strengths[59], strengths[71] = 30, 10
+    assert splitting.piece_ranges(strengths, 80, 8) == [(0, 71, 10), (64, 139, 0)]
+    far = [0] * 150
+    far[39] = far[79] = 5
+    assert [x[2] for x in splitting.piece_ranges(far, 80, 8)] == [5, 0]
+    three = [0] * 140
+    three[39] = three[99] = 5  # no two pieces with a boundary between
+    assert splitting.piece_ranges(three, 80, 8) == [(0, 39, 5), (32, 99, 5), (92, 139, 0)]
