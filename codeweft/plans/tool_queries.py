@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codeweft.operators import graph
 from codeweft.operators.schema import legal_pairs
 from codeweft.plans import tools
+from codeweft.session import cut
 from codeweft.sources.code_graph import CodeGraph
 from codeweft.sources.tables import table
 
@@ -33,7 +34,10 @@ def tool_context(spark, d):
 
 def tool_impact(spark, d):
     g = _graph(spark, d)
-    return tools.impact(g.nodes("Method", "Route", "DatabaseTable", *tools.KINDS), g.edges("CALLS", "USES_TYPE", "EXTENDS_CLASS", "ROUTES_TO", "DISPATCHES", "QUERIES_TABLE"), g.nodes("Trait_"), 2)
+    # written once, as both are read twice and their plans are large
+    nodes = cut(g.nodes("Method", "Route", "DatabaseTable", *tools.KINDS).select("node_id", "label", "name"), "nodes")
+    edges = cut(g.edges(*dict.fromkeys(tools.USERS + tools.REACH)).select("src", "rel", "dst").distinct(), "edges")
+    return tools.impact(nodes, edges, nodes)
 
 
 def tool_request_flow(spark, d):

@@ -14,6 +14,9 @@ from codeweft.operators import analytics, traverse
 from codeweft.operators.graph import ratio
 
 KINDS = ("Class_", "Trait_", "Interface_", "Enum_")
+#: Relations by which a change reaches the users of a symbol, and those by which it reaches further.
+USERS = ("CALLS", "USES_TYPE", "EXTENDS_CLASS", "IMPLEMENTS_INTERFACE", "USES_TRAIT", "ROUTES_TO")
+REACH = ("CALLS", "DISPATCHES", "QUERIES_TABLE")
 
 
 def status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -40,8 +43,8 @@ def context(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """(root, node, label, name, depth): what a change can touch: users of a symbol and what it reaches in turn."""
-    users = edges.filter(F.col("rel").isin("CALLS", "USES_TYPE", "EXTENDS_CLASS", "IMPLEMENTS_INTERFACE", "USES_TRAIT", "ROUTES_TO")).select("src", "dst")
-    reach = edges.filter(F.col("rel").isin("CALLS", "DISPATCHES", "QUERIES_TABLE")).select("src", "dst")
+    users = edges.filter(F.col("rel").isin(*USERS)).select("src", "dst")
+    reach = edges.filter(F.col("rel").isin(*REACH)).select("src", "dst")
     hit = traverse.blast_radius(users, reach, seeds.select(F.col("node_id").alias("root")), min(depth, 5))
     return hit.join(nodes.select(F.col("node_id").alias("node"), "label", "name"), "node").select("root", "node", "label", "name", "depth")
 

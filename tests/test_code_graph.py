@@ -99,3 +99,26 @@ def test_tools(code):
     assert {r["name"] for r in tools.symbols_without_use(nodes, edges).collect()} == {"OrderController"}
     assert tools.cross_cutting(nodes, edges, 1, 1).count() == 1
     assert tools.coverage(t["source_files"].selectExpr("file_id as route_id").limit(4), t["source_files"].limit(1).selectExpr("'route' as kind", "file_id as target")).first()["percent"] == 25.0
+
+
+class Small:
+    """A graph from frames, with the labels and relations asked for only."""
+
+    def __init__(self, nodes, edges):
+        self._nodes, self._edges = nodes, edges
+
+    def nodes(self, *labels):
+        return self._nodes.filter(self._nodes["label"].isin(*labels))
+
+    def edges(self, *rels):
+        return self._edges.filter(self._edges["rel"].isin(*rels))
+
+
+def test_impact_query_starts_from_every_symbol_and_meets_users_of_traits(spark, frame, monkeypatch):
+    from codeweft.plans import tool_queries
+
+    nodes = frame([("t", "Trait_", "T"), ("i", "Interface_", "I"), ("c", "Class_", "C"), ("d", "Class_", "D"), ("e", "Class_", "E"), ("m", "Method", "m"), ("tab", "DatabaseTable", "tab")], "node_id string, label string, name string")
+    edges = frame([("c", "USES_TRAIT", "t"), ("c", "IMPLEMENTS_INTERFACE", "i"), ("d", "EXTENDS_CLASS", "c"), ("e", "EXTENDS_CLASS", "d"), ("m", "QUERIES_TABLE", "tab")], "src string, rel string, dst string")
+    monkeypatch.setattr(tool_queries, "_graph", lambda s, d: Small(nodes, edges))
+    got = {(r["root"], r["node"], r["depth"]) for r in tool_queries.tool_impact(spark, "").collect()}
+    assert got == {(x, y, n) for x in "ti" for n, y in enumerate("cde", 1)} | {("c", "d", 1), ("c", "e", 2), ("d", "e", 1), ("m", "tab", 1)}
