@@ -49,8 +49,8 @@ def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3)
     return hit.join(nodes.select(F.col("node_id").alias("node"), "label", "name"), "node").select("root", "node", "label", "name", "depth")
 
 
-def request_flow(nodes: DataFrame, edges: DataFrame, routes: DataFrame, hops: int = 3, callees: int = 10) -> DataFrame:
-    """(root, node, label, name, depth): what a request runs through: handler, calls, dispatches, tables; of each node the first ``callees``."""
+def request_flow(nodes: DataFrame, edges: DataFrame, routes: DataFrame, hops: int = 3, callees: int | None = None) -> DataFrame:
+    """(root, node, label, name, depth): what a request runs through: handler, calls, dispatches, tables; ``callees`` follows only so many edges of a node."""
     e = edges.filter(F.col("rel").isin("ROUTES_TO", "CALLS", "DISPATCHES", "QUERIES_TABLE")).select("src", "dst")
     x = traverse.bfs(e, routes.select(F.col("node_id").alias("root")), hops, callees).filter("depth > 0")
     return x.join(nodes.select(F.col("node_id").alias("node"), "label", "name"), "node").select("root", "node", "label", "name", "depth")

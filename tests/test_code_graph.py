@@ -122,3 +122,13 @@ def test_impact_query_starts_from_every_symbol_and_meets_users_of_traits(spark,
     monkeypatch.setattr(tool_queries, "_graph", lambda s, d: Small(nodes, edges))
     got = {(r["root"], r["node"], r["depth"]) for r in tool_queries.tool_impact(spark, "").collect()}
     assert got == {(x, y, n) for x in "ti" for n, y in enumerate("cde", 1)} | {("c", "d", 1), ("c", "e", 2), ("d", "e", 1), ("m", "tab", 1)}
+
+
+def test_request_flow_query_follows_every_edge_of_a_node(spark, frame, monkeypatch):
+    from codeweft.plans import tool_queries
+
+    names = [f"m{i:02}" for i in range(14)]
+    nodes = frame([("r", "Route", "r"), ("h", "Method", "h"), *[(x, "Method", x) for x in names], ("z", "DatabaseTable", "z")], "node_id string, label string, name string")
+    edges = frame([("r", "ROUTES_TO", "h"), *[("h", "CALLS", x) for x in names], ("h", "QUERIES_TABLE", "z")], "src string, rel string, dst string")
+    monkeypatch.setattr(tool_queries, "_graph", lambda s, d: Small(nodes, edges))
+    assert {r["node"] for r in tool_queries.tool_request_flow(spark, "").collect()} == {"h", "z", *names}
