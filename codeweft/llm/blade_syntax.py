@@ -98,7 +98,7 @@ def errors(text: str) -> list[tuple[int, str]]:
         elif kind == "tag":
             code = m[0]
             bad = php_syntax.code_errors("?>" + code)
-            found += [(m.start() + max(0, i - 2), why) for i, why in bad[:1]]
+            found += [(m.start() + max(0, i - 2), why) for i, why in bad]
         else:
             at = _directive(text, m, at, stack, found)
     found += [(i, f"@{d} has no end") for d, i in stack]
@@ -135,7 +135,7 @@ def _directive(text: str, m: re.Match, at: int, stack: list[tuple[str, int]], fo
         if end < 0:
             found.append((start, "@php has no end"))
             return len(text)
-        found.extend((at + i, why) for i, why in php_syntax.code_errors(text[at:end])[:1])
+        found.extend((at + i, why) for i, why in php_syntax.code_errors(text[at:end]))
         return end + len("@endphp")
     if d == "php":
         return at

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from codeweft.llm.nesting import TOO_DEEP, deep
+
 _WORD = r"[A-Za-z_$\x80-\U0010ffff][\w$\x80-\U0010ffff]*"
 _SKIP = re.compile(r"(?:[ \t\v\f\xa0﻿]++|//[^\r\n  ]*+)*+")
 _TOKEN = re.compile(
@@ -40,6 +42,7 @@ _BINARY = {
 }
 _END = "\0"
 _FLAT = re.compile(r"[^{};\0]*;")
+_BRACKET = re.compile(r"[()\[\]{}]")
 
 
 class Broken(Exception):
@@ -161,6 +164,7 @@ class Parser:
     def __init__(self, kinds: str, breaks: set[int]) -> None:
         self.k, self.p, self.breaks = kinds + _END, 0, breaks
         self.in_ok = True
+        self.pairs: dict[int, int] | None = None
 
     def fail(self, why: str) -> None:
         raise Broken(self.p, why)
@@ -188,7 +192,7 @@ class Parser:
 
     def recover(self) -> list[tuple[int, str]]:
         found: list[tuple[int, str]] = []
-        while self.k[self.p] != _END and len(found) < 50:
+        while self.k[self.p] != _END:
             try:
                 self.file()
             except Broken as e:
@@ -576,18 +580,15 @@ class Parser:
 
     def arrow_ahead(self) -> bool:
         """Whether the parenthesis at ``p`` opens the parameters of an arrow function."""
-        k, q, depth = self.k, self.p, 0
-        while True:
-            c = k[q]
-            if c in "([{":
-                depth += 1
-            elif c in ")]}":
-                depth -= 1
-                if depth == 0:
-                    return k[q + 1] == "R"
-            elif c == _END:
-                return False
-            q += 1
+        if self.pairs is None:
+            self.pairs, opened = {}, []
+            for m in _BRACKET.finditer(self.k):
+                if m[0] in "([{":
+                    opened.append(m.start())
+                elif opened:
+                    self.pairs[opened.pop()] = m.start()
+        end = self.pairs.get(self.p)
+        return end is not None and self.k[end + 1] == "R"
 
     def assign(self) -> None:
         k = self.k
@@ -833,12 +834,14 @@ def errors(text: str) -> list[tuple[int, str]]:
     start = 0
     if text.startswith("#!"):
         start = len(text.split("\n", 1)[0])
-    try:
-        k, where, breaks, _ = lex(text, start)
+    with deep():
         try:
-            Parser(k, breaks).file()
-            return []
-        except Broken:
+            k, where, breaks, _ = lex(text, start)
+            try:
+                Parser(k, breaks).file()
+                return []
+            except Broken:
+                pass
             return [(where[min(i, len(where) - 1)], why) for i, why in Parser(k, breaks).recover()]
-    except RecursionError:
-        return []
+        except RecursionError:
+            return [(0, TOO_DEEP)]

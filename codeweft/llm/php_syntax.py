@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 
+from codeweft.llm.nesting import TOO_DEEP, deep
+
 _COMMENT = r"/\*(?s:.*?)\*/|(?://|\#(?!\[))[^\r\n?]*(?:\?(?!>)[^\r\n?]*)*"
 _SKIP = rf"(?:\s++|{_COMMENT})*+"
 _NAME = r"[A-Za-z_\x80-\U0010ffff][A-Za-z0-9_\x80-\U0010ffff]*"
@@ -163,7 +165,7 @@ class Parser:
     def recover(self) -> list[tuple[int, str]]:
         """All errors of a file: after each one, on to the next statement."""
         found: list[tuple[int, str]] = []
-        while self.k[self.p] != _END and len(found) < 50:
+        while self.k[self.p] != _END:
             try:
                 self.file()
             except Broken as e:
@@ -184,6 +186,8 @@ class Parser:
     def remember(self, start: int, pattern: re.Pattern, context: str) -> None:
         m = pattern.match(self.k, start)
         if m and m.end() == self.p:
+            if len(m[0]) > 500:
+                return
             if len(self.good) > 500_000:
                 self.good.clear()
             self.good.add((context, m[0]))
@@ -1106,17 +1110,29 @@ def code_errors(code: str) -> list[tuple[int, str]]:
 def _errors(text: str, start: int, shift: int) -> list[tuple[int, str]]:
     toks = tokens(text, start)
     k = kinds(toks)
-    try:
-        Parser(k, toks).file()
-        return []
-    except (Broken, RecursionError) as e:
-        if isinstance(e, RecursionError):
-            return []  # nested beyond what can be followed: not judged
-    where = offsets(text, start)
-    try:
-        return [(where[min(i, len(where) - 1)] + shift, why) for i, why in Parser(k, toks).recover()]
-    except RecursionError:
-        return [(0, "nested too deeply")]
+    with deep():
+        try:
+            Parser(k, toks).file()
+            return []
+        except Broken:
+            where = offsets(text, start)
+        except RecursionError:
+            return [(0, TOO_DEEP)]
+        try:
+            return [(where[min(i, len(where) - 1)] + shift, why) for i, why in Parser(k, toks).recover()]
+        except RecursionError:
+            return [(0, TOO_DEEP)]
+
+
+def _whole(k: str, parse) -> bool:
+    """Whether ``parse`` takes all of the token string."""
+    q = Parser(k)
+    with deep():
+        try:
+            parse(q)
+        except (Broken, RecursionError):
+            return False
+    return q.k[q.p] == _END
 
 
 def expression_ok(code: str) -> bool:
@@ -1124,12 +1140,7 @@ def expression_ok(code: str) -> bool:
     k = kinds(tokens(code))
     if ("x", k) in Parser.good:
         return True
-    q = Parser(k)
-    try:
-        q.expr()
-    except (Broken, RecursionError):
-        return False
-    if q.k[q.p] != _END:
+    if not _whole(k, Parser.expr):
         return False
     if len(k) < 200:
         Parser.good.add(("x", k))
@@ -1138,19 +1149,9 @@ def expression_ok(code: str) -> bool:
 
 def arguments_ok(code: str) -> bool:
     """Whether ``code``, with its parentheses, is a list of arguments."""
-    q = Parser(kinds(tokens(code)))
-    try:
-        q.arguments()
-    except (Broken, RecursionError):
-        return False
-    return q.k[q.p] == _END
+    return _whole(kinds(tokens(code)), Parser.arguments)
 
 
 def foreach_ok(code: str) -> bool:
     """Whether ``code``, with its parentheses, is the head of a foreach."""
-    q = Parser(kinds(tokens(code)))
-    try:
-        q.foreach_head()
-    except (Broken, RecursionError):
-        return False
-    return q.k[q.p] == _END
+    return _whole(kinds(tokens(code)), Parser.foreach_head)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -10,22 +9,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm import blade_syntax, js_syntax, php_syntax
+from codeweft.llm import blade_syntax, js_syntax, json_syntax, php_syntax
 
 LANGUAGES = {".php": "php", ".blade.php": "blade", ".js": "js", ".json": "json"}
-#: A marker of an unresolved merge at the start of a line.
-_MARK = re.compile(r"^(?:<{7}(?: .*)?|>{7}(?: .*)?)\r?$", re.M)
-_MIDDLE = re.compile(r"^={7}\r?$", re.M)
+_MARKER = re.compile(r"^(<{7}|={7}|>{7})(?=[ \r\n]|\Z)", re.M)
 
 
-def conflict(text: str) -> int:
-    """The offset of an unresolved merge: an opening, a middle and a closing marker in order; else -1."""
-    if "<<<<<<<" not in text or ">>>>>>>" not in text:
+def conflict(language: str, text: str) -> int:
+    """The offset of an unresolved merge, else -1.
+
+    In a template a lone opening or closing marker at the start of a line is one: all else is
+    text there, so no parser would trip over half a merge. In the other languages a lone marker
+    breaks the parse by itself unless it stands in a comment or a string, so there an opening, a
+    middle and a closing marker in order are asked for. A line of ``=`` alone is a heading.
+    """
+    if "<<<<<<<" not in text and ">>>>>>>" not in text:
         return -1
     opened = -1
     middle = False
-    for m in re.finditer(r"^(<{7}|={7}|>{7})(?=[ \r\n]|\Z)", text, re.M):
+    for m in _MARKER.finditer(text):
         c = m[1][0]
+        if c != "=" and language == "blade":
+            return m.start()
         if c == "<":
             opened, middle = m.start(), False
         elif c == "=":
@@ -35,21 +40,6 @@ def conflict(text: str) -> int:
     return -1
 
 
-def _json_errors(text: str) -> list[tuple[int, str]]:
-    def no(x: str) -> None:
-        raise ValueError(f"{x} is no JSON")
-
-    try:
-        json.loads(text.removeprefix("﻿"), parse_constant=no)
-    except json.JSONDecodeError as e:
-        return [(e.pos, e.msg)]
-    except ValueError as e:
-        return [(0, str(e))]
-    except RecursionError:
-        return []
-    return []
-
-
 _TAGGED = re.compile(r"<[A-Za-z!/]|\{\{|\{!!|(?<![\w@.])@[a-z]+")
 
 
@@ -57,10 +47,10 @@ def _other_language(language: str, text: str) -> str | None:
     """Why a text that parses is nevertheless of another language."""
     bare = text.strip()
     if language == "js" and bare[:1] in ("[", "{") and bare[-1:] in ("]", "}"):
-        return "a JSON document" if not _json_errors(bare) else None
+        return "a JSON document" if not json_syntax.errors(bare) else None
     if language == "blade" and bare and not _TAGGED.search(text):
         # text without a tag, an echo or a directive: a template only if it is no program
-        if not _json_errors(bare) and bare[:1] in "[{":
+        if not json_syntax.errors(bare) and bare[:1] in "[{":
             return "a JSON document"
         if re.search(r"^(?:'use strict'|import |export |(?:async )?function \w+\s*\(|(?:const|let|var) \w+ ?=|def \w+\(|[A-Z_]+=)", bare, re.M):
             return "a program"
@@ -78,8 +68,8 @@ def check(language: str, text: str) -> list[tuple[int, str]]:
     elif language == "js":
         found = js_syntax.errors(text)
     else:
-        found = _json_errors(text)
-    at = conflict(text)
+        found = json_syntax.errors(text)
+    at = conflict(language, text)
     if at >= 0:
         found = sorted([*[x for x in found if x[0] < at], (at, "unresolved merge"), *[x for x in found if x[0] > at]])
     if not found and (why := _other_language(language, text)):

@@ -109,3 +109,27 @@ def test_operator_over_a_table(spark):
     rates = {(r["repo"], r["language"]): (r["n_files"], r["n_broken"], r["rate"]) for r in syntax.error_rates(df).collect()}
     assert rates[("r", "php")] == (3, 2, 0.666667) and rates[(None, "js")] == (1, 1, 1.0)
     assert syntax.file_errors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [100, 400, 10_000])
+def test_open_brackets_are_flagged_at_any_depth_and_closed_ones_are_not(n):
+    for language, head, opened, closed, tail in (("php", "<?php $a = ", "(", ")", ";"), ("php", "<?php $a = ", "[", "]", ";"), ("js", "a = ", "(", ")", ";"), ("js", "a = ", "[", "]", ";"), ("json", "", "[", "]", "")):
+        assert syntax.check(language, head + opened * n + "1" + tail)
+        assert syntax.check(language, head + opened * n + "1" + closed * n + tail) == []
+
+
+def test_json_goes_on_after_an_error():
+    assert len(syntax.check("json", '{"a":1,, "b":2,, }')) == 2
+    assert len(syntax.check("json", "[1 2, 3 4]")) == 2
+    assert [w for _, w in syntax.check("json", '{"a" 1, b: 2}')] == ["expected :", "a stray character"]
+    for bad in ("", " ", "{", "[1,]", '{"a":1,}', "01", "1.", "NaN", '"\t"', '"\\x"', "[1}", "1 2", "]", "'a'", "tru", '{"a":}', "﻿", "//c\n1"):
+        assert syntax.check("json", bad), bad
+    for good in ("1", " null ", '﻿{"a": [1, -2.5e+3, "x\\u00e9\\n", {}], "": []}', "[]", '"a"'):
+        assert syntax.check("json", good) == [], good
+
+
+def test_half_a_merge_is_flagged_in_templates():
+    assert syntax.check("blade", "<p>a</p>\n<<<<<<< branch\n<p>b</p>\n")
+    assert syntax.check("blade", "<p>a</p>\r\n>>>>>>> main\r\n")
+    assert syntax.check("blade", "<p>a</p>\n=======\n") == []
+    assert syntax.check("blade", "<p>a <<<<<<< b</p>\n") == []
