@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codeweft.functions.fixed import DB_TYPES, NOISE, PARENT_ROLES, RELATION_CALLS, ROLE_PREFIXES, SCALARS
 
 def snake(c: Column) -> Column:
     """CamelCase to snake_case, a run of capitals being one word."""
@@ -13,28 +14,31 @@ def snake(c: Column) -> Column:
 
 
 def snake_plain(c: Column) -> Column:
-    """CamelCase to snake_case, each capital beginning a word."""
-    return F.lower(F.regexp_replace(c, r"([^A-Z_])([A-Z])", "$1_$2"))
+    """CamelCase to snake_case, a capital with small letters after it beginning a word wherever it stands."""
+    x = F.regexp_replace(c, r"(.)([A-Z][a-z]+)", "$1_$2")
+    return F.lower(F.regexp_replace(x, r"([a-z0-9])([A-Z])", "$1_$2"))
 
 
 def plural(c: Column) -> Column:
-    """Naive plural: y to ies after a consonant, es after s, x, z, ch and sh, else s."""
-    return (
-        F.when(c.rlike(r"[^aeiou]y$"), F.regexp_replace(c, "y$", "ies"))
-        .when(c.rlike(r"(?:s|x|z|ch|sh)$"), F.concat(c, F.lit("es")))
-        .otherwise(F.concat(c, F.lit("s")))
-    )
+    """Naive plural: y to ies unless e stands before it, es after s, x, z, ch and sh, else s."""
+    return F.when(c.rlike(r"[^e]y$|^y$"), F.regexp_replace(c, "y$", "ies")).when(c.rlike(r"(?:s|x|z|ch|sh)$"), F.concat(c, F.lit("es"))).otherwise(F.concat(c, F.lit("s")))
 
 
 def plural_plain(c: Column) -> Column:
-    """Naive plural: a final y always becomes ies, a final s stays, else s."""
-    return F.when(c.endswith("y"), F.regexp_replace(c, "y$", "ies")).when(c.endswith("s"), c).otherwise(F.concat(c, F.lit("s")))
+    """Naive plural: a final y always becomes ies, es after s, x, z, ch and sh, else s."""
+    return F.when(c.endswith("y"), F.regexp_replace(c, "y$", "ies")).when(c.rlike(r"(?:s|x|z|ch|sh)$"), F.concat(c, F.lit("es"))).otherwise(F.concat(c, F.lit("s")))
 
 
 def table_of_class(name: Column) -> Column:
+    """The table that the link of models to tables expects for a class."""
     return plural(snake(name))
 
 
+def table_of_model(name: Column) -> Column:
+    """The table that a model has when it names none."""
+    return plural_plain(snake_plain(name))
+
+
 def short_name(fqn: Column) -> Column:
     """The last part of a qualified name."""
     return F.element_at(F.split(fqn, r"\\"), -1)
@@ -46,14 +50,10 @@ def name_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.trim(spaced)), " "), lambda x: F.length(x) >= 3))
 
 
-#: Parts of a path that say nothing about a feature.
-NOISE = ("api", "v1", "v2", "v3", "admin", "web", "app", "index", "create", "edit", "show", "store", "update", "destroy", "delete")
-
-
 def feature_slug(uri: Column) -> Column:
-    """The first telling part of a path, parameters and noise left out; general when none is left."""
-    parts = F.filter(F.split(F.lower(F.coalesce(uri, F.lit(""))), "/"), lambda x: (x != "") & ~x.startswith("{") & ~x.isin(*NOISE))
-    return F.coalesce(F.get(parts, F.lit(0)), F.lit("general"))
+    """The first telling part of a path with underscores for hyphens, parameters and noise left out; general when none is left."""
+    parts = F.filter(F.split(F.lower(F.coalesce(uri, F.lit(""))), "/"), lambda x: (x != "") & ~x.rlike(r"^\{[^}]+\}$") & ~x.isin(*NOISE))
+    return F.coalesce(F.replace(F.get(parts, F.lit(0)), F.lit("-"), F.lit("_")), F.lit("general"))
 
 
 def slug_title(slug: Column) -> Column:
@@ -63,53 +63,42 @@ def slug_title(slug: Column) -> Column:
 def method_tag(name: Column) -> Column:
     """What a method of a model or handler is by its name."""
     return (
-        F.when(name.rlike(r"^scope[A-Z]"), "scope").when(name.rlike(r"^get[A-Z]\w*Attribute$"), "accessor").when(name.rlike(r"^set[A-Z]\w*Attribute$"), "mutator")
-        .when(name.isin("boot", "booted"), "boot").when(name == "register", "register").when(name == "handle", "handle")
+        F.when(name.isin(*RELATION_CALLS[:11]), "relationship").when(name.rlike(r"^scope[A-Z]"), "scope").when(name.startswith("get") & name.endswith("Attribute"), "accessor")
+        .when(name.startswith("set") & name.endswith("Attribute"), "mutator").when(name.isin("boot", "booted"), "boot").when(name == "register", "register").when(name == "handle", "handle")
     )
 
 
-#: Prefix of a path -> role; the first that fits holds.
-ROLE_PREFIXES = (
-    ("app/Http/Controllers/", "controller"), ("app/Http/Middleware/", "middleware"), ("app/Http/Requests/", "request"), ("app/Http/Resources/", "resource"), ("app/Models/", "model"),
-    ("app/Jobs/", "job"), ("app/Events/", "event"), ("app/Listeners/", "listener"), ("app/Policies/", "policy"), ("app/Providers/", "provider"), ("app/Notifications/", "notification"),
-    ("app/Observers/", "observer"), ("app/Console/Commands/", "command"), ("database/migrations/", "migration"), ("database/factories/", "factory"), ("database/seeders/", "seeder"),
-    ("routes/", "route_file"), ("config/", "config"), ("tests/", "test"),
-)
+#: Bytes up to which a file outside the usual folders is looked into for its role.
+ROLE_BYTES = 64 * 1024
 
 
-def file_role(path: Column) -> Column:
-    """The role of a source file by where it lies."""
-    out = F.when(path.endswith(".blade.php"), "blade")
+def file_role(path: Column, content: Column | None = None) -> Column:
+    """The role of a source file by where it lies; a small php file elsewhere that extends a model is one."""
+    out = F.when(path.endswith(".blade.php") & path.startswith("resources/views/"), "blade")
     for prefix, role in ROLE_PREFIXES:
         out = out.when(path.startswith(prefix), role)
+    if content is not None:
+        out = out.when(path.endswith(".php") & (F.octet_length(content) < ROLE_BYTES) & (content.contains("extends Model") | content.contains("extends Authenticatable")), "model")
     return out.otherwise("php")
 
 
-#: Scalar and pseudo types that name no class.
-SCALARS = ("int", "integer", "float", "double", "string", "bool", "boolean", "array", "object", "mixed", "void", "null", "never", "callable", "iterable", "self", "static", "parent", "true", "false")
+def class_role(file_role_: Column, parent: Column) -> Column:
+    """The role of a class: that of its file, or where the place of the file tells none, that of its parent's short name."""
+    known = F.create_map(*[F.lit(x) for kv in PARENT_ROLES.items() for x in kv])
+    return F.when(F.coalesce(file_role_, F.lit("")).isin("php", ""), F.coalesce(known[short_name(parent)], F.lit("php"))).otherwise(file_role_)
 
 
 def class_types(declared: Column) -> Column:
-    """The class names of a declared type: nullable mark off, union and intersection split, scalars dropped."""
+    """The class names of a declared type: nullable mark off, union and intersection split, scalars dropped (as spelled)."""
     parts = F.split(F.regexp_replace(F.coalesce(declared, F.lit("")), r"[?()\s]", ""), r"[|&]")
-    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^\\", "")), lambda x: (x != "") & ~F.lower(x).isin(*SCALARS))
-
-
-#: Database type -> common name.
-DB_TYPES = {
-    "tinyint": "boolean", "smallint": "integer", "mediumint": "integer", "int": "integer", "integer": "integer", "bigint": "bigint", "decimal": "decimal", "numeric": "decimal", "float": "float", "double": "float",
-    "char": "string", "varchar": "string", "tinytext": "text", "text": "text", "mediumtext": "text", "longtext": "text", "json": "json", "date": "date", "datetime": "datetime", "timestamp": "timestamp", "time": "time",
-    "year": "integer", "blob": "binary", "longblob": "binary", "binary": "binary", "varbinary": "binary", "enum": "enum", "set": "set", "bit": "boolean", "boolean": "boolean",
-}
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^\\", "")), lambda x: (x != "") & ~x.isin(*SCALARS))
 
 
 def db_type(declared: Column) -> Column:
     """The common name of a database type, whatever its length and case; unknown ones in lower case."""
-    bare = F.lower(F.trim(F.regexp_extract(declared, r"^\s*([A-Za-z]+)", 1)))
-    out = None
-    for k, v in DB_TYPES.items():
-        out = F.when(bare == k, v) if out is None else out.when(bare == k, v)
-    return out.otherwise(F.lower(declared))
+    bare = F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]+)", 1))
+    known = F.create_map(*[F.lit(x) for kv in DB_TYPES.items() for x in kv])
+    return F.coalesce(known[bare], F.lower(declared))
 
 
 def stable_id(*parts: Column) -> Column:

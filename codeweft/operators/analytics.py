@@ -61,7 +61,7 @@ def enclosing(sites: DataFrame, spans: DataFrame, by: str, at: str, begin: str,
     span = F.struct(*spans.columns)
     p = spans.filter(F.col(begin).isNotNull()).select(F.col(by).alias("_g"), F.col(begin).alias("_at"), F.lit(0).alias("_k"), span.alias("span"))
     both = s.unionByName(p, allowMissingColumns=True)
-    w = W.partitionBy("_g").orderBy("_at", "_k").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy("_g").orderBy("_at", "_k", "span").rowsBetween(W.unboundedPreceding, 0)  # equal begins: the greatest span
     last = both.withColumn("span", F.last("span", ignorenulls=True).over(w)).filter("_k = 1")
     ok = F.col(f"span.{end}") >= F.col("_at")
     held = last.select("site.*", *[F.when(ok & F.col("_g").isNotNull() & F.col("_at").isNotNull(), F.col(f"span.{c}")).alias(f"span_{c}") for c in spans.columns])
@@ -71,17 +71,19 @@ def enclosing(sites: DataFrame, spans: DataFrame, by: str, at: str, begin: str,
 def longest_match(left: DataFrame, tokens: DataFrame, key: str, text: str, token: str) -> DataFrame:
     """Each left row with the token it equals, else the longest it contains, else one with the same first four letters.
 
-    Ties go to the least token. Tokens are few and checked: their number must be below 100,000,
-    as they are compared with every left row.
+    Ties go to the least token; null and empty tokens match nothing. Texts are cut into the pieces
+    of the lengths that tokens have, so that containing is an equi-join and no pairs are compared.
     """
-    n = tokens.count()
-    if n > 100_000:
-        raise ValueError(f"{n} tokens; compare them in blocks")
-    t = F.broadcast(tokens.select(F.col(token).alias("_t")).filter("_t <> ''").distinct())
-    c = F.col(text)
-    kind = F.when(c == F.col("_t"), 0).when(c.contains(F.col("_t")), 1).when((F.length("_t") >= 4) & c.startswith(F.substring("_t", 1, 4)), 2)
-    met = left.join(t, c.contains(F.col("_t")) | ((F.length("_t") >= 4) & c.startswith(F.substring("_t", 1, 4))))
-    best = met.withColumn("_k", kind).groupBy(key).agg(F.min_by(F.struct(F.col("_t").alias("token"), F.col("_k").alias("k")), F.struct("_k", -F.length("_t"), "_t")).alias("x"))
+    t = tokens.select(F.col(token).alias("_t")).filter("_t <> ''").distinct()
+    lengths = sorted(r["n"] for r in t.select(F.length("_t").alias("n")).distinct().collect())  # one number a length
+    c = left.filter(F.col(text).isNotNull()).select(key, F.col(text).alias("_c")).distinct()
+    pieces = c.select(key, "_c", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("_n")).filter(F.col("_n") <= F.length("_c"))
+    held = pieces.select(key, "_c", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_c") - F.col("_n") + 1), lambda i: F.substring("_c", i, F.col("_n"))))).alias("_t")).join(t, "_t")
+    whole = held.select(key, "_t", F.when(F.col("_c") == F.col("_t"), 0).otherwise(1).alias("_k"))
+    heads = t.filter(F.length("_t") >= 4).groupBy(F.substring("_t", 1, 4).alias("_h")).agg(F.max_by("_t", F.struct(F.length("_t"))).alias("_any"), F.max(F.length("_t")).alias("_m"))
+    longest = t.filter(F.length("_t") >= 4).select("_t", F.substring("_t", 1, 4).alias("_h")).join(heads.select("_h", "_m"), "_h").filter(F.length("_t") == F.col("_m")).groupBy("_h").agg(F.min("_t").alias("_t"))
+    near = c.select(key, F.substring("_c", 1, 4).alias("_h")).join(longest, "_h").select(key, "_t", F.lit(2).alias("_k"))
+    best = whole.unionByName(near).groupBy(key).agg(F.min_by(F.struct(F.col("_t").alias("token"), F.col("_k").alias("k")), F.struct("_k", -F.length("_t"), "_t")).alias("x"))
     return best.select(key, "x.token", F.element_at(F.array(F.lit("exact"), F.lit("contains"), F.lit("prefix")), F.col("x.k") + 1).alias("match_type"))
 
 
@@ -99,30 +101,32 @@ def model_tables(models: DataFrame, tables: DataFrame) -> DataFrame:
     return models.join(best, ["repo", "table_key"], "left").select("model_id", "repo", "table_key", F.coalesce("source", F.lit("stub")).alias("source"))
 
 
-def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, community) by label propagation on the undirected multigraph, deterministic.
+def communities(edges: DataFrame) -> DataFrame:
+    """(node, community) by label propagation on the undirected multigraph, deterministic, until nothing moves.
 
-    A node takes the label with most edges to it, its own counting once, the least on ties. Only
-    every second node, by a hash that changes with the round, may move in a round, so that two
-    halves do not swap labels for ever. Ends when nothing moves or after ``rounds``.
+    A node takes the label with most edges to it, its own counting once more, the least on ties.
+    Of the nodes that would move only those move in a round whose hash, new each round, is the
+    least among their neighbours that would. No two neighbours move at once, so each move adds
+    to the edges within communities and the rounds come to an end by themselves.
     """
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b")
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")), "links")
     label = cut(both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")), "label")
-    still = 0
-    for r in range(rounds):
+    r = 0
+    while True:
         votes = both.join(label.select(F.col("node").alias("b"), "community"), "b").select(F.col("a").alias("node"), "community", "w")
         votes = votes.unionByName(label.select("node", "community", F.lit(1).cast("long").alias("w")))
         best = votes.groupBy("node", "community").agg(F.sum("w").alias("w")).groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("x"))
-        may = F.pmod(F.xxhash64(F.col("node"), F.lit(r)), F.lit(2)) == 0
-        new = cut(label.join(best, "node").select("node", F.when(may, F.col("x.community")).otherwise(F.col("community")).alias("community"), (may & (F.col("x.community") != F.col("community"))).alias("moved")), "label")
-        moved = not new.filter("moved").isEmpty()
-        discard(label)
+        would = cut(label.join(best.select("node", F.col("x.community").alias("to")), "node").filter("to <> community").select("node", "to", F.xxhash64("node", F.lit(r)).alias("h")), "would")
+        if would.isEmpty():
+            discard(would, both)
+            return label.select("node", "community")
+        beside = both.join(would.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(would.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
+        held = beside.filter("hb < ha or (hb = ha and b < a)").select(F.col("a").alias("node")).distinct()
+        new = cut(label.join(would.join(held, "node", "left_anti").select("node", "to"), "node", "left").select("node", F.coalesce("to", "community").alias("community")), "label")
+        discard(label, would)
         label = new
-        still = 0 if moved else still + 1
-        if still >= 4:
-            break
-    return label.select("node", "community")
+        r += 1
 
 
 def community_names(members: DataFrame, namespace: Column) -> DataFrame:

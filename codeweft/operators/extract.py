@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from codeweft.functions import naming
+from codeweft.functions import fixed, naming
+from codeweft.functions.names import class_key
+from codeweft.operators.routes import routes  # noqa: F401
 
 
 def _files(files: DataFrame, *needles: str) -> DataFrame:
@@ -29,6 +31,20 @@ def _all(files: DataFrame, pattern: str, names: list[str], *needles: str) -> Dat
     return rows.select("file_id", *[F.col(f"x.{n}").alias(n) for n in names])
 
 
+def placed(files: DataFrame, pattern: str, names: list[str], *needles: str) -> DataFrame:
+    """(file_id, line, names...) of every match, which may span lines; ``line`` is that of its beginning.
+
+    The text before each match is taken along, so line breaks are counted without leaving the JVM.
+    """
+    rx = F.lit(rf"\G(?s)(.*?)({pattern})")  # from the last match on, so a text is read once
+    groups = [F.regexp_extract_all("content", rx, F.lit(i)) for i in range(1, len(names) + 3)]
+    x = _files(files, *needles).select("file_id", F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)]).alias("x")).filter(F.size("x") > 0)
+    breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    walked = F.aggregate("x", F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("all")), lambda acc, m: F.struct((acc["at"] + breaks(m["g0"]) + breaks(m["g1"])).alias("at"), F.concat(acc["all"], F.array(acc["at"] + breaks(m["g0"]))).alias("all")))["all"]
+    rows = x.select("file_id", F.explode(F.arrays_zip(walked.alias("line"), "x")).alias("y"))
+    return rows.select("file_id", F.col("y.line").alias("line"), *[F.col(f"y.x.g{i + 2}").alias(n) for i, n in enumerate(names)])
+
+
 def code_lines(files: DataFrame, *needles: str) -> DataFrame:
     """(file_id, line, text): the lines of files that hold one of the needles."""
     return _files(files, *needles).select("file_id", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("i", "text")).select("file_id", (F.col("i") + 1).alias("line"), "text")
@@ -78,48 +94,74 @@ def type_uses(methods: DataFrame) -> DataFrame:
 # ---- calls
 
 
-#: Calls that say nothing about the flow of a program.
-PLAIN_CALLS = ("if", "while", "for", "foreach", "switch", "match", "array", "isset", "empty", "list", "function", "fn", "return", "catch", "echo", "print", "count", "max", "min", "now", "config", "env", "report", "array_filter", "array_map", "implode", "explode", "strlen", "compact")
+#: Words before a parenthesis that are no calls.
+_CONSTRUCTS = ("if", "elseif", "while", "for", "foreach", "switch", "match", "array", "list", "function", "fn", "return", "catch", "use", "and", "or", "xor", "declare", "include", "require", "include_once", "require_once")
 
 
 def calls(files: DataFrame) -> DataFrame:
-    """(file_id, line, kind, receiver, name): self, static, instance and free calls; plain and magic ones left out."""
+    """(file_id, line, kind, receiver, name): self, static, instance and free calls; plain and magic ones left out.
+
+    ``receiver`` is this, self or static, a class or a variable without its marks, null for free calls.
+    """
     lines = code_lines(files, "(")
-    rx = r"(?:(\$this->|self::|static::|parent::|[A-Z]\w*::|\$\w+->)|(?<![\w>:$\\]))([A-Za-z_]\w*)\("
+    rx = r"(?:(\$this->|\$\w+->|\\?[A-Za-z_][\w\\]*::)|(?<![\w>:$\\])(?<!new ))([A-Za-z_]\w*)\("
     recv, name = F.regexp_extract_all("text", F.lit(rx), F.lit(1)), F.regexp_extract_all("text", F.lit(rx), F.lit(2))
-    x = lines.filter(~F.col("text").rlike(r"^\s*(?:\*|//|#|/\*)|\bfunction\s+\w+\(")).select("file_id", "line", F.explode(F.arrays_zip(recv.alias("r"), name.alias("n"))).alias("x")).select("file_id", "line", F.col("x.r").alias("receiver"), F.col("x.n").alias("name"))
-    kind = F.when(F.col("receiver").isin("$this->", "self::", "static::", "parent::"), "self").when(F.col("receiver").endswith("::"), "static").when(F.col("receiver").endswith("->"), "instance").otherwise("free")
-    return x.withColumn("kind", kind).filter(~F.col("name").startswith("__") & ~((F.col("kind") == "free") & F.lower("name").isin(*PLAIN_CALLS))).select("file_id", "line", "kind", "receiver", "name")
+    x = lines.filter(~F.col("text").rlike(r"^\s*(?:\*|//|#|/\*)|\bfunction\s+&?\w+\(")).select("file_id", "line", F.explode(F.arrays_zip(recv.alias("r"), name.alias("n"))).alias("x")).select("file_id", "line", F.col("x.r").alias("raw"), F.col("x.n").alias("name"))
+    bare = F.regexp_replace("raw", r"^[$\\]|->$|::$", "")
+    x = x.withColumn("receiver", F.when(F.col("raw") != "", bare))
+    kind = F.when(F.col("receiver").isin("this", "self", "static"), "self").when(F.col("raw").endswith("::"), "static").when(F.col("raw").endswith("->"), "instance").otherwise("free")
+    return x.withColumn("kind", kind).filter(~F.col("name").startswith("__") & ~F.col("name").isin(*fixed.PLAIN_CALLS) & ~((F.col("kind") == "free") & F.lower("name").isin(*_CONSTRUCTS))).select("file_id", "line", "kind", "receiver", "name")
+
+
+#: Confidence of a call whose method is known, and of one of which only the class is.
+CALL_CONFIDENCE = {"facade": (0.85, 0.75), "self": (0.9, 0.6), "static": (0.85, 0.7), "instance": (0.5, 0.4)}
 
 
-#: Confidence of a resolved and an unresolved call by kind.
-CALL_CONFIDENCE = {"self": (0.9, 0.6), "static": (0.85, 0.7), "instance": (0.5, 0.4), "free": (0.8, 0.0)}
+def short_targets(symbols: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., name, key): the symbol that a short name means: one of the preferred name spaces first, then the least key."""
+    prefer = reduce(lambda a, b: a | b, [F.col("fqn").startswith(p) for p in fixed.PREFERRED_SPACES])
+    return symbols.groupBy(*by, "name").agg(F.min_by("key", F.struct(F.when(prefer, 0).otherwise(1), "key")).alias("key"))
 
 
-def resolved_calls(sites: DataFrame, methods: DataFrame) -> DataFrame:
-    """(file_id, line, kind, name, target, confidence): calls of the own file first, then the least method of that name anywhere.
+def resolved_calls(sites: DataFrame, methods: DataFrame, symbols: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The sites with ``target``, ``target_kind`` (method or class), ``call_type`` and ``confidence``; calls of the unknown are left out.
 
-    ``methods`` has (method_id, file_id, name). A call by a name that nobody declares is left out.
+    ``sites`` are :func:`calls` with (repo, caller_key: class that holds the site, or null), ``methods``
+    (class_key, name, node_id), ``symbols`` (key, fqn, name, repo, node_id), ``aliases`` (file_id, alias, key).
+    The receiver says which class is meant: a service behind a short static name; the own class for
+    this, self, static and, inside a class, for no receiver; else the import of that alias, the
+    symbol of that full name, or the one of that short name in the repository. Then the method of
+    that name in the class counts, else the class itself, at the lesser confidence.
     """
-    own = methods.groupBy("file_id", "name").agg(F.min("method_id").alias("own_id"))
-    anywhere = methods.groupBy("name").agg(F.min("method_id").alias("any_id"))
-    x = sites.join(own, ["file_id", "name"], "left").join(anywhere, "name")
-    local = F.col("own_id").isNotNull() & (F.col("kind") == "self")
-    conf = None
-    for k, (hit, guess) in CALL_CONFIDENCE.items():
-        c = F.when(local | (k == "free"), hit).otherwise(guess)
-        conf = F.when(F.col("kind") == k, c) if conf is None else conf.when(F.col("kind") == k, c)
-    return x.select("file_id", "line", "kind", "name", F.when(local, F.col("own_id")).otherwise(F.col("any_id")).alias("target"), conf.alias("confidence"))
+    facade = F.create_map(*[F.lit(x) for k, v in fixed.FACADES.items() for x in (k, v)])
+    own = (F.col("kind") == "self") | ((F.col("kind") == "free") & F.col("caller_key").isNotNull())
+    x = sites.withColumn("_behind", F.when(F.col("kind") == "static", class_key(facade[F.col("receiver")])))
+    x = x.withColumn("_named", F.when(~own & F.col("_behind").isNull(), F.col("receiver")))
+    x = x.join(aliases.select("file_id", F.col("alias").alias("_named"), F.col("key").alias("_k1")).dropDuplicates(["file_id", "_named"]), ["file_id", "_named"], "left")
+    x = x.withColumn("_full", class_key(F.col("_named"))).join(symbols.select(F.col("key").alias("_full"), F.col("key").alias("_k2")), "_full", "left")
+    x = x.join(short_targets(symbols, ["repo"]).select("repo", F.col("name").alias("_named"), F.col("key").alias("_k3")), ["repo", "_named"], "left")
+    x = x.withColumn("call_type", F.when(F.col("_behind").isNotNull(), "facade").when(own, "self").otherwise(F.col("kind"))).withColumn("_key", F.coalesce("_behind", F.when(own, F.col("caller_key")), "_k1", "_k2", "_k3"))
+    m = methods.groupBy(F.col("class_key").alias("_key"), "name").agg(F.min("node_id").alias("_m"))
+    x = x.filter("_key is not null").join(m, ["_key", "name"], "left").join(symbols.select(F.col("key").alias("_key"), F.col("node_id").alias("_c")), "_key", "left").filter("_m is not null or _c is not null")
+    sure = reduce(lambda acc, kv: F.when(F.col("call_type") == kv[0], F.when(F.col("_m").isNotNull(), kv[1][0]).otherwise(kv[1][1])).otherwise(acc), CALL_CONFIDENCE.items(), F.lit(None).cast("double"))
+    return x.select(*sites.columns, F.coalesce("_m", "_c").alias("target"), F.when(F.col("_m").isNotNull(), "method").otherwise("class").alias("target_kind"), "call_type", sure.alias("confidence"))
 
 
 def dispatches(files: DataFrame) -> DataFrame:
-    """(file_id, line, target, dispatch_type): events pushed or raised and jobs dispatched, with their class; a name ending in Event or Raised is an event."""
-    rx = r"(?:\bevent\(\s*new\s+|\bdispatch(?:_sync|Sync)?\(\s*new\s+|->push\(\s*new\s+|\bDispatch::\w+\(\s*new\s+)\\?([\w\\]+)|([A-Z]\w*)::dispatch(?:Sync|Now|AfterResponse|If|Unless)?\("
-    lines = code_lines(files, "new ", "::dispatch")
-    a, b = F.regexp_extract_all("text", F.lit(rx), F.lit(1)), F.regexp_extract_all("text", F.lit(rx), F.lit(2))
-    x = lines.select("file_id", "line", F.explode(F.arrays_zip(a.alias("a"), b.alias("b"))).alias("x")).select("file_id", "line", F.coalesce(F.when(F.col("x.a") != "", F.col("x.a")), F.when(F.col("x.b") != "", F.col("x.b"))).alias("target"))
-    facades = ("Bus", "Queue", "Event", "Notification", "Mail")
-    return x.filter(F.col("target").isNotNull() & ~F.col("target").isin(*facades)).withColumn("dispatch_type", F.when(F.col("target").rlike(r"(?:Event|Raised)$"), "event").otherwise("job"))
+    """(file_id, line, target, dispatch_type): events raised and jobs dispatched, by the short name of their class.
+
+    What the event helper or the event facade gets is an event whatever its name; what a dispatch
+    call gets is one if its name ends in Event, and a class that dispatches itself also when it
+    ends in Notification; all else is a job.
+    """
+    some = r"(?:If|Now|AfterResponse|Sync)?"
+    forms = (
+        (r"\bevent\s*\(\s*new\s+([\w\\]+)\s*\(", "event(", F.lit("event")), (r"Event::dispatch\s*\(\s*new\s+([\w\\]+)\s*\(", "Event::dispatch", F.lit("event")),
+        (rf"(?<!:)dispatch{some}\s*\(\s*(?:[^,;]+,\s*)?new\s+([\w\\]+)\s*\(", "dispatch", F.when(F.col("target").endswith("Event"), "event").otherwise("job")),
+        (rf"([\w\\]+)::dispatch{some}\s*\(", "::dispatch", F.when(F.lower("target").isin(*fixed.DISPATCH_FACADES), None).when(F.col("target").rlike("(?:Event|Notification)$"), "event").otherwise("job")),
+    )
+    found = [placed(files, rx, ["t"], needle).withColumn("target", naming.short_name(F.col("t"))).withColumn("dispatch_type", kind) for rx, needle, kind in forms]
+    return reduce(lambda a, b: a.unionByName(b), found).filter("dispatch_type is not null").select("file_id", "line", "target", "dispatch_type")
 
 
 def guards(files: DataFrame, sites: DataFrame, window: int = 4) -> DataFrame:
@@ -134,20 +176,6 @@ def guards(files: DataFrame, sites: DataFrame, window: int = 4) -> DataFrame:
 # ---- framework constructs
 
 
-def routes(files: DataFrame) -> DataFrame:
-    """(file_id, http_method, uri, controller, action, name): routes with an array, string or invokable handler; resources expanded to their actions."""
-    rx = r"Route::(get|post|put|patch|delete|options|any)\(\s*'([^']*)'\s*,\s*(?:\[\s*([\w\\]+)::class\s*,\s*'(\w+)'\s*\]|'([\w\\]+)@(\w+)'|([\w\\]+)::class|function|fn)"
-    x = _all(files, rx, ["verb", "uri", "c1", "a1", "c2", "a2", "c3"], "Route::")
-    some = lambda c: F.when(F.col(c) != "", F.col(c))
-    plain = x.select("file_id", F.upper("verb").alias("http_method"), "uri", F.coalesce(some("c1"), some("c2"), some("c3")).alias("controller"), F.coalesce(some("a1"), some("a2"), F.when(F.col("c3") != "", F.lit("__invoke"))).alias("action"))
-    res = _all(files, r"Route::(apiResource|resource)\(\s*'([^']*)'\s*,\s*([\w\\]+)::class", ["kind", "uri", "controller"], "Route::")
-    act = lambda verb, action, suffix: F.struct(F.lit(verb).alias("http_method"), F.lit(action).alias("action"), F.lit(suffix).alias("suffix"))
-    api = [act("GET", "index", ""), act("POST", "store", ""), act("GET", "show", "/{id}"), act("PUT", "update", "/{id}"), act("DELETE", "destroy", "/{id}")]
-    web = [*api, act("GET", "create", "/create"), act("GET", "edit", "/{id}/edit")]
-    expanded = res.select("file_id", "uri", "controller", F.explode(F.when(F.col("kind") == "apiResource", F.array(*api)).otherwise(F.array(*web))).alias("x")).select("file_id", "x.http_method", F.concat(F.lit("/"), F.regexp_replace("uri", "^/", ""), F.col("x.suffix")).alias("uri"), "controller", "x.action")
-    return plain.unionByName(expanded)
-
-
 def middleware(spec: DataFrame, groups: DataFrame, aliases: DataFrame) -> DataFrame:
     """(route_id, middleware, parameters, position): groups replaced by their members and aliases by classes, in order.
 
@@ -302,12 +330,16 @@ def right_side(expression: Column) -> Column:
 
 
 def model_facts(files: DataFrame) -> DataFrame:
-    """(file_id, db_table, soft_deletes, timestamps, fillable, guarded, eager) of model classes."""
+    """(file_id, db_table, soft_deletes, timestamps, fillable, guarded, eager, casts) of model classes; casts maps fields to types."""
     m = _files(files.filter(F.col("path").contains("Models/")))
     lst = lambda p: F.regexp_extract_all(F.regexp_extract("content", rf"(?s)\${p}\s*=\s*\[(.*?)\]", 1), F.lit("'([^']*)'"), F.lit(1))
+    pairs = F.regexp_extract("content", r"(?s)\$casts\s*=\s*\[([^\]]*)\]", 1)
+    rx = F.lit("['\"]([^'\"]+)['\"]\\s*=>\\s*['\"]([^'\"]+)['\"]")
+    names = F.regexp_extract_all(pairs, rx, F.lit(1))
+    casts = F.map_from_arrays(F.array_distinct(names), F.transform(F.array_distinct(names), lambda n: F.get(F.regexp_extract_all(pairs, rx, F.lit(2)), F.size(names) - F.array_position(F.reverse(names), n).cast("int"))))
     t = F.regexp_extract("content", r"protected\s+(?:string\s+)?\$table\s*=\s*'([^']*)'", 1)
     name = F.regexp_extract("path", r"(\w+)\.php$", 1)
-    return m.select("file_id", F.when(t != "", t).otherwise(naming.table_of_class(name)).alias("db_table"), F.col("content").contains("SoftDeletes").alias("soft_deletes"), (~F.col("content").rlike(r"\$timestamps\s*=\s*false")).alias("timestamps"), lst("fillable").alias("fillable"), lst("guarded").alias("guarded"), lst("with").alias("eager"))
+    return m.select("file_id", F.when(t != "", t).otherwise(naming.table_of_model(name)).alias("db_table"), F.col("content").contains("SoftDeletes").alias("soft_deletes"), (~F.col("content").rlike(r"\$timestamps\s*=\s*false")).alias("timestamps"), lst("fillable").alias("fillable"), lst("guarded").alias("guarded"), lst("with").alias("eager"), casts.alias("casts"))
 
 
 def model_relations(files: DataFrame) -> DataFrame:
@@ -335,21 +367,39 @@ def test_references(files: DataFrame) -> DataFrame:
     return t.select(F.col("file_id").alias("test_id"), kind.alias("test_type"), F.array_distinct(uris).alias("uris"), F.array_distinct(refs).alias("class_refs"))
 
 
-def query_risks(files: DataFrame, window: int = 20) -> DataFrame:
-    """(file_id, line, risk, severity): a relation read inside a loop over rows, repeated counts, raw statements.
+def method_sources(files: DataFrame, methods: DataFrame) -> DataFrame:
+    """The methods (file_id, line_start, line_end, ...) with ``source``, their lines from first to last.
 
-    A loop variable read through two arrows within the lines after its foreach is a query for
-    each row; where the file loads relations ahead it is a lesser finding.
+    A missing or earlier end means the end of the file. The spans of a file are gathered and cut from
+    its lines at once, so a text crosses the shuffle once and not once a method.
     """
-    lines = code_lines(files, "foreach", "->count()", "DB::")
-    at = W.partitionBy("file_id").orderBy("line")
-    var = F.regexp_extract("text", r"foreach\s*\(.*\bas\s+(?:\$\w+\s*=>\s*)?\$(\w+)\s*\)", 1)
-    loops = lines.withColumn("var", F.when(var != "", var)).withColumn("open", F.last(F.when(F.col("var").isNotNull(), F.struct("line", "var")), ignorenulls=True).over(at.rowsBetween(-window, -1)))
-    hit = loops.filter(F.col("open").isNotNull() & F.expr("text rlike concat('[$]', open.var, '->[a-z_A-Z]+->[a-zA-Z_]+')"))
-    eager = _files(files).select("file_id", F.col("content").rlike(r"->with\(|::with\(|->load\(").alias("eager"))
-    n1 = hit.join(eager, "file_id").select("file_id", "line", F.when(F.col("eager"), "missing_eager_load").otherwise("n_plus_one").alias("risk"), F.when(F.col("eager"), "MEDIUM").otherwise("HIGH").alias("severity"))
-    counts = lines.filter(F.col("text").contains("->count()")).groupBy("file_id").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n")).filter("n >= 2").select("file_id", "line", F.lit("repeated_count").alias("risk"), F.lit("LOW").alias("severity"))
-    raw = lines.filter(F.col("text").rlike(r"DB::(?:select|statement|unprepared|raw|insert|update|delete)\(")).select("file_id", "line", F.lit("raw_query").alias("risk"), F.lit("LOW").alias("severity"))
+    keep = [c for c in methods.columns if c != "file_id"]
+    spans = methods.filter("file_id is not null and line_start >= 1").groupBy("file_id").agg(F.collect_list(F.struct(*keep)).alias("_spans"))
+    x = files.filter("content is not null").select("file_id", F.split("content", r"\r\n|\n|\r").alias("_l")).join(spans, "file_id")
+    last = lambda s: F.when(s["line_end"] >= s["line_start"], s["line_end"]).otherwise(F.size("_l"))
+    cutout = lambda s: F.array_join(F.slice("_l", s["line_start"], F.greatest(F.lit(0), F.least(last(s), F.size("_l")) - s["line_start"] + 1)), "\n")
+    return x.select("file_id", F.explode(F.transform("_spans", lambda s: F.struct(s.alias("m"), cutout(s).alias("source")))).alias("y")).select("file_id", *[F.col(f"y.m.{c}").alias(c) for c in keep], "y.source")
+
+
+def query_risks(sources: DataFrame, window: int = 20) -> DataFrame:
+    """(method, line, risk, severity) from methods (method, role, file_path, source): costly habits, each method by itself.
+
+    Only methods of controllers, services, repositories and models outside of tests are looked at.
+    A loop whose first chained access within the lines after it goes through its own variable is a
+    query for each row; where the method loads relations ahead it is a lesser finding. ``line``
+    counts from the first line of the method. Repeated counts give one row, raw statements one each.
+    """
+    m = sources.filter(F.col("role").isin(*fixed.RISK_ROLES) & ~F.lower(F.coalesce("file_path", F.lit(""))).contains("/tests/"))
+    m = m.withColumn("_l", F.split("source", "\n"))
+    rx = r"foreach\s*\(\s*\$\w+\s+as\s+(?:\$\w+\s*=>\s*)?\$(\w+)\s*\)"
+    ahead = lambda i: F.regexp_extract(F.array_join(F.slice("_l", i + 2, window), "\n"), r"\$(\w+)\s*->\s*\w+\s*->", 1)
+    loops = F.filter(F.transform("_l", lambda t, i: F.struct((i + 1).alias("line"), F.regexp_extract(t, rx, 1).alias("var"), F.when(t.rlike(rx), ahead(i)).alias("first"))), lambda s: (s["var"] != "") & (s["var"] == s["first"]))
+    eager = F.col("source").rlike(r"->with\s*\(|\$with\s*=")
+    n1 = m.filter(F.col("source").contains("foreach")).select("method", F.explode(loops).alias("x"), eager.alias("e")).select("method", "x.line", F.when(F.col("e"), "missing_eager_load").otherwise("n_plus_one").alias("risk"), F.when(F.col("e"), "MEDIUM").otherwise("HIGH").alias("severity"))
+    line_of = lambda pattern: F.size(F.split(F.regexp_extract("source", rf"(?s)^(.*?){pattern}", 1), "\n"))
+    count = r"->\s*count\s*\(\s*\)"
+    counts = m.filter(F.size(F.regexp_extract_all("source", F.lit(count), F.lit(0))) >= 2).select("method", line_of(count).alias("line"), F.lit("repeated_count").alias("risk"), F.lit("MEDIUM").alias("severity"))
+    raw = placed(m.select(F.struct("method").alias("file_id"), F.col("source").alias("content")), r"\bDB\s*::\s*(select|statement)\s*\(", ["verb"], "DB").select("file_id.method", "line", F.lit("raw_query_bypass").alias("risk"), F.lit("MEDIUM").alias("severity"))
     return n1.unionByName(counts).unionByName(raw)
 
 

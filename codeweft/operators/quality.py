@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeweft.functions import fixed
+
 
 def value_distribution(df: DataFrame, column: str, limit: int = 100) -> DataFrame:
     """(value, n): how often each value occurs, in order of the value; a report of the first ``limit``."""
@@ -63,40 +65,53 @@ def quality_report(df: DataFrame, name: str, min_rows: int = 10, max_distinct: i
     return out.orderBy(F.desc("n"), "column", "finding", "detail").limit(limit)
 
 
-_NO_COMMENTS = r"(?s)/\*.*?\*/|(?m)//[^\n]*$"
-_LOCKS = r"lockForUpdate|sharedLock|Cache::lock|DB::transaction|->lock\("
+_LOCKS = ("db::transaction", "lockforupdate", "sharedlock", "cache::lock", "->lock(")
+_REPORTING = r"(?i)(?:avg|trend|insight|report|stats|analytics|export|download|index$|list$|show$|get[A-Z])"
 
 
-def race_conditions(files: DataFrame) -> DataFrame:
-    """(file_id, pattern) of source files that check and then act without a lock.
+def race_conditions(sources: DataFrame) -> DataFrame:
+    """(method, pattern, columns, evidence) from methods (method, name, role, file_path, source) that check and then act without a lock.
 
-    Comments are left out; a file that takes a lock or a transaction anywhere is exempt.
+    Each method of models, controllers, services and jobs outside of tests is judged by itself, its
+    comments left out. Exempt are methods that take a lock or a transaction, those whose names tell
+    of reports, and those that read the request and save nothing. Patterns: a property computed
+    from itself and saved within ten lines; a count compared before rows are made; a status
+    compared with a text, set and saved. A pattern counts once for each column of a method.
     """
-    code = F.regexp_replace("content", _NO_COMMENTS, "")
-    base = files.filter(F.col("content").isNotNull()).select("file_id", code.alias("code")).filter(~F.col("code").rlike(_LOCKS))
-    kinds = {
-        "check_then_create": r"(?s)if\s*\(\s*!\s*[\w:\\$>-]*(?:exists|first)\([^;]{0,200}\{[^}]{0,300}(?:create|insert|save)\(",
-        "read_modify_write": r"\$(\w+)->(\w+)\s*(?:\+=|-=)[^;]{0,100};[^}]{0,200}->save\(\)",
-        "balance_check": r"(?s)if\s*\([^)]{0,200}(?:balance|stock|quantity|amount)\s*(?:>=|>|<|<=)[^{]{0,100}\{[^}]{0,300}(?:decrement|update|save)\(",
-    }
-    out = None
-    for kind, rx in kinds.items():
-        p = base.filter(F.col("code").rlike(rx)).select("file_id", F.lit(kind).alias("pattern"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    ok = F.col("role").isin(*fixed.RACE_ROLES) & ~F.coalesce("file_path", F.lit("")).contains("/tests/") & ~F.coalesce("file_path", F.lit("")).endswith(".blade.php") & ~F.col("name").rlike(_REPORTING)
+    m = sources.filter(ok).withColumn("code", F.regexp_replace(F.regexp_replace("source", r"//[^\n]*", ""), r"(?s)/\*.*?\*/", ""))
+    low = F.lower("code")
+    for lock in _LOCKS:
+        m = m.filter(~low.contains(lock))
+    m = m.filter(~(low.contains("$request->") & ~low.contains("->save()")))
+    lines = F.split("code", "\n")
+    rows = m.filter(F.col("code").contains("save")).select("method", "code", F.posexplode(lines).alias("i", "text"), lines.alias("l"))
+    got = rows.select("*", F.regexp_extract("text", r"\$(\w+)->(\w+)\s*=", 1).alias("v"), F.regexp_extract("text", r"\$(\w+)->(\w+)\s*=", 2).alias("c"), F.regexp_extract("text", r"\$\w+->\w+\s*=(.*)", 1).alias("rhs"), F.array_join(F.slice("l", F.col("i") + 1, 10), "\n").alias("near"))
+    got = got.filter("v <> '' and v not in ('request', 'response', 'this', 'data', 'input', 'params') and c not in ('id', 'created_at', 'updated_at', 'deleted_at')")
+    own = F.expr(r"""rhs rlike concat('[$]', v, '->', c, '(?:\\s|[-+*/;]|$)') and near rlike concat('[$]', v, '->\\s*save\\s*\\(') and not code rlike concat('(?:decrement|increment)\\(\\s*[\'"]', c, '[\'"]')""")
+    prop = got.filter(own).select("method", F.lit("ELOQUENT_PROPERTY").alias("pattern"), F.col("c").alias("columns"), F.substring(F.trim("text"), 1, 120).alias("evidence"))
+    cap = r"(?s)(->count\(\)|->sum\([^)]*\))\s*;\s*\n[^;]*if\s*\(\s*\$\w+\s*(?:<|<=|>=|>)\s*\$?\w+"
+    capacity = m.filter(F.col("code").rlike(cap) & F.col("code").rlike(r"::create\(|->insert\(")).select("method", F.lit("CAPACITY_CHECK").alias("pattern"), F.lit("count/capacity").alias("columns"), F.trim(F.substring(F.regexp_extract("code", cap, 0), 1, 100)).alias("evidence"))
+    gate = r"if\s*\(\s*\$(\w+)->\s*(\w+)\s*(?:===|==)\s*['\"]\w+['\"]"
+    pairs = F.arrays_zip(F.regexp_extract_all("code", F.lit(gate), F.lit(1)).alias("v"), F.regexp_extract_all("code", F.lit(gate), F.lit(2)).alias("c"), F.regexp_extract_all("code", F.lit(gate), F.lit(0)).alias("t"))
+    gates = m.filter(F.col("code").contains("save")).select("method", "code", F.explode(pairs).alias("x")).select("method", "code", "x.v", "x.c", "x.t").filter(F.col("c").rlike("(?:status|state|stage)$") & (F.col("v") != "request"))
+    status = gates.filter(F.expr(r"""code rlike concat('[$]', v, '->\\s*', c, '\\s*=\\s*[\'"]') and code rlike concat('[$]', v, '->\\s*save\\s*\\(')""")).select("method", F.lit("STATUS_GATE").alias("pattern"), F.col("c").alias("columns"), F.substring("t", 1, 120).alias("evidence"))
+    return prop.unionByName(capacity).unionByName(status).groupBy("method", "pattern", "columns").agg(F.min("evidence").alias("evidence"))
 
 
 def sensitive_columns(names: DataFrame, column: str = "name") -> DataFrame:
-    """Columns whose name holds a secret or personal value."""
-    return names.filter(F.lower(column).rlike(r"password|secret|token|api_key|apikey|ssn|iban|card_number|cvv|private_key"))
+    """Columns whose name tells of secrets or payment data, names that only look so left out."""
+    low = F.lower(F.col(column))
+    some = lambda words: F.array_contains(F.transform(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w)), True)
+    return names.filter(some(fixed.SENSITIVE) & ~some(fixed.NOT_SENSITIVE))
 
 
 def discriminator(name: Column, kind: Column | None = None, guards: Column | None = None) -> Column:
-    """Whether a column tells kinds of rows apart, by its name, type or the conditions on it."""
-    by_name = F.lower(name).rlike(r"(?:^|_)(?:type|status|kind|state|mode|role|category|level|flag)$|^(?:is|has)_")
-    out = by_name
+    """Whether a column tells kinds of rows apart: by a condition on it, by its name, or by a small whole or enumerated type."""
+    low = F.lower(name)
+    out = low.rlike(r"_(?:type|status|state|kind|mode|flag)$|^(?:is|has)_")
     if kind is not None:
-        out = out | F.lower(kind).rlike(r"^(?:tinyint|enum|set)\b")
+        out = out | F.lower(kind).rlike("tinyint|smallint|enum")
     if guards is not None:
         out = out | (guards > 0)
     return F.coalesce(out, F.lit(False))

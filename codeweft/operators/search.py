@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from codeweft.skew import global_rank
+
 #: Documented defaults of Okapi BM25.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Weights of the lists and the constant of the ranks.
@@ -78,15 +81,16 @@ def fuzzy(names: DataFrame, query: str, key: str, name: str, cutoff: float = 60.
     return names.select(key, score.alias("score")).filter(F.col("score") >= cutoff).orderBy(F.desc("score"), key).limit(limit)
 
 
-def rrf(lists: dict[str, DataFrame], key: str, weights: dict[str, float] | None = None, k: int = RRF_K, top: int = 1000) -> DataFrame:
-    """(key, score): sum over the lists of weight / (k + rank); each list counts with its best ``top`` entries."""
-    weights = weights or WEIGHTS
-    out = None
-    for name, df in lists.items():
-        best = df.orderBy(F.desc("score"), key).limit(top)
-        r = best.withColumn("_r", F.row_number().over(W.orderBy(F.desc("score"), key))).select(key, (F.lit(weights[name]) / (k + F.col("_r"))).alias("part"))
-        out = r if out is None else out.unionByName(r)
-    return out.groupBy(key).agg(F.sum("part").alias("score"))
+def rrf(lists: dict[str, DataFrame], key: str, weights: dict[str, float] | None = None, k: int = RRF_K, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., key, score): sum over the lists of weight / (k + rank), every entry of each list counted.
+
+    ``by`` names the columns that tell apart rankings, as one for each query. A list without a
+    weight counts with 1. Equal scores rank by the key; null scores are no entries.
+    """
+    weights = WEIGHTS if weights is None else weights
+    rows = reduce(lambda a, b: a.unionByName(b), [df.select(*by, key, "score", F.lit(n).alias("_list"), F.lit(float(weights.get(n, 1.0))).alias("_w")) for n, df in lists.items()]).filter("score is not null")
+    ranked = global_rank(rows, [*by, "_list"], [F.desc("score"), F.col(key)], "_r")
+    return ranked.groupBy(*by, key).agg(F.sum(F.col("_w") / (k + F.col("_r"))).alias("score"))
 
 
 def boosted(hits: DataFrame, path: Column, boosts: dict[str, float] | None = None) -> DataFrame:
@@ -122,6 +126,7 @@ def exact_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: s
     import pandas as pd
 
     block = 2_000
+    kind = dict(vectors.dtypes)[key]
     n = queries.count()
     out = None
     for b in range(max(1, -(-n // block))):
@@ -141,16 +146,21 @@ def exact_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: s
                     continue
                 v = np.array(x[vector].tolist(), dtype=np.float64)
                 v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-10
-                s = np.round(q @ v.T, 9)
                 keys = x[key].to_numpy()
-                frames = []
-                for i in range(len(ids)):
-                    ok = np.flatnonzero(keys != ids[i])
-                    order = ok[np.lexsort((keys[ok], -s[i, ok]))][:k]
-                    frames.append(pd.DataFrame({"query_id": ids[i], key: keys[order], "score": s[i, order]}))
-                yield pd.concat(frames)
-
-        found = vectors.select(key, vector).mapInPandas(run, f"query_id long, `{key}` long, score double")
+                s = np.round(q @ v.T, 9)
+                s[keys[None, :] == ids[:, None]] = -np.inf  # a query is no neighbour of itself
+                n = min(k, len(keys))
+                least = -np.partition(-s, n - 1, axis=1)[:, n - 1]
+                row, col = np.nonzero(s >= least[:, None])  # the best n of each query and what ties with the last
+                ok = np.isfinite(s[row, col])
+                row, col = row[ok], col[ok]
+                order = np.lexsort((keys[col], -s[row, col], row))
+                row, col = row[order], col[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[place < k], col[place < k]
+                yield pd.DataFrame({"query_id": ids[row], key: keys[col], "score": s[row, col]})
+
+        found = vectors.select(key, vector).mapInPandas(run, f"query_id {kind}, `{key}` {kind}, score double")
         out = found if out is None else out.unionByName(found)
     r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key))
     return out.withColumn("rank", r).filter(F.col("rank") <= k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,19 +23,18 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, per_node: int | None = N
     if per_node is not None:
         e = e.withColumn("_r", F.row_number().over(W.partitionBy("src").orderBy("dst"))).filter(F.col("_r") <= per_node).drop("_r")
     e = cut(e, "edges")
-    seen = cut(seeds.filter(F.col("root").isNotNull()).select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "seen")
-    front = seen
+    front = cut(seeds.filter(F.col("root").isNotNull()).select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "level")
+    levels = [front]
     for level in range(1, depth + 1):
         reached = salted_join(front.select("root", F.col("node").alias("src")), e, ["src"]).select("root", F.col("dst").alias("node")).distinct()
-        new = cut(reached.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(level)), "front")
-        if new.isEmpty():
-            break
-        more = cut(seen.unionByName(new), "seen")
-        if front is not seen:
+        seen = reduce(lambda a, b: a.unionByName(b), levels)  # each level stays where it was written
+        front = cut(reached.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(level)), "level")
+        if front.isEmpty():
             discard(front)
-        discard(seen)
-        seen, front = more, new
-    return seen
+            break
+        levels.append(front)
+    discard(e)
+    return reduce(lambda a, b: a.unionByName(b), levels)
 
 
 def capped(levels: DataFrame, limit: int) -> DataFrame:

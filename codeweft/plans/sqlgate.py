@@ -44,11 +44,18 @@ def read_only_pattern(query: str) -> str | None:
 
 
 def limited(sql: str, rows: int = DEFAULT_ROWS) -> str:
-    """A SELECT with a LIMIT, between 1 and MAX_ROWS; other kinds and statements with a limit stay as they are."""
-    bare = _bare(sql).strip().rstrip(";").strip()
-    if bare.split(None, 1)[0].lower() not in ("select", "with") or re.search(r"\blimit\s+\d+\s*$", bare, re.I):
-        return sql.strip().rstrip(";")
-    return f"{sql.strip().rstrip(';')} LIMIT {min(MAX_ROWS, max(1, rows))}"
+    """A SELECT with a LIMIT between 1 and MAX_ROWS, one that is there already included; other kinds stay as they are."""
+    text = sql.strip().rstrip(";").rstrip()
+    bare = _bare(text)
+    if bare.split(None, 1)[0].lower() not in ("select", "with"):
+        return text
+    clamp = lambda n: min(MAX_ROWS, max(1, n))
+    if m := re.search(r"\blimit\s+(\d+|all)(\s+offset\s+\d+)?\s*$", text, re.I):
+        n = MAX_ROWS if m[1].lower() == "all" else int(m[1])
+        return f"{text[: m.start()]}LIMIT {clamp(n)}{m[2] or ''}"
+    if re.search(r"\blimit\b[^)]*$", bare, re.I):  # a limit by expression or parameter: the outer one decides
+        return f"SELECT * FROM ({text}) LIMIT {MAX_ROWS}"
+    return f"{text} LIMIT {clamp(rows)}"
 
 
 def run_sql(spark: SparkSession, sql: str, rows: int = DEFAULT_ROWS, **params: object) -> DataFrame:

@@ -41,9 +41,17 @@ def walked_files(spark, d):
     return _source(spark, d).filter(src.walked(F.col("path"), F.col("size_bytes"))).select("file_id")
 
 
-@_query("""select role, count(*) as n from (select case when ends_with(path, '.blade.php') then 'blade' """ + " ".join(f"when starts_with(path, '{p}') then '{r}'" for p, r in naming.ROLE_PREFIXES) + """ else 'php' end as role from source_files) group by 1""")
+_ROLE = """case when ends_with(path, '.blade.php') and starts_with(path, 'resources/views/') then 'blade' when starts_with(path, 'app/Models/') then 'model' when starts_with(path, 'app/Http/Controllers/') then 'controller'
+  when starts_with(path, 'app/Http/Middleware/') then 'middleware' when starts_with(path, 'app/Jobs/') then 'job' when starts_with(path, 'app/Events/') then 'event' when starts_with(path, 'app/Listeners/') then 'listener'
+  when starts_with(path, 'app/Policies/') then 'policy' when starts_with(path, 'app/Http/Requests/') then 'request' when starts_with(path, 'app/Http/Resources/') then 'resource' when starts_with(path, 'app/Notifications/') then 'notification'
+  when starts_with(path, 'app/Observers/') then 'observer' when starts_with(path, 'app/Console/Commands/') then 'command' when starts_with(path, 'app/Providers/') then 'provider' when starts_with(path, 'database/factories/') then 'factory'
+  when starts_with(path, 'database/seeders/') then 'seeder' when starts_with(path, 'database/migrations/') then 'migration' when starts_with(path, 'routes/') then 'route_file'
+  when ends_with(path, '.php') and strlen(content) < 65536 and (contains(content, 'extends Model') or contains(content, 'extends Authenticatable')) then 'model' else 'php' end"""
+
+
+@_query(f"select role, count(*) as n from (select {_ROLE} as role from source_files) group by 1")
 def file_roles(spark, d):
-    return _source(spark, d).groupBy(naming.file_role(F.col("path")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+    return _source(spark, d).groupBy(naming.file_role(F.col("path"), F.col("content")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query(r"""select file_id, length(content) - length(replace(content, chr(10), '')) + case when content <> '' and not ends_with(content, chr(10)) then 1 else 0 end as n_lines, length(content) as n_chars from source_files""")
@@ -98,18 +106,22 @@ def template_graph(spark, d):
     regexp_extract_all(content, 'Route::(get|post|put|patch|delete|options|any)\(\s*''([^'']*)''\s*,\s*\[\s*([\w\\]+)::class\s*,\s*''(\w+)''\s*\]', 4) as a from source_files where extension = '.php' and content is not null)
   select file_id, upper(x[1]) as http_method, x[2] as uri, x[3] as controller, x[4] as action from (select file_id, unnest(list_zip(v, u, c, a)) as x from m)""")
 def routes(spark, d):
-    return extract.routes(_php(spark, d)).select("file_id", "http_method", "uri", "controller", "action")
+    return extract.routes(_php(spark, d)).select("file_id", "http_method", "uri", naming.short_name(F.col("controller")).alias("controller"), "action")
 
 
 @_query(r"""with m as (select file_id, unnest(regexp_extract_all(content, 'Route::(?:get|post|put|patch|delete|options|any)\(\s*''([^'']*)''', 1)) as uri from source_files where extension = '.php' and content is not null),
-  s as (select [p for p in string_split(lower(uri), '/') if p <> '' and not starts_with(p, '{') and p not in ('api','v1','v2','v3','admin','web','app','index','create','edit','show','store','update','destroy','delete')] as p from m)
-  select coalesce(p[1], 'general') as slug, count(*) as n from s group by 1""")
+  s as (select [p for p in string_split(lower(uri), '/') if p <> '' and not starts_with(p, '{') and p not in ('api','v1','v2','v3','v4','web','admin','dashboard','app','index','list','detail','show','create','store','edit','update','delete','destroy')] as p from m)
+  select coalesce(replace(p[1], '-', '_'), 'general') as slug, count(*) as n from s group by 1""")
 def feature_slugs(spark, d):
     return extract.routes(_php(spark, d)).groupBy(naming.feature_slug(F.col("uri")).alias("slug")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query(r"""with m as (select file_id, unnest(list_zip(regexp_extract_all(content, '(?m)(\$this->|\$\w+->)?(?:events|bus)->push\(\s*new\s+\\?([\w\\]+)', 2))) as x from source_files where extension = '.php' and content is not null)
-  select x[1] as target, case when regexp_matches(x[1], '(?:Event|Raised)$') then 'event' else 'job' end as dispatch_type, count(*) as n from m group by 1, 2""")
+@_query(r"""with c as (select file_id, replace(content, '(', '( ') as t from source_files where extension = '.php' and content is not null),
+  m as (select file_id, 'event' as f, unnest(regexp_extract_all(t, '\bevent\s*\(\s*new\s+([\w\\]+)\s*\(', 1)) as x from c union all select file_id, 'event', unnest(regexp_extract_all(t, 'Event::dispatch\s*\(\s*new\s+([\w\\]+)\s*\(', 1)) from c
+    union all select file_id, 'new', unnest(regexp_extract_all(t, '(?:^|[^:])dispatch(?:If|Now|AfterResponse|Sync)?\s*\(\s*(?:[^,;]+,\s*)?new\s+([\w\\]+)\s*\(', 1)) from c union all select file_id, 'self', unnest(regexp_extract_all(t, '([\w\\]+)::dispatch(?:If|Now|AfterResponse|Sync)?\s*\(', 1)) from c),
+  s as (select file_id, f, list_extract(string_split(x, '\'), -1) as target from m)
+  select target, case when f = 'event' or ends_with(target, 'Event') or (f = 'self' and ends_with(target, 'Notification')) then 'event' else 'job' end as dispatch_type, count(*) as n from s
+  where not (f = 'self' and lower(target) in ('event', 'bus', 'queue', 'job', 'mail', 'notification', 'dispatch')) group by 1, 2""")
 def dispatch_targets(spark, d):
     return extract.dispatches(_php(spark, d)).groupBy("target", "dispatch_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -122,7 +134,7 @@ def heritage(spark, d):
 
 @_query(r"""with p as (select method_id, unnest(string_split_regex(regexp_replace(coalesce(return_type, ''), '[?()\s]', '', 'g'), '[|&]')) as t, 'return' as role from methods
   union all select method_id, unnest(string_split_regex(regexp_replace(q, '[?()\s]', '', 'g'), '[|&]')), 'param' from (select method_id, unnest(cast(json(param_types) as varchar[])) as q from methods where json_valid(param_types)))
-  select distinct method_id, regexp_replace(t, '^\\', '') as type, role from p where t <> '' and lower(t) not in ('int','integer','float','double','string','bool','boolean','array','object','mixed','void','null','never','callable','iterable','self','static','parent','true','false')""")
+  select distinct method_id, regexp_replace(t, '^\\', '') as type, role from p where t <> '' and t not in ('int','integer','float','double','string','bool','boolean','null','void','never','array','callable','iterable','mixed','object','resource','self','static','parent','$this','true','false')""")
 def type_uses(spark, d):
     return extract.type_uses(table(spark, d, "methods")).select("method_id", "type", "role").distinct()
 
@@ -131,13 +143,6 @@ def migration_columns(spark, d):
     return extract.migration_columns(_source(spark, d))
 
 
-def call_graph(spark, d):
-    from codeweft.sources.tables import table as t
-
-    m = t(spark, d, "methods").select("method_id", "file_id", "name")
-    return extract.resolved_calls(extract.calls(_php(spark, d)), m).groupBy("kind", "confidence").agg(F.count(F.lit(1)).alias("n"))
-
-
 def db_access(spark, d):
     return extract.db_access(_php(spark, d)).groupBy("via", "operation", "target").agg(F.count(F.lit(1)).alias("n"))
 
@@ -154,14 +159,6 @@ def contracts(spark, d):
     return extract.contracts(_php(spark, d)).groupBy("kind", "subject").agg(F.count(F.lit(1)).alias("n"))
 
 
-def query_risks(spark, d):
-    return extract.query_risks(_php(spark, d)).groupBy("risk", "severity").agg(F.count(F.lit(1)).alias("n"))
-
-
-def race_conditions(spark, d):
-    return quality.race_conditions(_php(spark, d))
-
-
 def guard_conditions(spark, d):
     php = _php(spark, d)
     return extract.guards(php, extract.dispatches(php))
@@ -171,7 +168,7 @@ def switch_maps(spark, d):
     return extract.switch_maps(_php(spark, d)).groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-for _f in (migration_columns, call_graph, db_access, injections, model_facts, contracts, query_risks, race_conditions, guard_conditions, switch_maps):
+for _f in (migration_columns, db_access, injections, model_facts, contracts, guard_conditions, switch_maps):
     QUERIES[_f.__name__] = _f
 
 
@@ -180,7 +177,7 @@ for _f in (migration_columns, call_graph, db_access, injections, model_facts, co
 
 @_query(r"""with n as (select distinct name from parsed_classes where name is not null),
   s as (select name, lower(regexp_replace(regexp_replace(name, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) as snake from n)
-  select name, snake, case when regexp_matches(snake, '[^aeiou]y$') then regexp_replace(snake, 'y$', 'ies') when regexp_matches(snake, '(?:s|x|z|ch|sh)$') then snake || 'es' else snake || 's' end as table_name,
+  select name, snake, case when ends_with(snake, 'y') and not ends_with(snake, 'ey') then regexp_replace(snake, 'y$', 'ies') when regexp_matches(snake, '(?:s|x|z|ch|sh)$') then snake || 'es' else snake || 's' end as table_name,
   [t for t in string_split(lower(trim(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))), ' ') if length(t) >= 3] as tokens from s""")
 def name_forms(spark, d):
     n = table(spark, d, "parsed_classes").select("name").filter("name is not null").distinct()
@@ -192,7 +189,8 @@ def stable_ids(spark, d):
     return table(spark, d, "search_results").select("node_id", "fqn", "label").distinct().select("node_id", naming.stable_id(F.col("fqn"), F.col("label")).alias("id"))
 
 
-@_query("""select method_id, case when regexp_matches(name, '^scope[A-Z]') then 'scope' when regexp_matches(name, '^get[A-Z]\\w*Attribute$') then 'accessor' when regexp_matches(name, '^set[A-Z]\\w*Attribute$') then 'mutator'
+@_query("""select method_id, case when name in ('hasOne', 'hasMany', 'belongsTo', 'belongsToMany', 'hasOneThrough', 'hasManyThrough', 'morphOne', 'morphMany', 'morphTo', 'morphToMany', 'morphedByMany') then 'relationship'
+  when regexp_matches(name, '^scope[A-Z]') then 'scope' when starts_with(name, 'get') and ends_with(name, 'Attribute') then 'accessor' when starts_with(name, 'set') and ends_with(name, 'Attribute') then 'mutator'
   when name in ('boot', 'booted') then 'boot' when name = 'register' then 'register' when name = 'handle' then 'handle' end as tag from methods""")
 def method_tags(spark, d):
     return table(spark, d, "methods").select("method_id", naming.method_tag(F.col("name")).alias("tag"))
@@ -241,14 +239,18 @@ def hybrid_search(spark, d):
     return search.page(search.boosted(search.rrf(lists, "doc_id").join(docs.select("doc_id", "source"), "doc_id"), F.col("source")), "doc_id", 50).select("doc_id", F.round("score", 8).alias("score"))
 
 
-@_query("""with h as (select query_id, node_id, max(score) as s from search_results where not isnan(score) and score is not null group by 1, 2), r as (select query_id, node_id, row_number() over (partition by query_id order by s desc, node_id) as k from h)
-  select node_id, round(sum(1.0 / (60 + k)), 8) as score from r group by 1""")
-def rrf_merge(spark, d):
-    from pyspark.sql import Window as W
+_HIT = "case when isnan({0}) or {0} = 0 then null else {0} end"
+
 
-    s = table(spark, d, "search_results").filter(~F.isnan("score") & F.col("score").isNotNull()).groupBy("query_id", "node_id").agg(F.max("score").alias("s"))
-    r = s.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("s"), "node_id")))
-    return r.groupBy("node_id").agg(F.round(F.sum(1.0 / (search.RRF_K + F.col("k"))), 8).alias("score"))
+@_query(f"""with h as (select query_id, node_id, max({_HIT.format('bm25_score')}) as b, max({_HIT.format('vector_score')}) as v, max({_HIT.format('fuzzy_score')}) as f from search_results where query_id is not null and node_id is not null group by 1, 2),
+  r as (select query_id, node_id, row_number() over (partition by query_id order by b desc, node_id) as k from h where b is not null union all select query_id, node_id, row_number() over (partition by query_id order by v desc, node_id) from h where v is not null
+    union all select query_id, node_id, row_number() over (partition by query_id order by f desc, node_id) from h where f is not null)
+  select query_id, node_id, round(sum(1.0 / (60 + k)), 8) as score from r group by 1, 2""")
+def rrf_merge(spark, d):
+    s = table(spark, d, "search_results").filter("query_id is not null and node_id is not null")
+    hit = lambda c: F.max(F.when(~F.isnan(c) & (F.col(c) != 0), F.col(c))).alias("score")
+    lists = {c: s.groupBy("query_id", "node_id").agg(hit(c)).filter("score is not null") for c in ("bm25_score", "vector_score", "fuzzy_score")}
+    return search.rrf(lists, "node_id", by=["query_id"]).select("query_id", "node_id", F.round("score", 8).alias("score"))
 
 
 @_query("""with v as (select vec_id, embedding::double[] as e from embeddings), q as (select * from v where vec_id % 20 = 0),
@@ -295,7 +297,7 @@ def log_stats(spark, d):
 
 
 def quality_report(spark, d):
-    return quality.quality_report(table(spark, d, "documents").select("lang", "source"), "documents")
+    return quality.quality_report(table(spark, d, "documents"), "documents")
 
 
 QUERIES["quality_report"] = quality_report

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeweft.operators import graph
+from codeweft.operators import extract, graph, quality
 from codeweft.operators.schema import legal_pairs
-from codeweft.plans import tools
+from codeweft.plans import catalog_tools, tool_sql, tools
 from codeweft.session import cut
 from codeweft.sources.code_graph import CodeGraph
 from codeweft.sources.tables import table
@@ -28,8 +28,8 @@ def graph_violations(spark, d):
 
 def tool_context(spark, d):
     g = _graph(spark, d)
-    rels = ("DEFINES", "EXTENDS_CLASS", "IMPLEMENTS_INTERFACE", "USES_TRAIT", "DISPATCHES", "USES_TYPE")
-    return tools.context(g.nodes("File", "Method", *tools.KINDS), g.edges(*rels), g.nodes("Class_"))
+    rels = ("DEFINES", "EXTENDS_CLASS", "IMPLEMENTS_INTERFACE", "USES_TRAIT", "CALLS", "DISPATCHES", "USES_TYPE")
+    return tools.context(g.nodes("File", "Method", *tools.KINDS), g.edges(*rels), g.nodes(*tools.KINDS))
 
 
 def tool_impact(spark, d):
@@ -52,7 +52,7 @@ def tool_flows(spark, d):
 
 def tool_dead_methods(spark, d):
     g = _graph(spark, d)
-    return tools.dead_methods(g.nodes("Method"), g.edges("CALLS", "ROUTES_TO", "DEFINES", "EXTENDS_CLASS", "IMPLEMENTS_INTERFACE"))
+    return tools.dead_methods(g.nodes("Method", *tools.KINDS), g.edges("CALLS", "ROUTES_TO", "DISPATCHES", "DEFINES", "EXTENDS_CLASS"), g.method_sources(), g.routes().select("action"))
 
 
 def tool_cross_cutting(spark, d):
@@ -91,8 +91,96 @@ def tool_unused_classes(spark, d):
     return tools.symbols_without_use(g.nodes(*tools.KINDS), g.edges("EXTENDS_CLASS", "IMPLEMENTS_INTERFACE", "USES_TRAIT", "DISPATCHES", "USES_TYPE"))
 
 
+def call_graph(spark, d):
+    return _graph(spark, d).calls().groupBy("call_type", "target_kind", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+def call_targets(spark, d):
+    return _graph(spark, d).calls().select("src", "target", "line").distinct()
+
+
+def query_risks(spark, d):
+    return extract.query_risks(_graph(spark, d).method_sources())
+
+
+def race_conditions(spark, d):
+    return quality.race_conditions(_graph(spark, d).method_sources()).select("method", "pattern", "columns")
+
+
+def tool_routes(spark, d):
+    return catalog_tools.route_list(_graph(spark, d)).select("node_id", "repo", "http_method", "uri", "controller", "action", "handler")
+
+
+def tool_api_surface(spark, d):
+    return catalog_tools.api_surface(_graph(spark, d))
+
+
+def tool_models(spark, d):
+    return catalog_tools.model_list(_graph(spark, d))
+
+
+def tool_events(spark, d):
+    return catalog_tools.event_list(_graph(spark, d))
+
+
+def tool_bindings(spark, d):
+    return catalog_tools.binding_list(_graph(spark, d))
+
+
+def tool_schema(spark, d):
+    return catalog_tools.schema_list(_graph(spark, d))
+
+
+def tool_db_context(spark, d):
+    return catalog_tools.table_context(_graph(spark, d))
+
+
+def tool_resolve_column(spark, d):
+    return catalog_tools.column_context(_graph(spark, d))
+
+
+def tool_connection_map(spark, d):
+    return catalog_tools.connection_map(_graph(spark, d))
+
+
+def tool_explain(spark, d):
+    return catalog_tools.explained(_graph(spark, d))
+
+
+def tool_list_repos(spark, d):
+    return catalog_tools.repo_list(_graph(spark, d))
+
+
+def tool_map(spark, d):
+    return catalog_tools.layer_map(_graph(spark, d))
+
+
+def tool_risks(spark, d):
+    return catalog_tools.risk_list(_graph(spark, d))
+
+
+def tool_outbound_apis(spark, d):
+    return catalog_tools.outbound_calls(_graph(spark, d))
+
+
+def tool_tests(spark, d):
+    return catalog_tools.test_map(_graph(spark, d))
+
+
+def tool_feature_context(spark, d):
+    return catalog_tools.feature_context(tool_features(spark, d))
+
+
+def tool_security_surface(spark, d):
+    return catalog_tools.security_surface(_graph(spark, d))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (graph_status, graph_violations, tool_context, tool_impact, tool_request_flow, tool_flows, tool_dead_methods, tool_cross_cutting, tool_table_access, tool_write_impact, tool_settings, tool_features, tool_changed_symbols, tool_unused_classes)
-}
-SQL: dict[str, str] = {}
+    for f in (
+        graph_status, graph_violations, call_graph, call_targets, query_risks, race_conditions, tool_context, tool_impact, tool_request_flow, tool_flows, tool_dead_methods, tool_cross_cutting, tool_table_access, tool_write_impact, tool_settings,
+        tool_features, tool_changed_symbols, tool_unused_classes, tool_routes, tool_api_surface, tool_models, tool_events, tool_bindings, tool_schema, tool_db_context, tool_resolve_column, tool_connection_map, tool_explain, tool_list_repos, tool_map,
+        tool_risks, tool_outbound_apis, tool_tests, tool_feature_context, tool_security_surface,
+    )
+}
+SQL = tool_sql.SQL

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.functions import naming
+from codeweft.functions import fixed, naming
 from codeweft.operators import analytics, traverse
 from codeweft.operators.graph import ratio
 
@@ -63,20 +63,31 @@ def flows(nodes: DataFrame, edges: DataFrame, depth: int = 5, limit: int = 200)
     return traverse.capped(traverse.bfs(calls, starts.select(F.col("node_id").alias("root")), depth), limit)
 
 
-def dead_methods(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def dead_methods(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, actions: DataFrame | None = None) -> DataFrame:
     """(node_id, name, file_path) of methods that nothing needs.
 
-    Exempt are called and routed methods, magic, handler and accessor names, overrides of a live
-    method of the parent, and methods of test and third-party files.
+    Exempt are methods that an edge reaches, those the framework calls by name, scopes, accessors and
+    mutators, methods of traits and of classes whose role the framework calls, methods that declare a
+    relation of a model (``sources``: method, role, source), methods named like the action of a route
+    (``actions``: action), and overrides of a method of the class above. Third-party and legacy files are left out.
     """
     m = nodes.filter("label = 'Method'")
-    used = edges.filter(F.col("rel").isin("CALLS", "ROUTES_TO")).select(F.col("dst").alias("node_id")).distinct()
-    named = m.filter(F.col("name").startswith("__") | naming.method_tag(F.col("name")).isNotNull() | F.col("file_path").rlike(r"(?:^|/)(?:tests|vendor)/")).select("node_id")
-    owner = edges.filter("rel = 'DEFINES'").select(F.col("src").alias("owner"), F.col("dst").alias("node_id")).join(m.select("node_id", F.lower("name").alias("n")), "node_id")
-    up = edges.filter(F.col("rel").isin("EXTENDS_CLASS", "IMPLEMENTS_INTERFACE")).select(F.col("src").alias("owner"), F.col("dst").alias("parent")).distinct()
-    over = owner.join(up, "owner").join(owner.select(F.col("owner").alias("parent"), "n", F.col("node_id").alias("parent_id")), ["parent", "n"]).select("node_id", "parent_id")
-    dead, _ = traverse.live_nodes(m, [used, named], over)
-    return dead.select("node_id", "name", "file_path")
+    used = edges.filter(F.col("rel").isin("CALLS", "ROUTES_TO", "DISPATCHES", "LISTENS_TO", "HANDLES", "SCHEDULES", "BLADE_CALLS")).select(F.col("dst").alias("node_id"))
+    n = F.col("name")
+    known = n.isin(*fixed.EXEMPT_METHODS) | n.rlike("^scope[A-Z]") | n.rlike("^get[A-Z].*Attribute$") | n.rlike("^set[A-Z].*Attribute$") | F.coalesce("file_path", F.lit("")).rlike(r"/(?:vendor|legacy)/")
+    owner = edges.filter("rel = 'DEFINES'").select(F.col("src").alias("owner"), F.col("dst").alias("node_id")).join(m.select("node_id", "name"), "node_id")
+    kind = nodes.filter(F.col("label").isin(*KINDS)).select(F.col("node_id").alias("owner"), "label", "role")
+    framed = owner.join(kind.filter((F.col("label") == "Trait_") | F.col("role").isin(*fixed.EXEMPT_ROLES)), "owner").select("node_id")
+    up = edges.filter("rel = 'EXTENDS_CLASS'").select(F.col("src").alias("owner"), F.col("dst").alias("parent")).distinct()
+    over = owner.join(up, "owner").join(owner.select(F.col("owner").alias("parent"), "name"), ["parent", "name"], "left_semi").select("node_id")
+    exempt = used.unionByName(framed).unionByName(over)
+    if sources is not None:
+        calls = "|".join(fixed.RELATION_CALLS)
+        exempt = exempt.unionByName(sources.filter((F.col("role") == "model") & F.col("source").rlike(rf"\$this->(?:{calls})\(")).select(F.col("method").alias("node_id")))
+    left = m.filter(~F.coalesce(known, F.lit(False)))
+    if actions is not None:
+        left = left.join(actions.filter("action is not null").select(F.col("action").alias("name")).distinct(), "name", "left_anti")
+    return left.join(exempt.distinct(), "node_id", "left_anti").select("node_id", "name", "file_path")
 
 
 def cross_cutting(nodes: DataFrame, edges: DataFrame, files: int = 3, layers: int = 2) -> DataFrame:

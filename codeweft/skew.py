@@ -58,3 +58,24 @@ def grouped_rank(df: DataFrame, group: Sequence[str], score: str, order: Sequenc
     inner = W.partitionBy(*group, "_bin").orderBy(F.desc_nulls_last(score), *order)
     ranked = b.withColumn("_in", F.row_number().over(inner))
     return ranked.join(above.drop("_n"), [*group, "_bin"]).withColumn(rank, (F.col("_in") + F.col("_above")).cast(T.LongType())).drop("_in", "_above", "_bin")
+
+
+def global_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], rank: str) -> DataFrame:
+    """Row number within each group of ``by`` in ``order``, also for one group of all rows.
+
+    The rows are sorted by range over all tasks and written; the place of a row is that in its task
+    plus the rows of the tasks before, so no group is one task, however many rows or ties it has.
+    ``order`` must be total within a group.
+    """
+    from codeweft.session import cut
+
+    at = F.monotonically_increasing_id()
+    low = F.lit((1 << 33) - 1)
+    s = cut(df.orderBy(*by, *order).select("*", F.shiftright(at, 33).alias("_task"), at.bitwiseAND(low).alias("_in")), "ranked")
+    sizes = s.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))  # one row a task
+    before = sizes.select("_task", F.coalesce(F.sum("_n").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = s.join(F.broadcast(before), "_task").withColumn("_at", F.col("_before") + F.col("_in")).drop("_task", "_in", "_before")
+    if not by:
+        return placed.withColumn(rank, F.col("_at") + 1).drop("_at")
+    first = placed.groupBy(*by).agg(F.min("_at").alias("_first"))
+    return placed.join(first, list(by)).withColumn(rank, F.col("_at") - F.col("_first") + 1).drop("_at", "_first")

@@ -39,7 +39,7 @@ class CodeGraph:
 
     def files(self) -> DataFrame:
         f = self.read("source_files")
-        return f.select("file_id", "repo", "path", "extension", "content", F.coalesce(F.col("laravel_role"), naming.file_role(F.col("path"))).alias("role"))
+        return f.select("file_id", "repo", "path", "extension", "content", F.coalesce(F.col("laravel_role"), naming.file_role(F.col("path"), F.col("content"))).alias("role"))
 
     def php(self) -> DataFrame:
         return self.files().filter("extension = '.php'")
@@ -48,7 +48,8 @@ class CodeGraph:
         """(key, node_id, label, name, fqn, ...) of the living symbols."""
         s = living_symbols(self.read("parsed_classes"), ["kind", "name", "repo", "file_id", "file_path", "line_start", "line_end", "extends", "implements", "traits"])
         label = F.when(F.col("kind") == "trait", "Trait_").when(F.col("kind") == "interface", "Interface_").when(F.col("kind") == "enum", "Enum_").otherwise("Class_")
-        return s.withColumn("label", label).withColumn("node_id", node_id(F.lower("label"), F.col("key")))
+        role = naming.class_role(naming.file_role(F.col("file_path")), F.col("extends"))
+        return s.withColumn("label", label).withColumn("role", role).withColumn("node_id", node_id(F.lower("label"), F.col("key")))
 
     def methods(self) -> DataFrame:
         """(node_id, class_key, ...) of the methods, repeated rows once."""
@@ -57,8 +58,15 @@ class CodeGraph:
         return one.withColumn("class_key", class_key(F.substring_index("fqn", "::", 1)))
 
     def routes(self) -> DataFrame:
+        """Routes of the route files with ids: by name, else by verb and path."""
         r = extract.routes(self.php().filter("path like 'routes/%'")).join(self.files().select("file_id", "repo", "path"), "file_id")
-        return r.withColumn("node_id", node_id("route", F.col("repo"), F.col("http_method"), F.col("uri"))).withColumn("name", F.concat_ws(" ", "http_method", "uri"))
+        return r.withColumn("node_id", node_id("route", F.col("repo"), F.coalesce("name", F.concat_ws(":", "http_method", "uri")))).withColumn("name", F.coalesce("name", F.concat_ws(" ", "http_method", "uri")))
+
+    def method_sources(self) -> DataFrame:
+        """(method, name, fqn, class_key, repo, file_path, role, source) of the methods whose file is there; ``role`` is that of the class."""
+        s = self.symbols().select(F.col("key").alias("class_key"), "role")
+        m = self.methods().select("file_id", "line_start", "line_end", F.col("node_id").alias("method"), "name", "fqn", "class_key", "repo", "file_path")
+        return extract.method_sources(self.php(), m).join(s, "class_key", "left").drop("file_id", "line_start", "line_end")
 
     def templates(self) -> DataFrame:
         t = self.files().filter("extension = '.blade.php'")
@@ -108,13 +116,17 @@ class CodeGraph:
         x = enclosing(sites, m, "file_id", "line", "line_start", "line_end")
         return x.filter("span_node_id is not null").withColumnRenamed("span_node_id", "src").drop("span_file_id", "span_line_start", "span_line_end")
 
+    def _aliases(self) -> DataFrame:
+        """(file_id, alias, key): what the imports of a file stand for."""
+        return extract.imports(self.php()).select("file_id", "alias", class_key(F.col("fqn")).alias("key")).groupBy("file_id", "alias").agg(F.min("key").alias("key"))
+
     def _by_alias(self, names: DataFrame, column: str) -> DataFrame:
-        """Names as a file writes them, with the symbol they mean: through its imports, else the least one of that short name in the repository."""
+        """Names as a file writes them, with the symbol they mean: through its imports, else the one of that short name in the repository."""
         repo = self.files().select("file_id", "repo")
         s = self.symbols()
-        used = extract.imports(self.php()).select("file_id", F.col("alias").alias(column), class_key(F.col("fqn")).alias("key")).dropDuplicates(["file_id", column])
+        used = self._aliases().withColumnRenamed("alias", column)
         direct = names.join(used, ["file_id", column], "left").join(s.select("key", F.col("node_id").alias("d0")), "key", "left").drop("key")
-        short = s.groupBy("repo", F.col("name").alias(column)).agg(F.min("node_id").alias("d1"))
+        short = extract.short_targets(s, ["repo"]).join(s.select("key", F.col("node_id").alias("d1")), "key").select("repo", F.col("name").alias(column), "d1")
         return direct.join(repo, "file_id", "left").join(short, ["repo", column], "left").withColumn("dst", F.coalesce("d0", "d1")).drop("d0", "d1", "repo").filter("dst is not null")
 
     def edges(self, *rels: str) -> DataFrame:
@@ -150,13 +162,17 @@ class CodeGraph:
         ids = self._file_id()
         return x.join(ids.withColumnRenamed("file_node", "src"), "file_id").drop("file_id").join(ids.select(F.col("file_id").alias("target"), F.col("file_node").alias("dst")), "target")
 
+    def calls(self) -> DataFrame:
+        """(src, target, target_kind, call_type, line, confidence) of the calls inside methods that can be told."""
+        m = self.methods().select("class_key", "name", "node_id")
+        at = self._inside(extract.calls(self.php())).join(m.select(F.col("node_id").alias("src"), F.col("class_key").alias("caller_key")), "src").join(self.files().select("file_id", "repo"), "file_id")
+        return extract.resolved_calls(at, m, self.symbols().select("key", "fqn", "name", "repo", "node_id"), self._aliases())
+
     def _calls(self) -> DataFrame:
-        m = self.methods().select(F.col("node_id").alias("method_id"), "file_id", "name")
-        r = extract.resolved_calls(extract.calls(self.php()), m)
-        return self._inside(r).select("src", F.col("target").alias("dst"), "line", "confidence", F.col("kind").alias("detail"))
+        return self.calls().select("src", F.col("target").alias("dst"), "line", "confidence", F.col("call_type").alias("detail"))
 
     def _dispatches(self) -> DataFrame:
-        d = extract.dispatches(self.php()).withColumn("target", naming.short_name(F.col("target")))
+        d = extract.dispatches(self.php())
         return self._by_alias(self._inside(d), "target").select("src", "dst", "line", F.col("dispatch_type").alias("detail"))
 
     def _uses_type(self) -> DataFrame:
@@ -167,10 +183,12 @@ class CodeGraph:
         return self._by_alias(names, "type").select("src", "dst", "detail")
 
     def _routes_to(self) -> DataFrame:
-        r = self.routes().filter("controller is not null").select("repo", F.col("node_id").alias("src"), naming.short_name(F.col("controller")).alias("name"), "action")
-        c = self.symbols().groupBy("repo", "name").agg(F.min("key").alias("class_key"))
+        """Routes to the method that handles them: the controller by its full name, else by its short name in the repository."""
+        r = self.routes().filter("controller is not null").select("repo", F.col("node_id").alias("src"), class_key(F.col("controller")).alias("full"), naming.short_name(F.col("controller")).alias("name"), "action").distinct()
+        s = self.symbols()
+        c = r.join(s.select(F.col("key").alias("full"), F.col("key").alias("k0")), "full", "left").join(extract.short_targets(s, ["repo"]).withColumnRenamed("key", "k1"), ["repo", "name"], "left")
         m = self.methods().groupBy("class_key", F.col("name").alias("action")).agg(F.min("node_id").alias("dst"))
-        return r.join(c, ["repo", "name"]).join(m, ["class_key", "action"]).select("src", "dst")
+        return c.withColumn("class_key", F.coalesce("k0", "k1")).join(m, ["class_key", "action"]).select("src", "dst")
 
     def _model_tables(self) -> DataFrame:
         """(node_id, name, repo, table) of the models; one without a named table has that of its name."""

@@ -20,7 +20,8 @@ def test_writing_statements_are_refused(sql):
 def test_limits_are_added_and_clamped():
     assert sqlgate.limited("select 1", 9999).endswith("LIMIT 500")
     assert sqlgate.limited("select 1", -4).endswith("LIMIT 1")
-    assert sqlgate.limited("select 1 limit 7;") == "select 1 limit 7"
+    assert sqlgate.limited("select 1 limit 7;") == "select 1 LIMIT 7" and sqlgate.limited("select 1 LIMIT 100000 OFFSET 3").endswith("LIMIT 500 OFFSET 3") and sqlgate.limited("select 1 limit all").endswith("LIMIT 500")
+    assert sqlgate.limited("select 1 limit 10 * 100").endswith("LIMIT 500")
     assert sqlgate.limited("show tables") == "show tables"
 
 
@@ -80,13 +81,14 @@ def test_merge_stream_keeps_the_latest_row(spark, tmp_path):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(inbox))
         q = watch.merge_stream(watch.changed_files(spark, str(inbox), schema), str(tmp_path / "t"), ["path"], ["at"], str(tmp_path / "c"), after=lambda df: seen.append(df.count()))
         q.awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "t/v=1"))
+    got = watch.current(spark, str(tmp_path / "t"), schema)
     assert {(r["path"], r["text"]) for r in got.collect()} == {("a", "2"), ("b", "1")} and seen == [2, 2]
 
 
 def test_steps_and_windows(spark, frame, tmp_path):
     x = watch.steps_for(frame([("app/Models/A.php",), ("x.php",)], "path string"))
-    assert x.filter("path = 'x.php'").count() == len(watch.BASE_STEPS) and x.filter("step = 'relations'").count() == 1
+    assert watch.steps_for(frame([("routes/a.php",), ("a/b.blade.php",), ("x.css",), ("database/migrations/1.php",)], "path string")).count() == 4
+    assert x.filter("path = 'x.php'").count() == len(watch.BASE_STEPS) == 11 and x.filter("step = 'relations'").count() == 1
     schema = "ts timestamp_ntz, event_type string"
     t = dt.datetime(2024, 1, 1)
     spark.createDataFrame([(t, "a"), (t + dt.timedelta(minutes=5), "a"), (t + dt.timedelta(hours=3), "b")], schema).write.parquet(str(tmp_path / "e"))

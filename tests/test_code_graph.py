@@ -22,7 +22,7 @@ class OrderController extends Base
     private function total()
     {
         Order::create([]);
-        $this->events->push(new OrderRaised(1));
+        event(new OrderRaised(1));
     }
     public function nobody()
     {
@@ -61,8 +61,8 @@ def pairs(edges, rel):
 def test_edges_of_every_kind(code):
     _, nodes, edges, _ = code
     assert pairs(edges, "EXTENDS_CLASS") == {("app\\ordercontroller", "app\\base")}
-    assert pairs(edges, "ROUTES_TO") == {("r::GET::/orders", "OrderController::index")}
-    assert pairs(edges, "CALLS") == {("OrderController::index", "OrderController::total")}
+    assert pairs(edges, "ROUTES_TO") == {("r::GET:/orders", "OrderController::index")}
+    assert pairs(edges, "CALLS") == {("OrderController::index", "OrderController::total"), ("OrderController::index", "app\\order"), ("OrderController::total", "app\\order")}
     assert pairs(edges, "DISPATCHES") == {("OrderController::total", "app\\orderraised")}
     assert pairs(edges, "USES_TYPE") == {("OrderController::index", "app\\order")}
     assert pairs(edges, "QUERIES_TABLE") == {("OrderController::index", "orders"), ("OrderController::total", "orders")}
@@ -83,9 +83,9 @@ def test_all_edges_are_declared(spark, code):
 def test_tools(code):
     g, nodes, edges, t = code
     seed = nodes.filter("node_id = 'table:orders'")
-    assert {r["node"].split(":", 1)[1] for r in tools.impact(nodes, edges, nodes.filter("name = 'total'"), 3).collect()} >= {"OrderController::index", "orders", "r::GET::/orders"}
-    assert {(r["name"], r["depth"]) for r in tools.request_flow(nodes, edges, nodes.filter("label = 'Route'")).collect()} == {("index", 1), ("total", 2), ("ORDERS", 2), ("OrderRaised", 3)}
-    assert {r["name"] for r in tools.dead_methods(nodes, edges).collect()} == {"nobody"} and tools.dead_methods(nodes, edges).count() == 2
+    assert {r["node"].split(":", 1)[1] for r in tools.impact(nodes, edges, nodes.filter("name = 'total'"), 3).collect()} >= {"OrderController::index", "orders", "r::GET:/orders"}
+    assert {(r["name"], r["depth"]) for r in tools.request_flow(nodes, edges, nodes.filter("label = 'Route'")).collect()} == {("index", 1), ("total", 2), ("ORDERS", 2), ("Order", 2), ("OrderRaised", 3)}
+    assert {r["name"] for r in tools.dead_methods(nodes, edges).collect()} == {"nobody"}
     a = tools.table_access(nodes, edges).first()
     assert (a["n_reads"], a["n_writes"], a["conflict"]) == (1, 1, True)
     assert [(r["method"], r["target_name"]) for r in tools.write_impact(nodes, edges, seed).collect()] == [("method:OrderController::total", "OrderRaised")]
@@ -132,3 +132,36 @@ def test_request_flow_query_follows_every_edge_of_a_node(spark, frame, monkeypat
     edges = frame([("r", "ROUTES_TO", "h"), *[("h", "CALLS", x) for x in names], ("h", "QUERIES_TABLE", "z")], "src string, rel string, dst string")
     monkeypatch.setattr(tool_queries, "_graph", lambda s, d: Small(nodes, edges))
     assert {r["node"] for r in tool_queries.tool_request_flow(spark, "").collect()} == {"h", "z", *names}
+
+
+def test_inventories(spark, code):
+    from codeweft.plans import catalog_tools as c
+
+    g, _, _, t = code
+    r = c.route_list(g).first()
+    assert (r["http_method"], r["uri"], r["handler"]) == ("GET", "/orders", "method:OrderController::index")
+    assert [tuple(x) for x in c.api_surface(g).collect()] == [("r", "orders", "GET", 1, 0, 1)] and c.guarded_share(g).first()["percent"] == 0.0
+    assert [(x["name"], x["columns"]) for x in c.schema_list(g).withColumnRenamed("table_name", "name").collect()] == [("orders", ["a", "id"])]
+    x = c.table_context(g).first()
+    assert (x["name"], x["n_columns"], x["n_models"], x["n_readers"], x["n_writers"]) == ("orders", 2, 1, 1, 1)
+    assert [tuple(x) for x in c.connection_map(g).collect()] == [("r", "main", 1, 1, 2)]
+    assert {(x["column"], x["n_models"]) for x in c.column_context(CodeGraph({**t, "eloquent_models": spark.createDataFrame([(1, "m", "r", "Order", "App\\Order", None, '["a"]', '{"a": "int"}', True, True, T)], "model_id long, node_id string, repo string, name string, fqn string, db_table string, fillable string, casts string, soft_deletes boolean, timestamps boolean, parsed_at timestamp")}.__getitem__)).collect()} == {("id", 1), ("a", 1)}
+    e = {x["node_id"]: x for x in c.explained(g).collect()}["class_:app\\ordercontroller"]
+    assert (e["n_methods"], e["n_parents"], e["n_children"], e["n_users"]) == (3, 1, 0, 0)
+    p = spark.createDataFrame([("r", "p1", "SELECT * FROM orders; UPDATE `Orders` SET a = 1"), ("r", "p2", None)], "repo string, name string, body string")
+    assert {(x["name"], x["n_reads"], x["n_writes"]) for x in c.procedure_list(p).collect()} == {("p1", 1, 1), ("p2", 0, 0)}
+    assert sorted(x["operation"] for x in c.procedure_context(p, g).collect()) == ["read", "write"]
+    k = spark.createDataFrame([("main", {"host": "${DB_HOST}", "port": "3306", "database": "env:MISSING"})], "name string, settings map<string,string>")
+    got = {(x["key"], x["value"], x["source"]) for x in c.resolved_connections(k, spark.createDataFrame([("DB_HOST", "h"), ("DB_USERNAME", "u")], "key string, value string")).collect()}
+    assert got == {("host", "h", "env"), ("port", "3306", "given"), ("username", "u", "env")}
+
+
+def test_security_surface(spark, code):
+    from codeweft.plans import catalog_tools as c
+
+    _, _, _, t = code
+    text = "<?php\nRoute::post('/stripe/webhook', [OrderController::class, 'nobody']);\n" + "".join(f"Route::get('/shop/{i}', [OrderController::class, 'index'])->middleware('auth');\n" for i in range(3)) + "Route::get('/shop/open', [OrderController::class, 'index']);\n"
+    mig = "<?php\nSchema::create('orders', function ($table) {\n    $table->string('card_number');\n    $table->string('card_title');\n    });\n"
+    files = [f for f in FILES if f[0] not in (2, 9)] + [(2, "r", "routes/web.php", ".php", "route_file", text), (9, "r", "database/migrations/1.php", ".php", "migration", mig)]
+    g = CodeGraph({**t, "source_files": spark.createDataFrame(files, t["source_files"].schema)}.__getitem__)
+    assert sorted((x["severity"], x["kind"], x["location"]) for x in c.security_surface(g).collect()) == [("CRITICAL", "UNVERIFIED_WEBHOOK", "POST /stripe/webhook"), ("HIGH", "SENSITIVE_DATA_RETENTION", "orders.card_number"), ("MEDIUM", "MISSING_AUTH", "GET /shop/open")]

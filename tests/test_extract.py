@@ -20,7 +20,7 @@ class OrderController extends Base
         // $this->hidden();
         $rows = Order::query()->where('x', 1)->get();
         if ($rows->total > 3) {
-            $this->events->push(new OrderRaised($rows));
+            event(new OrderRaised($rows));
         }
         foreach ($rows as $row) {
             echo $row->customer->name;
@@ -57,7 +57,7 @@ FILES = [
     (4, "resources/views/orders/index.blade.php", "@extends('layouts.app')\n{{-- @include('no') --}}@include('orders.row')<x-badge />"),
     (5, "config/shop.php", "<?php\nreturn [\n    'limit' => env('SHOP_LIMIT', 5),\n    'deep' => [\n        'no' => 1,\n    ],\n];\n"),
     (6, "app/Providers/P.php", "<?php\nclass P {\n  protected $listen = [ OrderRaised::class => [ SendMail::class, Log::class ] ];\n function register() { $this->app->singleton(Gate::class, RealGate::class); app()->bind(X::class, fn () => 1); } }"),
-    (7, "app/Models/Category.php", "<?php\nclass Category { use SoftDeletes; protected $fillable = ['a', 'b']; public function items() { return $this->hasMany(Item::class, 'cat_id'); } }"),
+    (7, "app/Models/Category.php", "<?php\nclass Category { use SoftDeletes; protected $fillable = ['a', 'b']; protected $casts = ['a' => 'string', 'b' => 'array', 'a' => 'int']; public function items() { return $this->hasMany(Item::class, 'cat_id'); } }"),
     (8, "tests/Feature/OrderTest.php", "<?php\nclass OrderTest { function t() { $this->getJson('/orders/1'); Order::factory(); } }"),
     (9, "app/Notifications/N.php", "<?php\nclass N { public function via($x): array { return ['mail', 'database']; } }"),
     (10, "app/Http/Requests/R.php", "<?php\nclass R {\n    public function rules(): array\n    {\n        return ['name' => 'required|max:3', 'tags' => ['array', 'min:1']];\n    }\n}\n"),
@@ -87,14 +87,54 @@ def test_calls_and_dispatches(php):
     assert rows(extract.dispatches(php), "target", "dispatch_type") == [("OrderRaised", "event"), ("SyncJob", "job")]
     g = extract.guards(php, extract.dispatches(php).filter("target = 'OrderRaised'"))
     assert g.first()["condition"].startswith("if ($rows->total")
-    r = extract.resolved_calls(extract.calls(php), php.sparkSession.createDataFrame([(9, 1, "index")], "method_id int, file_id int, name string"))
-    assert ("self", 9, 0.9) in rows(r, "kind", "target", "confidence")
+
+
+def test_calls_follow_the_receiver(spark, frame):
+    text = "<?php\nclass A {\n function f() {\n  $this->own(); self::gone(); User::find(1); Sale::total(); Cache::put(1); $user->save2(); helper(); view('x'); parent::f(); Nobody::x();\n }\n}\n"
+    sites = extract.calls(frame([(1, text)], "file_id int, content string")).withColumn("repo", F.lit("r")).withColumn("caller_key", F.lit("app\\a"))
+    methods = frame([("app\\a", "own", "m:own"), ("app\\models\\user", "other", "m:o"), ("app\\order", "total", "m:total"), ("lib\\x", "find", "m:wrong")], "class_key string, name string, node_id string")
+    symbols = frame([("app\\a", "App\\A", "A", "r", "c:a"), ("app\\models\\user", "App\\Models\\User", "User", "r", "c:u"), ("a\\user", "A\\User", "User", "r", "c:x"), ("app\\order", "App\\Order", "Order", "r", "c:o"), ("illuminate\\cache\\repository", "Illuminate\\Cache\\Repository", "Repository", "r", "c:cache"), ("app\\user2", "App\\user", "user", "r", "c:var")], "key string, fqn string, name string, repo string, node_id string")
+    aliases = frame([(1, "Sale", "app\\order")], "file_id int, alias string, key string")
+    got = {(r["name"], r["target"], r["call_type"], r["confidence"]) for r in extract.resolved_calls(sites, methods, symbols, aliases).collect()}
+    assert got == {("own", "m:own", "self", 0.9), ("gone", "c:a", "self", 0.6), ("find", "c:u", "static", 0.7), ("total", "m:total", "static", 0.85), ("put", "c:cache", "facade", 0.75), ("save2", "c:var", "instance", 0.4), ("helper", "c:a", "self", 0.6)}
+
+
+def test_dispatch_kinds(frame):
+    text = "<?php\nevent(new OrderPlaced(1));\ndispatch(new SendMail(\n1)); Event::dispatch(new Sold(2)); dispatchIf($a, new PaidEvent(1)); SyncJob::dispatch(); BillNotification::dispatch(); Bus::dispatch($x); $stack->push(new Item(1));\n$this->dispatch(\n  new Lib\\Late(1));\n"
+    got = sorted((r["line"], r["target"], r["dispatch_type"]) for r in extract.dispatches(frame([(1, text), (2, None), (3, "")], "file_id int, content string")).collect())
+    assert got == [(2, "OrderPlaced", "event"), (3, "SendMail", "job"), (4, "BillNotification", "event"), (4, "PaidEvent", "event"), (4, "Sold", "event"), (4, "SyncJob", "job"), (5, "Late", "job")]
+
+
+def test_route_groups_resources_and_closures(frame):
+    text = """<?php
+use A\\OrderController as OC;
+Route::get('/a', [OC::class, 'index'])->name('a.index')->middleware('auth');
+Route::prefix('api')->middleware(['web', 'x'])->group(function () {
+  Route::group(['prefix' => 'v1', 'middleware' => ['q', R::class]], function () {
+     Route::apiResource('items', ItemController::class)->only(['index', 'show']);
+     Route::resource('notes', NoteController::class)->except('edit', 'create', 'update', 'destroy');
+     Route::post('p', fn () => (new PayController())->pay());
+  });
+  Route::controller(K::class)->group(function () { Route::get('/k', 'go'); });
+  // Route::get('/no', 'x@y');
+  Route::match(['get', 'post'], 'm', 'Foo@bar');
+  Route::get('c', function (OrderController $c) { return $c->show(1); });
+  Route::get('d', function () { return view("a } b"); })->name('d');
+});
+Route::get('i', Inv::class);
+"""
+    got = [(r["http_method"], r["uri"], r["controller"], r["action"], r["middleware"]) for r in extract.routes(frame([(1, text), (2, None), (3, "x")], "file_id int, content string")).orderBy("position").collect()]
+    assert got == [
+        ("GET", "/a", "A\\OrderController", "index", ["auth"]), ("GET", "/api/v1/items", "ItemController", "index", ["q", "R"]), ("GET", "/api/v1/items/{id}", "ItemController", "show", ["q", "R"]),
+        ("GET", "/api/v1/notes", "NoteController", "index", ["q", "R"]), ("POST", "/api/v1/notes", "NoteController", "store", ["q", "R"]), ("GET", "/api/v1/notes/{id}", "NoteController", "show", ["q", "R"]), ("POST", "/api/v1/p", "PayController", "pay", ["q", "R"]),
+        ("GET", "/api/k", "K", "go", ["web", "x"]), ("GET", "/api/m", "Foo", "bar", ["web", "x"]), ("POST", "/api/m", "Foo", "bar", ["web", "x"]), ("GET", "/api/c", "OrderController", "show", ["web", "x"]), ("GET", "/api/d", None, None, ["web", "x"]), ("GET", "i", "Inv", "__invoke", []),
+    ]
 
 
 def test_routes_expand_resources(php):
     x = rows(extract.routes(php).select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("http_method", "uri", "controller", "action")]), "http_method", "uri", "controller", "action")
     assert ("GET", "/orders", "OrderController", "index") in x and ("POST", "/orders", "OrderController", "store") in x
-    assert ("DELETE", "/items/{id}", "ItemController", "destroy") in x and len(x) == 7
+    assert ("DELETE", "items/{id}", "ItemController", "destroy") in x and len(x) == 7
 
 
 def test_migrations_spell_out_shorthands(php):
@@ -114,7 +154,7 @@ def test_templates_config_and_bindings(php):
 
 def test_models_tests_requests_and_notifications(php):
     m = extract.model_facts(php).first()
-    assert (m["db_table"], m["soft_deletes"], m["fillable"]) == ("categories", True, ["a", "b"])
+    assert (m["db_table"], m["soft_deletes"], m["fillable"], m["casts"]) == ("categories", True, ["a", "b"], {"a": "int", "b": "array"})
     assert rows(extract.model_relations(php), "relation", "target", "foreign_key") == [("hasMany", "Item", "cat_id")]
     assert extract.test_references(php).first()["uris"] == ["/orders/1"]
     assert rows(extract.notification_channels(php), "channel") == [("database",), ("mail",)]
@@ -124,9 +164,26 @@ def test_models_tests_requests_and_notifications(php):
     assert ("constructor", "Mailer") in rows(extract.injections(php), "injection", "type")
 
 
-def test_risks(php):
-    assert ("n_plus_one", "HIGH") in rows(extract.query_risks(php), "risk", "severity")
-    assert quality.race_conditions(php).count() == 0
+def test_risks_and_races_by_method(frame):
+    body = lambda *lines: "\n".join(lines)
+    rows_ = [
+        ("a", "index2", "controller", "app/A.php", body("function a() {", " foreach ($rows as $row) {", "  echo $row->customer->name;", " }", "}")), ("b", "b", "model", "app/B.php", body("f() {", " $q->with('c');", " foreach ($rows as $k => $row) {", "  $row->c->d();", " } }")),
+        ("c", "c", "service", "app/C.php", body("f() {", " $a->count(); $b->count();", " DB::select('x'); DB::raw('y'); $x->load('z');", "}")), ("d", "d", "job", "app/D.php", "foreach ($a as $b) {\n $b->c->d;\n}"), ("e", "e", "model", "app/tests/E.php", "DB::select('x')"),
+        ("f", "pay", "service", "app/F.php", body("f() {", " $o->left = $o->left - 1;", " $o->save();", "}")), ("g", "pay", "service", "app/F.php", body("f() { // lock", " DB::transaction(fn () => 1); $o->left = $o->left - 1;", " $o->save();", "}")),
+        ("h", "close", "model", "app/H.php", body("if ($o->status == 'open') {", " $o->status = 'shut';", " $o->save(); }")), ("i", "book", "controller", "app/I.php", body("$n = $x->count();", "if ($n < $max) { Seat::create([]); }")), ("j", "report", "model", "app/J.php", "$o->a = $o->a - 1;\n$o->save();"), ("k", "n", None, None, None),
+    ]
+    m = frame(rows_, "method string, name string, role string, file_path string, source string")
+    got = sorted((r["method"], r["line"], r["risk"], r["severity"]) for r in extract.query_risks(m).collect())
+    assert got == [("a", 2, "n_plus_one", "HIGH"), ("b", 3, "missing_eager_load", "MEDIUM"), ("c", 2, "repeated_count", "MEDIUM"), ("c", 3, "raw_query_bypass", "MEDIUM")]
+    assert sorted((r["method"], r["pattern"], r["columns"]) for r in quality.race_conditions(m).collect()) == [("f", "ELOQUENT_PROPERTY", "left"), ("h", "STATUS_GATE", "status"), ("i", "CAPACITY_CHECK", "count/capacity")]
+    d = frame([("order_type", "string"), ("type", "string"), ("is_x", None), ("n", "smallint(5)"), ("role", "varchar"), (None, None)], "n string, t string")
+    assert [r["n"] for r in d.filter(quality.discriminator(F.col("n"), F.col("t"))).collect()] == ["order_type", "is_x", "n"]
+
+
+def test_method_sources_are_cut_from_the_lines_of_a_file(frame):
+    files = frame([(1, "a\nb\r\nc\nd"), (2, None)], "file_id int, content string")
+    spans = frame([(1, 2, 3, "x"), (1, 3, None, "y"), (1, 4, 2, "z"), (1, 9, 10, "beyond"), (None, 1, 1, "no"), (2, 1, 1, "null")], "file_id int, line_start int, line_end int, method string")
+    assert {r["method"]: r["source"] for r in extract.method_sources(files, spans).collect()} == {"x": "b\nc", "y": "c\nd", "z": "d", "beyond": ""}
 
 
 def test_sql_bodies(spark):
