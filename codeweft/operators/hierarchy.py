@@ -8,19 +8,23 @@ descendants, and - through an equi-join on dyadic position blocks - ancestors an
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from codeweft.functions.names import class_key
 from codeweft.operators.symbols import living_symbols
-from codeweft.session import cut, discard
+from codeweft.session import cut, discard, rows, seen
 from codeweft.skew import salted_join
 
 #: Siblings are chained within this many buckets of each parent, so no parent is one task.
 SIBLING_BUCKETS = 64
-#: Rounds of plain peeling before the rest is decided by pointer doubling.
-PEEL_ROUNDS = 6
+#: Rounds of plain peeling, and peels a round, before the rest is decided by pointer jumping.
+PEEL_ROUNDS, PEELS = 2, 3
+#: Joins with the pointers of the round before in one round of pointer jumping: pointers grow by one more than this.
+JUMPS = 2
 
 
 def cycle_breaks(parents: DataFrame) -> DataFrame:
@@ -28,29 +32,32 @@ def cycle_breaks(parents: DataFrame) -> DataFrame:
 
     Childless nodes are peeled off round by round; what is left after a few rounds are cycles
     and long chains, and only that rest is followed by pointer doubling: a node on a cycle is
-    one that is still pointed at after more steps than there are nodes. The link of the least
+    one that is still pointed at after more steps than nodes are left. The link of the least
     key of a cycle is the one to break. Links to nodes that have no row end there.
     """
-    core = cut(parents.select("child", "parent"), "core")
-    n = core.count()
+    core, n = parents.select("child", "parent"), None
     for _ in range(PEEL_ROUNDS):
-        smaller = cut(core.join(core.select(F.col("parent").alias("child")).distinct(), "child", "left_semi"), "core")
-        m = smaller.count()
+        peeled = core
+        for _ in range(PEELS):
+            peeled = peeled.join(peeled.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
+        smaller = cut(peeled, "core")
         discard(core)
-        core = smaller
-        if m in (0, n):
+        core, before, n = smaller, n, rows(smaller)
+        if n in (0, before):
             break
-        n = m
-    if core.isEmpty():
+    if n == 0:
         return core.select("child")
-    # jump[v]: the node 2^k steps above v (null beyond a root), least: the least key met on the way
-    jump = cut(core.select("child", F.col("parent").alias("up"), F.least("child", "parent").alias("least")), "jump")
-    steps = 1
-    while steps < n + 1:
+    # jump[v]: the node so many steps above v (no row where a root comes before), least: the least key met on the way
+    jump, steps = cut(core.select("child", F.col("parent").alias("up"), F.least("child", "parent").alias("least")), "jump"), 1
+    discard(core)
+    while steps < rows(jump) + 1:  # no cycle is longer than the rows that are left
         above = jump.select(F.col("child").alias("up"), F.col("up").alias("up2"), F.col("least").alias("least2"))
-        further = cut(jump.join(above, "up").select("child", F.col("up2").alias("up"), F.least("least", "least2").alias("least")), "jump")
+        further = jump
+        for _ in range(JUMPS):
+            further = further.join(above, "up").select("child", F.col("up2").alias("up"), F.least("least", "least2").alias("least"))
+        further = cut(further, "jump")
         discard(jump)
-        jump, steps = further, steps * 2
+        jump, steps = further, steps * (JUMPS + 1)
     on_cycle = jump.select(F.col("up").alias("child")).distinct()
     return jump.join(on_cycle, "child", "left_semi").groupBy("least").agg(F.min("least").alias("child")).select("child")
 
@@ -82,17 +89,18 @@ def _tour(nodes: DataFrame, forest: DataFrame) -> DataFrame:
 
 def _ranked(tour: DataFrame) -> DataFrame:
     """List ranking by pointer jumping: for each element the sums of w and d from it to the end, and the end."""
-    cur = cut(tour.select("el", "nxt", "w", "d", F.when(F.col("nxt").isNull(), F.col("el.node")).alias("tail")), "rank")
-    while True:
-        going = cur.filter(F.col("nxt").isNotNull())
-        if going.isEmpty():
-            return cur
+    going = F.count("nxt")
+    cur = cut(tour.select("el", "nxt", "w", "d", F.when(F.col("nxt").isNull(), F.col("el.node")).alias("tail")), "rank", going=going)
+    while seen(cur, "going"):
         ahead = cur.select(F.col("el").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("w").alias("w2"), F.col("d").alias("d2"), F.col("tail").alias("tail2"))
-        # elements that have arrived take no part in the join
-        moved = going.join(ahead, "nxt").select("el", F.col("nxt2").alias("nxt"), (F.col("w") + F.col("w2")).alias("w"), (F.col("d") + F.col("d2")).alias("d"), F.coalesce("tail", "tail2").alias("tail"))
-        new = cut(moved.unionByName(cur.filter(F.col("nxt").isNull())), "rank")
+        moved = cur.filter(F.col("nxt").isNotNull())
+        for _ in range(JUMPS):  # an element that has arrived meets nothing and stays as it is
+            moved = moved.join(ahead, "nxt", "left").select("el", F.col("nxt2").alias("nxt"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"), F.coalesce("tail", "tail2").alias("tail"))
+        # those that have arrived before are still pointed at, so they are carried along
+        new = cut(moved.unionByName(cur.filter(F.col("nxt").isNull())), "rank", going=going)
         discard(cur)
         cur = new
+    return cur
 
 
 def euler_intervals(nodes: DataFrame, forest: DataFrame) -> DataFrame:
@@ -116,7 +124,7 @@ def euler_intervals(nodes: DataFrame, forest: DataFrame) -> DataFrame:
             (F.col("total") - F.col("w0")).alias("entry"),
             (F.col("total") - F.coalesce("w1", F.col("w0") - 1)).alias("leave"),
         ),
-        "euler",
+        "euler", span=F.max(F.col("leave") - F.col("entry")),
     )
 
 
@@ -127,8 +135,7 @@ def ancestor_pairs(intervals: DataFrame) -> DataFrame:
     lies in one block a level, so the containment becomes an equi-join on (root, level, block)
     that meets each pair exactly once. Blocks of a huge root are salted.
     """
-    top = intervals.agg(F.max("leave").alias("m")).first()["m"]
-    levels = max(1, int(top or 1).bit_length())
+    levels = max(1, int(seen(intervals, "span") or 1).bit_length())  # a block is no longer than the longest interval
     inner = intervals.filter(F.col("leave") > F.col("entry") + 1).select(F.col("node").alias("ancestor"), F.col("depth").alias("ancestor_depth"), "root", (F.col("entry") + 1).alias("lo"), F.col("leave").alias("hi"))
     # dyadic cover of [lo, hi): on the way up a level, an odd lo takes block lo, an odd hi takes block hi - 1
     blocks = []
@@ -137,9 +144,8 @@ def ancestor_pairs(intervals: DataFrame) -> DataFrame:
         blocks.append(F.when((lo < hi) & (lo % 2 == 1), F.struct(F.lit(k).alias("level"), lo.alias("block"))))
         blocks.append(F.when((lo < hi) & (hi % 2 == 1) & ~((lo % 2 == 1) & (hi - 1 == lo)), F.struct(F.lit(k).alias("level"), (hi - 1).alias("block"))))
     cover = inner.select("ancestor", "ancestor_depth", "root", F.explode(F.filter(F.array(*blocks), lambda x: x.isNotNull())).alias("x")).select("ancestor", "ancestor_depth", "root", "x.*")
-    used = [r["level"] for r in cover.select("level").distinct().collect()]  # at most 64 numbers
-    points = intervals.select("node", "root", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.expr(f"shiftright(entry, {k})").alias("block")) for k in sorted(used) or [0]])).alias("x")).select("node", "root", "x.*")
-    return salted_join(points, cover, ["root", "level", "block"]).select("node", "ancestor", "ancestor_depth")
+    points = intervals.select("node", "root", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.expr(f"shiftright(entry, {k})").alias("block")) for k in range(levels + 1)])).alias("x")).select("node", "root", "x.*")
+    return salted_join(points, cover, ["root", "level", "block"], most=rows(intervals) * (levels + 1)).select("node", "ancestor", "ancestor_depth")
 
 
 def forest_of(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +161,7 @@ def forest_of(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]
     breaks = cut(cycle_breaks(chosen), "breaks")
     forest = cut(chosen.join(breaks, "child", "left_anti"), "forest")
     rest = cut(both.join(forest, ["child", "parent"], "left_anti").select("child", "parent"), "rest")
-    discard(chosen)
+    discard(chosen, breaks, both)
     return forest, rest
 
 
@@ -173,22 +179,29 @@ def closure(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def _closed(nodes: DataFrame, spans: DataFrame, rest: DataFrame) -> DataFrame:
     """:func:`closure` from the intervals of the forest and the links left over."""
     tree = cut(ancestor_pairs(spans).select("node", F.col("ancestor").alias("reached")), "tree")
-    if rest.isEmpty():
+    if not rows(rest):
         return tree
     # one left-over link and whatever the forest has above its parent
     hop = cut(rest.select(F.col("child").alias("reached"), F.col("parent").alias("to")).unionByName(
-        salted_join(tree.select(F.col("node").alias("parent"), F.col("reached").alias("to")), rest, ["parent"]).select(F.col("child").alias("reached"), "to")
+        salted_join(tree.select(F.col("node").alias("parent"), F.col("reached").alias("to")), rest, ["parent"], most=rows(tree)).select(F.col("child").alias("reached"), "to")
     ).distinct(), "hop")
-    frontier = tree.select("node", "reached").unionByName(nodes.select("node", F.col("node").alias("reached")))
-    seen, last = tree, None
+    frontier, most = tree.select("node", "reached").unionByName(nodes.select("node", F.col("node").alias("reached"))), rows(tree) + rows(spans)
+    parts = [tree]
     while True:
-        found = salted_join(frontier, hop, ["reached"]).select("node", F.col("to").alias("reached")).distinct()
-        new = cut(found.join(seen, ["node", "reached"], "left_anti"), "pairs")
-        if new.isEmpty():
-            return seen
-        more = cut(seen.unionByName(new), "seen")
-        discard(last, seen)
-        seen, frontier, last = more, new, new
+        found = salted_join(frontier, hop, ["reached"], most=most).select("node", F.col("to").alias("reached")).distinct()
+        new = cut(found.join(_union(parts), ["node", "reached"], "left_anti"), "pairs")
+        if not rows(new):
+            discard(new, hop)
+            return _union(parts)
+        parts.append(new)
+        frontier, most = new, rows(new)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    """The rows of parts that stay where they were written, their number known."""
+    out = reduce(lambda a, b: a.unionByName(b), parts)
+    out._codeweft_seen = {"_rows": sum(map(rows, parts))}  # noqa: SLF001
+    return out
 
 
 def _forest_paths(spans: DataFrame, named: DataFrame) -> DataFrame:
@@ -212,26 +225,26 @@ def ways(named: DataFrame, links: DataFrame) -> DataFrame:
     steps = F.col("depth") - F.col("ancestor_depth")
     down = ancestor_pairs(spans).join(spans.select("node", "depth"), "node").join(lines, "node")
     tree = cut(down.select("node", F.col("ancestor").alias("reached"), steps.cast("long").alias("distance"), F.slice("path", (F.col("ancestor_depth") + 1).cast("int"), (steps + 1).cast("int")).alias("path")), "tree")
-    if rest.isEmpty():
+    if not rows(rest):
         return tree
     named_rest = rest.join(named.select(F.col("node").alias("child"), F.col("fqn").alias("child_fqn")), "child")
     one = named_rest.join(named.select(F.col("node").alias("parent"), F.col("fqn").alias("parent_fqn")), "parent")
     above = tree.select(F.col("node").alias("parent"), F.col("reached").alias("to"), "distance", "path")
     hop = one.select(F.col("child").alias("reached"), F.col("parent").alias("to"), F.lit(1).cast("long").alias("far"), F.array("parent_fqn", "child_fqn").alias("way")).unionByName(
-        salted_join(above, named_rest, ["parent"]).select(F.col("child").alias("reached"), "to", (F.col("distance") + 1).alias("far"), F.concat("path", F.array("child_fqn")).alias("way"))
+        salted_join(above, named_rest, ["parent"], most=rows(tree)).select(F.col("child").alias("reached"), "to", (F.col("distance") + 1).alias("far"), F.concat("path", F.array("child_fqn")).alias("way"))
     )
     hop = cut(hop.groupBy("reached", "to").agg(F.min(F.struct("far", "way")).alias("x")).select("reached", "to", "x.*"), "hop")
-    frontier = tree.unionByName(named.select("node", F.col("node").alias("reached"), F.lit(0).cast("long").alias("distance"), F.array("fqn").alias("path")))
-    seen, last = tree, None
+    frontier, most = tree.unionByName(named.select("node", F.col("node").alias("reached"), F.lit(0).cast("long").alias("distance"), F.array("fqn").alias("path"))), rows(tree) + rows(spans)
+    parts = [tree]
     while True:
-        met = salted_join(frontier, hop, ["reached"]).select("node", F.col("to").alias("reached"), (F.col("distance") + F.col("far")).alias("distance"), F.concat("way", F.slice("path", F.lit(2), F.size("path"))).alias("path"))
+        met = salted_join(frontier, hop, ["reached"], most=most).select("node", F.col("to").alias("reached"), (F.col("distance") + F.col("far")).alias("distance"), F.concat("way", F.slice("path", F.lit(2), F.size("path"))).alias("path"))
         found = met.groupBy("node", "reached").agg(F.min(F.struct("distance", "path")).alias("x")).select("node", "reached", "x.*")
-        new = cut(found.join(seen.select("node", "reached"), ["node", "reached"], "left_anti"), "pairs")
-        if new.isEmpty():
-            return seen
-        more = cut(seen.unionByName(new), "seen")
-        discard(last, seen)
-        seen, frontier, last = more, new, new
+        new = cut(found.join(_union(parts).select("node", "reached"), ["node", "reached"], "left_anti"), "pairs")
+        if not rows(new):
+            discard(new, hop)
+            return _union(parts)
+        parts.append(new)
+        frontier, most = new, rows(new)
 
 
 def symbol_links(parsed_classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -257,7 +270,8 @@ def symbol_pairs(parsed_classes: DataFrame) -> DataFrame:
     nodes, links = symbol_links(parsed_classes)
     pairs = closure(nodes.select("node"), links)
     name = nodes.select("node", "fqn")
-    named = pairs.join(name, "node").select("reached", F.col("fqn").alias("a")).join(name.select(F.col("node").alias("reached"), F.col("fqn").alias("b")), "reached")
+    # a base class may be reached from most symbols
+    named = salted_join(pairs, name.select(F.col("node").alias("reached"), F.col("fqn").alias("b")), ["reached"], most=rows(pairs)).join(name.withColumnRenamed("fqn", "a"), "node")
     return named.select(F.least("a", "b").alias("fqn_a"), F.greatest("a", "b").alias("fqn_b")).distinct()
 
 
@@ -275,7 +289,7 @@ def symbol_hierarchy(parsed_classes: DataFrame) -> DataFrame:
     only = nodes.select("node")
     forest, rest = forest_of(only, links)
     spans = euler_intervals(only, forest)
-    pairs = cut(_closed(only, spans, rest), "closure")
+    pairs = _closed(only, spans, rest)
     below = pairs.groupBy(F.col("reached").alias("node")).agg(F.count(F.lit(1)).alias("n_descendants"))
     tops = nodes.join(forest.select("child").unionByName(rest.select("child")).select(F.col("child").alias("node")), "node", "left_anti")
     reached = pairs.join(tops.select(F.col("node").alias("reached"), "fqn"), "reached").groupBy("node").agg(F.collect_set("fqn").alias("tops"))

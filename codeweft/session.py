@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIRS: list[str] = []
 
@@ -60,20 +61,32 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
+def cut(df: DataFrame, name: str = "step", **also: Column) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Cuts the lineage of iterative plans, survives lost executors and gives the optimizer exact
-    sizes. The table stays until :func:`discard` or the end of the session's folder.
+    sizes. The table stays until :func:`discard` or the end of the session's folder. Its rows are
+    counted on the way: see :func:`rows`; ``also`` names further aggregates, see :func:`seen`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codeweft/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    watch = Observation()
+    df.observe(watch, F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in also.items()]).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._codeweft_path = path  # noqa: SLF001
+    out._codeweft_path, out._codeweft_seen = path, watch.get  # noqa: SLF001
     return out
 
 
+def rows(df: DataFrame) -> int:
+    """The number of rows of a table made by :func:`cut`, known without a job."""
+    return seen(df, "_rows")
+
+
+def seen(df: DataFrame, name: str):
+    """An aggregate that :func:`cut` took along."""
+    return df._codeweft_seen[name]  # noqa: SLF001
+
+
 def discard(*dfs: DataFrame | None) -> None:
     """Delete tables made by :func:`cut` that no later plan reads."""
     for df in dfs:

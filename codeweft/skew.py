@@ -30,13 +30,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, min_r
     return found.filter(ok).select(*keys)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS, share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS, hot: DataFrame | None = None) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS, share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS, hot: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Equi-join in which the rows of ``left`` under a hot key are spread over ``salts`` sub-keys.
 
     The few matching rows of ``right`` are repeated once per sub-key. ``how`` may be inner, left,
     left_semi or left_anti. The salt is a hash of the row, so a retried task deals rows out alike.
-    ``hot`` takes the hot keys where they are known, as from :func:`hot_keys` of the same rows.
+    ``hot`` takes the hot keys where they are known, as from :func:`hot_keys` of the same rows;
+    ``most`` a number that the rows of ``left`` cannot exceed: with too few for a hot key none is looked for.
     """
+    if most is not None and most <= min_rows:
+        return left.join(right, list(keys), how)
     known = hot_keys(left, keys, share, min_rows) if hot is None else hot
     hot = F.broadcast(known.withColumn("_hot", F.lit(True)))
     plain = [c for c, t in left.dtypes if not t.startswith("map")]
