@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ SCORES = ("bm25_score", "vector_score", "fuzzy_score")
 WINSOR = 0.05
 #: Entries of the quantile sketch of a query and score.
 ACCURACY = 10_000
+#: Allowance for rounding when two values of closeness are compared.
+SLACK = 1e-9
 
 
 def present(c: Column) -> Column:
@@ -22,14 +25,16 @@ def present(c: Column) -> Column:
 
 
 def ideal_point(hits: DataFrame, query: str = "query_id", item: str = "node_id", scores: Sequence[str] = SCORES, weights: Sequence[float] | None = None, winsor: float = WINSOR) -> DataFrame:
-    """(query, item, scores, closeness, n_above) of each distinct hit of each query.
+    """(query, item, scores, closeness, floor, n_above) of each distinct hit of each query.
 
     Repeats of an item in a query are one hit with the best of each score. Scores are winsorised
     at the ``winsor`` quantiles of their query, divided by their vector norm and compared with
     the best and the worst value of the query; closeness is the weighted distance from the worst
     point over that from both. An absent score counts as the worst, a query whose hits are all
-    alike gives 0.5. ``n_above`` is the greatest number, over the scores present and counting no
-    further than two, of hits strictly above this one; null where no score is present. Rows
+    alike gives 0.5. ``floor`` is the closeness of the point made of the second greatest value of
+    each score of the query: distances change one way with each score, so no hit that is first or
+    second in every score is less close. ``n_above`` is the greatest number, over the scores and
+    counting no further than two, of hits strictly above this one; null where a score is absent. Rows
     without a query or an item are left out. Statistics of a query are combined before the
     shuffle and joined back with hot queries salted, so no query is one task.
     """
@@ -53,17 +58,25 @@ def ideal_point(hits: DataFrame, query: str = "query_id", item: str = "node_id",
     )
     x = salted_join(clipped, second, ["q"], hot=hot)
     near, far, above = F.lit(0.0), F.lit(0.0), []
+    near2, far2 = F.lit(0.0), F.lit(0.0)
     for c, w in zip(cols, weights):
         norm = F.when(F.col(f"{c}_norm") > 0, F.col(f"{c}_norm"))
         value = F.coalesce(F.col(f"{c}_w"), F.col(f"{c}_worst"))
         near = near + F.lit(w) * F.coalesce(F.pow((F.col(f"{c}_best") - value) / norm, 2), F.lit(0.0))
         far = far + F.lit(w) * F.coalesce(F.pow((value - F.col(f"{c}_worst")) / norm, 2), F.lit(0.0))
+        second_ = F.when((F.col(f"{c}_n") > 1) | F.col(f"{c}_next").isNull(), F.col(f"{c}_max")).otherwise(F.col(f"{c}_next"))
+        second_ = F.least(F.greatest(second_, F.col(f"{c}_worst")), F.col(f"{c}_best"))
+        near2 = near2 + F.lit(w) * F.coalesce(F.pow((F.col(f"{c}_best") - second_) / norm, 2), F.lit(0.0))
+        far2 = far2 + F.lit(w) * F.coalesce(F.pow((second_ - F.col(f"{c}_worst")) / norm, 2), F.lit(0.0))
         # 0: at the greatest value; 1: one hit above; 2: two or more
         over = F.when(F.col(c) == F.col(f"{c}_max"), 0).when((F.col(c) == F.col(f"{c}_next")) & (F.col(f"{c}_n") == 1), 1).otherwise(2)
         above.append(F.when(F.col(c).isNotNull(), over))
-    near, far = F.sqrt(near), F.sqrt(far)
-    closeness = F.when(near + far > 0, far / (near + far)).otherwise(F.lit(0.5))
-    return x.select(F.col("q").alias(query), F.col("i").alias(item), *[F.col(c).alias(s) for c, s in zip(cols, scores)], closeness.alias("closeness"), F.greatest(*above).alias("n_above"))
+    relative = lambda a, b: F.when(a + b > 0, b / (a + b)).otherwise(F.lit(0.5))
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+    return x.select(
+        F.col("q").alias(query), F.col("i").alias(item), *[F.col(c).alias(s) for c, s in zip(cols, scores)],
+        relative(F.sqrt(near), F.sqrt(far)).alias("closeness"), relative(F.sqrt(near2), F.sqrt(far2)).alias("floor"), F.when(whole, F.greatest(*above)).alias("n_above"),
+    )
 
 
 def ranking(hits: DataFrame, query: str = "query_id", item: str = "node_id", scores: Sequence[str] = SCORES) -> DataFrame:
@@ -72,8 +85,12 @@ def ranking(hits: DataFrame, query: str = "query_id", item: str = "node_id", sco
 
 
 def heads(hits: DataFrame) -> DataFrame:
-    """(query_id, node_id) of the hits with at most one other hit of the query strictly above in each score present.
+    """(query_id, node_id) of the hits that have all three scores and in each at most one other hit of the query strictly above.
 
-    The rows come from the ranking; a hit without any score belongs to no head.
+    Closeness decides first: only hits at least as close to the ideal point as the second greatest
+    values of the query can belong to the head, and those are then counted exactly. An absent
+    score means that the strategy did not return the hit, so it has no place in that list, as it
+    also counts as the worst there for the closeness; such a hit belongs to no head.
     """
-    return ranking(hits).filter(F.col("n_above") <= 1).select("query_id", "node_id")
+    near = ideal_point(hits).filter(F.col("closeness") >= F.col("floor") - SLACK)
+    return near.filter(F.col("n_above") <= 1).select("query_id", "node_id")

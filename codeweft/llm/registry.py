@@ -76,9 +76,7 @@ _PRESENT = "case when isnan({0}) or {0} = 0 then null else {0} end"
 SQL = {
     "p7_found": f"""
       with hit as (select query_id, node_id, max({_PRESENT.format('bm25_score')}) as b, max({_PRESENT.format('vector_score')}) as v, max({_PRESENT.format('fuzzy_score')}) as f
-                   from search_results where query_id is not null and node_id is not null group by 1, 2),
-        placed as (select *, rank() over (partition by query_id order by b desc nulls last) as rb, rank() over (partition by query_id order by v desc nulls last) as rv,
-                   rank() over (partition by query_id order by f desc nulls last) as rf from hit)
-      select query_id, node_id from placed
-      where (b is null or rb <= 2) and (v is null or rv <= 2) and (f is null or rf <= 2) and coalesce(b, v, f) is not null""",
+                   from search_results where query_id is not null and node_id is not null group by 1, 2)
+      select query_id, node_id from hit h where b is not null and v is not null and f is not null
+        and (select count(*) from hit o where o.query_id = h.query_id and o.b > h.b) <= 1 and (select count(*) from hit o where o.query_id = h.query_id and o.v > h.v) <= 1 and (select count(*) from hit o where o.query_id = h.query_id and o.f > h.f) <= 1""",
 }

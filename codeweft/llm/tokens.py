@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -28,18 +29,34 @@ _FAR = np.int64(1) << 40
 
 
 def merge_exactly(word: bytes, ranks: dict[bytes, int], below: int = 1 << 40) -> list[int]:
-    """BPE of one word: again and again the adjacent pair of least rank, leftmost first, is joined."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        best, at = below, -1
-        for i in range(len(parts) - 1):
-            r = ranks.get(parts[i] + parts[i + 1], below)
-            if r < best:
-                best, at = r, i
-        if at < 0:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
+    """BPE of one word: again and again the adjacent pair of least rank, leftmost first, is joined.
+
+    Pairs wait in a heap by (rank, place) over a linked list of the parts, so a long word takes
+    n log n steps; a pair whose parts have changed meanwhile is passed over.
+    """
+    n = len(word)
+    end = list(range(1, n + 1))  # part i is word[i:end[i]]; end[i] is where the next one begins
+    before = list(range(-1, n - 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2], below)) < below]
+    heapify(heap)
+    while heap:
+        _, i, stop = heappop(heap)
+        j = end[i]
+        if j <= i or j >= n or end[j] != stop:
+            continue
+        end[i], end[j] = stop, -1
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(word[i : end[stop]], below)) < below:
+                heappush(heap, (r, i, end[stop]))
+        p = before[i]
+        if p >= 0 and (r := ranks.get(word[p:stop], below)) < below:
+            heappush(heap, (r, p, stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
 
 
 class Vocabulary:
