@@ -160,3 +160,27 @@ def test_a_passage_with_too_many_edits_is_none():
     block = leaks.Items(ITEMS, 22, 8)
     assert block.longest(4, *block.numbers(w))[0] == 0
     assert leaks.least_intact(22, 8) == 5
+
+
+def test_probabilities_hold_for_texts_the_curve_was_not_fitted_to(spark):
+    docs, common = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "common_words"))
+    assert prose.train(docs, common).brier < 0.15
+
+
+def test_trees_learn_what_a_line_cannot_and_repeat_themselves():
+    import numpy as np
+
+    from codeweft.llm.boosting import Boosted
+
+    r = np.random.default_rng(1)
+    x = r.random((2000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
+    a, b = Boosted(40, 3).fit(x[:1500], y[:1500]), Boosted(40, 3).fit(x[:1500], y[:1500])
+    assert ((a.margins(x[1500:]) > 0) == y[1500:]).mean() > 0.97 and np.array_equal(a.margins(x), b.margins(x))
+    assert Boosted(3, 2).fit(np.zeros((4, 2)), np.array([0.0, 1.0, 1.0, 1.0])).margins(np.zeros((1, 2)))[0] > 0
+
+
+def test_unicode_blanks_are_blank(spark):
+    docs = spark.createDataFrame([(1, "\xa0"), (2, " \n"), (3, "a;b\n1;2\n3;4\n5;6")], "doc_id long, text string")
+    common = spark.createDataFrame([("en", "the")], "lang string, word string")
+    assert {r["doc_id"] for r in prose.prose_scores(docs, common).collect()} == {3}
