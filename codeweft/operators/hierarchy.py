@@ -247,6 +247,39 @@ def ways(named: DataFrame, links: DataFrame) -> DataFrame:
         frontier, most = new, rows(new)
 
 
+def nearest_ways(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, reached, distance, first) of every pair of :func:`closure`: the fewest links between the two, and the least prio of a first link on such a way.
+
+    Within the forest the distance is the difference of depths. Then, as in closure(), a round takes
+    one left-over link and the forest above it; pairs that got nearer are carried on, so the
+    rounds count left-over links and not generations.
+    """
+    forest, rest = forest_of(nodes, links)
+    spans = euler_intervals(nodes, forest)
+    own = links.groupBy("child", "parent").agg(F.min("prio").alias("prio"))
+    starts = forest.join(own, ["child", "parent"]).select(F.col("child").alias("node"), F.col("prio").alias("first"))
+    down = ancestor_pairs(spans).join(spans.select("node", "depth"), "node").join(starts, "node")
+    tree = cut(down.select("node", F.col("ancestor").alias("reached"), (F.col("depth") - F.col("ancestor_depth")).cast("long").alias("distance"), "first"), "tree")
+    if not rows(rest):
+        return tree
+    beside = cut(rest.join(own, ["child", "parent"]), "beside")
+    hop = beside.select(F.col("child").alias("reached"), F.col("parent").alias("to"), F.lit(1).cast("long").alias("far"), F.col("prio").alias("link")).unionByName(
+        salted_join(tree.select(F.col("node").alias("parent"), F.col("reached").alias("to"), "distance"), beside, ["parent"], most=rows(tree)).select(F.col("child").alias("reached"), "to", (F.col("distance") + 1).alias("far"), F.col("prio").alias("link"))
+    )
+    hop = cut(hop.groupBy("reached", "to").agg(F.min(F.struct("far", "link")).alias("x")).select("reached", "to", "x.*"), "hop")
+    best, front = tree, cut(tree.unionByName(nodes.select("node", F.col("node").alias("reached"), F.lit(0).cast("long").alias("distance"), F.lit(None).cast(tree.schema["first"].dataType).alias("first"))), "front")
+    while rows(front):
+        met = salted_join(front, hop, ["reached"], most=rows(front)).select("node", F.col("to").alias("reached"), (F.col("distance") + F.col("far")).alias("distance"), F.coalesce("first", "link").alias("first"))
+        found = met.groupBy("node", "reached").agg(F.min(F.struct("distance", "first")).alias("x")).select("node", "reached", F.col("x.distance").alias("d2"), F.col("x.first").alias("f2"))
+        joined = best.join(found, ["node", "reached"], "full").withColumn("near", F.coalesce(F.col("distance").isNull() | (F.struct("d2", "f2") < F.struct(F.col("distance").alias("d2"), F.col("first").alias("f2"))), F.lit(False)) & F.col("d2").isNotNull())
+        merged = cut(joined.select("node", "reached", F.when(F.col("near"), F.col("d2")).otherwise(F.col("distance")).alias("distance"), F.when(F.col("near"), F.col("f2")).otherwise(F.col("first")).alias("first"), "near"), "ways")
+        nearer = cut(merged.filter("near").drop("near"), "front")
+        discard(front)
+        best, front = merged.drop("near"), nearer
+    discard(hop, beside, front)
+    return best
+
+
 def symbol_links(parsed_classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, fqn) and links (child, parent, prio) of the living symbols' extends, implements and traits."""
     alive = cut(living_symbols(parsed_classes, ["extends", "implements", "traits"]).withColumnRenamed("key", "node"), "alive")

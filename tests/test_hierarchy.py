@@ -139,3 +139,30 @@ def test_ways_are_those_of_brute_force(frame):
     for r in got:
         way = r["path"]
         assert way[0] == r["reached"] and way[-1] == r["node"] and len(way) == r["distance"] + 1 and all((b, a) in edges for a, b in zip(way, way[1:]))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nearest_ways_are_those_of_a_breadth_first_search(frame, seed):
+    r = random.Random(seed)
+    names = [f"n{i:02}" for i in range(14)]
+    links = sorted({(r.choice(names), r.choice(names), r.randrange(3)) for _ in range(20)} | {("n00", "n01", 0), ("n01", "n02", 0), ("n02", "n00", 0), ("n05", "gone", 0)})
+    up = {}
+    for a, b, p in links:
+        if b in names:
+            up.setdefault(a, {}).setdefault(b, p)
+            up[a][b] = min(up[a][b], p)
+    want = {}
+    for a in names:
+        # (distance, first prio) by rounds; the first link's prio is carried along
+        front = {b: (1, p) for b, p in up.get(a, {}).items()}
+        best = dict(front)
+        while front:
+            step = {}
+            for b, (d, f) in front.items():
+                for c in up.get(b, {}):
+                    step[c] = min(step.get(c, (d + 1, f)), (d + 1, f))
+            front = {c: v for c, v in step.items() if c not in best or v < best[c]}
+            best.update(front)
+        want.update({(a, b): v for b, v in best.items()})
+    got = hierarchy.nearest_ways(frame([(n,) for n in names], "node string"), frame(links, "child string, parent string, prio int"))
+    assert {(x["node"], x["reached"]): (x["distance"], x["first"]) for x in got.collect()} == want
