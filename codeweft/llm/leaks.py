@@ -34,7 +34,7 @@ CELLS, FAR = 1 << 20, 1 << 20
 _SEED = 3
 
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
-_MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|&(?:[a-z]{2,8}|#\d{1,6});|\]\([^()\s]{1,200}\)")
+_MARKUP = re.compile(r"</?[A-Za-z][^<>\n]*+>|&(?:[a-zA-Z][a-zA-Z0-9]*+|#[0-9]++|#[xX][0-9a-fA-F]++);|\]\((?:[^()\s]|\([^()\s]*+\))*+(?:[ \t]+\"[^\"\n]*+\")?\)")
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -52,11 +52,23 @@ def intact_shingles(n_words: int, edits: int, shingle: int = SHINGLE) -> int:
     return max(0, n_words - shingle + 1 - edits * shingle)
 
 
-def least_intact(min_words: int, one_edit_in: int) -> int:
-    """The fewest shingles that the edits allowed leave intact in a passage of any length from ``min_words`` up."""
+def least_intact(size: int, min_words: int, one_edit_in: int) -> int:
+    """The fewest shingles that the edits allowed leave intact in a passage of any length from ``min_words`` up to the size of its item."""
     # eight (one_edit_in) words more allow one edit more, so the remainders of one period hold the least when a period gains shingles
     longest = min_words + one_edit_in if one_edit_in > SHINGLE else 8 * min_words
-    return min(intact_shingles(n, n // one_edit_in) for n in range(min_words, longest))
+    return min(intact_shingles(n, n // one_edit_in) for n in range(min_words, min(longest, size + 1)))
+
+
+def size_class(size: int, min_words: int, one_edit_in: int, miss: float) -> tuple[float, int]:
+    """(sampling rate, sketch entries to be met) of items of a size: a passage is no longer than its item.
+
+    Where fewer than three of the intact shingles would be left by sampling more often than
+    ``miss`` allows, nothing is left to chance: all shingles are kept and all intact ones must be met.
+    """
+    intact = least_intact(size, min_words, one_edit_in)
+    least = max(1, min(3, intact))
+    rate = sketch_rate(intact, least, miss)
+    return (rate, least) if rate < 1.0 else (1.0, max(1, intact))
 
 
 def sketch_rate(intact: int, least: int, miss: float = MISS) -> float:
@@ -84,25 +96,26 @@ def _hashes(ids: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of items with their sketches; of bounded size."""
+    """A block of items with their sketches, partitioned by size; of bounded size itself."""
 
-    def __init__(self, rows: list[tuple], min_words: int, one_edit_in: int) -> None:
+    def __init__(self, rows: list[tuple], min_words: int, one_edit_in: int, miss: float = MISS) -> None:
         self.min_words, self.one_edit_in = min_words, one_edit_in
         self.ids, self.words, self.shingles, self.vocabulary = [], [], [], {}
         pairs: list[tuple[int, int]] = []
-        intact = least_intact(min_words, one_edit_in)
-        self.least = max(1, min(3, intact))
-        # a passage has min_words words whatever the size of its item, so one rate holds for all
-        rate = sketch_rate(intact, self.least)
-        if rate == 1.0:
-            self.least = max(1, intact)  # nothing is left to chance, so all of them must be met
-        limit = np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
+        self.least: list[int] = []
+        classes: dict[int, tuple[float, int]] = {}
         for key, text in rows:
             w = words(text)
             if len(w) < min_words:
                 continue
             i = len(self.ids)
             self.ids.append(key)
+            size = min(len(w), min_words + one_edit_in)  # from here on all sizes are alike
+            if size not in classes:
+                classes[size] = size_class(size, min_words, one_edit_in, miss)
+            rate, least = classes[size]
+            limit = np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
+            self.least.append(least)
             numbers = np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w])
             kept = _hashes(numbers)
             self.words.append(numbers)
@@ -138,7 +151,7 @@ class Items:
         for a, b in zip(low[high > low].tolist(), high[high > low].tolist()):
             for i in self.owners[a:b].tolist():
                 met[i] += 1
-        return [i for i, n in met.items() if n >= self.least]
+        return [i for i, n in met.items() if n >= self.least[i]]
 
     def longest(self, i: int, numbers: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[int, int, int]:
         """(words of the item covered, edits, place in the document) of the longest passage within the edits allowed.

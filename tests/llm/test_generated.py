@@ -46,6 +46,20 @@ def test_vendored_copies_and_paths(spark):
 
 
 def test_equal_trees_have_equal_hashes(spark):
-    rows = [("a", "x/p/1.php", "h1", 9), ("a", "x/p/2.php", "h2", 9), ("a", "x/q/3.php", "h3", 9), ("b", "deep/y/p2/2.php", "h2", 9), ("b", "deep/y/p2/7.php", "h1", 9), ("b", "deep/y/q/3.php", "h3", 9), ("c", "x/p/1.php", "h1", 9), ("c", "x/q/2.php", "h2", 9), ("c", "x/q/3.php", "h3", 9)]
+    rows = [("a", "x/p/1.php", "h1", 9), ("a", "x/p/2.php", "h2", 9), ("a", "x/q/3.php", "h3", 9), ("b", "deep/y/p/2.php", "h2", 9), ("b", "deep/y/p/1.php", "h1", 9), ("b", "deep/y/q/3.php", "h3", 9), ("c", "x/p/1.php", "h1", 9), ("c", "x/q/2.php", "h2", 9), ("c", "x/q/3.php", "h3", 9)]
     t = {(r["repo"], r["dir"]): (r["hash"], r["n_files"]) for r in generated.merkle_tree(spark.createDataFrame(rows, "repo string, path string, leaf string, n_chars long")).collect()}
-    assert t["a", "x"] == t["b", "deep/y"] and t["a", "x/p"] == t["b", "deep/y/p2"] and t["a", "x"][0] != t["c", "x"][0] and t["b", "deep"][1] == 3
+    assert t["a", "x"] == t["b", "deep/y"] and t["a", "x/p"] == t["b", "deep/y/p"] and t["a", "x"][0] != t["c", "x"][0] and t["b", "deep"][1] == 3
+
+
+def test_comments_are_taken_off_by_the_rules_of_each_language():
+    assert generated.bare(".js", "class A { #n = 1; run() { f('//x', \"/*y*/\", `z//`); } } // end\n/* a */") == "classA{#n=1;run(){f('//x',\"/*y*/\",`z//`);}}"
+    assert generated.bare(".js", "class A { #n = 1; run() {} }") != generated.bare(".js", "class A { #n = 999; go() { evil(); } }")
+    assert generated.bare(".php", "<?php # a\n$x = 'http://y#z'; #[Attr]\n/* b */ $y = <<<T\n// kept\nT;\n") == "<?php$x='http://y#z';#[Attr]$y=<<<T//keptT;"
+    assert generated.bare(".blade.php", "{{-- a --}}<p> <!-- b -->x</p>") == "<p>x</p>" and generated.bare(".json", '{"a": "//b"}') == '{"a":"//b"}'
+
+
+def test_names_are_part_of_a_tree_and_banners_of_any_length_count(spark):
+    t = {r["repo"]: r["hash"] for r in generated.merkle_tree(spark.createDataFrame([("a", "p/1.php", "h1", 9), ("b", "p/2.php", "h1", 9), ("c", "p/1.php", "h1", 9)], "repo string, path string, leaf string, n_chars long")).collect()}
+    assert t["a"] == t["c"] != t["b"]
+    assert generated._banner("<?php\n/*! " + "x " * 2000 + "v1.2.3 released under the MIT licence */") and not generated._banner("<?php\n/* a */ $v = '1.2.3 released under'; /* b */")
+    assert generated.layout(".json", '{"mappings": "' + "A" * 900 + '", "sources": [], "version": 3}') == "source map"

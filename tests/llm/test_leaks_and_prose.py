@@ -71,6 +71,30 @@ def test_the_sketch_misses_as_seldom_as_stated():
 
 def test_words_ignore_form():
     assert leaks.words("“Half-SETTLED”  <em>row</em> &amp; **b​old** [x](http://y.z)") == ["half", "settled", "row", "b" + "old", "x"]
+    assert leaks.words(f"a [b](http://y.z/{'q/' * 300}) <i class='{'x' * 300}'>c</i> [d](u_(v) \"t\") a < b") == ["a", "b", "c", "d", "a", "b"]
+
+
+def test_sketches_find_nearly_all_that_the_exact_check_finds():
+    """Recall of the sketch, at a far higher chance of a miss than is used, against the exact check of every pair."""
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([22, 23, 26, 40, 90])))) for i in range(60)]
+    exact, sketched = leaks.Items(items, 22, 8), leaks.Items(items, 22, 8, miss=0.02)
+    hits = found = 0
+    for i, text in items:
+        w = text.split()
+        n = r.randint(22, len(w))
+        at = r.randrange(len(w) - n + 1)
+        part = w[at : at + n]
+        for _ in range(r.randint(0, n // 8)):
+            part[r.randrange(1, n - 1)] = r.choice(vocabulary)
+        doc = [r.choice(vocabulary) for _ in range(30)] + part + [r.choice(vocabulary) for _ in range(30)]
+        known = exact.numbers(doc)
+        true = {j for j in range(len(items)) if exact.longest(j, *known)[0] >= 22}
+        hits += len(true)
+        found += len(true & set(sketched.candidates(sketched.numbers(doc)[2])))
+    assert hits >= 55 and found >= 0.99 * hits
+    assert {len(sketched.shingles[i]) - int((sketched.owners == i).sum()) > 0 for i in range(60) if len(items[i][1].split()) < 24} == {True}
 
 
 COMMON = [("en", w) for w in "the of and to a in is that it for on with as are this by be from or not have but which when they we was if can all its only so after before no may must into their other than then one each out up".split()] + [("de", w) for w in "der die das und in zu den ist nicht von mit dem ein eine auf es sich wird auch nur noch sie wir".split()]
@@ -159,7 +183,8 @@ def test_a_passage_with_too_many_edits_is_none():
         w[k] = "zzz"
     block = leaks.Items(ITEMS, 22, 8)
     assert block.longest(4, *block.numbers(w))[0] == 0
-    assert leaks.least_intact(22, 8) == 5
+    assert leaks.least_intact(40, 22, 8) == 5 and leaks.least_intact(23, 22, 8) == 8
+    assert leaks.size_class(22, 22, 8, 1e-6)[0] < 1 and leaks.size_class(60, 22, 8, 1e-6) == (1.0, 5)
 
 
 def test_probabilities_hold_for_texts_the_curve_was_not_fitted_to(spark):
