@@ -25,9 +25,12 @@ def co_change(changes: DataFrame, group: str, item: str, min_strength: float = 0
         sizes = sizes.filter(F.col("n") <= max_items)
     rows = rows.join(sizes.select("g"), "g", "left_semi")
     totals = rows.groupBy("i").agg(F.count(F.lit(1)).alias("total"))
-    pairs = rows.select("g", F.col("i").alias("a")).join(rows.select("g", F.col("i").alias("b")), "g").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("co_changes"))
-    x = pairs.join(totals.select(F.col("i").alias("a"), F.col("total").alias("total_a")), "a").join(totals.select(F.col("i").alias("b"), F.col("total").alias("total_b")), "b")
-    return x.withColumn("strength", F.round(F.col("co_changes") / F.greatest("total_a", "total_b"), 4)).filter(F.col("strength") >= min_strength)
+    # items have no more commits in common than the rarer one has, so unlike totals need not meet
+    rows = rows.join(totals, "i")
+    fit = F.least("total_a", "total_b") >= F.floor(F.lit(min_strength - 5e-5) * F.greatest("total_a", "total_b"))
+    met = rows.select("g", F.col("i").alias("a"), F.col("total").alias("total_a")).join(rows.select("g", F.col("i").alias("b"), F.col("total").alias("total_b")), "g").filter((F.col("a") < F.col("b")) & fit)
+    x = met.groupBy("a", "b", "total_a", "total_b").agg(F.count(F.lit(1)).alias("co_changes"))
+    return x.withColumn("strength", F.round(F.col("co_changes") / F.greatest("total_a", "total_b"), 4)).filter(F.col("strength") >= min_strength).select("a", "b", "co_changes", "total_a", "total_b", "strength")
 
 
 def inferred_links(evidence: DataFrame, column: str = "column", target: str = "target", confidence: str = "confidence", least: float = 0.2) -> DataFrame:

@@ -43,6 +43,8 @@ def hop(left: DataFrame, edges: DataFrame, right: DataFrame, at: str, to: str, r
     here, there = ("dst", "src") if reverse else ("src", "dst")
     step = _prefixed(e, f"{to}_e")
     target = _prefixed(right, to)
+    if how == "inner":  # what the pattern has left so far decides which edges matter, and those which targets
+        return left.join(step, left[at] == step[f"{to}_e_{here}"]).join(target, F.col(f"{to}_e_{there}") == target[f"{to}_node_id"]).select(*left.columns, *[c for c in (*step.columns, *target.columns) if c != f"{to}_e_{here}"])
     reach = step.join(target, step[f"{to}_e_{there}"] == target[f"{to}_node_id"])
     return left.join(reach, left[at] == reach[f"{to}_e_{here}"], how).drop(f"{to}_e_{here}")
 

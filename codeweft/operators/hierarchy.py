@@ -348,6 +348,17 @@ def symbol_descendants(parsed_classes: DataFrame) -> DataFrame:
     return found.select(F.element_at("path", 1).alias("fqn"), F.element_at("path", -1).alias("descendant"), "distance", "path")
 
 
+def symbol_distances(parsed_classes: DataFrame) -> DataFrame:
+    """(fqn, descendant, distance) for every symbol and every symbol below it over any mix of its parents, once, with the fewest links between them.
+
+    A symbol on a loop is below itself, at the length of its shortest loop. :func:`symbol_descendants` gives ways too.
+    """
+    nodes, links = symbol_links(parsed_classes)
+    found = nearest_ways(nodes.select("node"), links)
+    named = salted_join(found, nodes.select(F.col("node").alias("reached"), "fqn"), ["reached"]).join(nodes.select("node", F.col("fqn").alias("descendant")), "node")
+    return named.select("fqn", "descendant", "distance")
+
+
 def symbol_loops(parsed_classes: DataFrame) -> DataFrame:
     """(fqn) of every living symbol that reaches itself over any mix of its parents."""
     return symbol_pairs(parsed_classes).filter("fqn_a = fqn_b").select(F.col("fqn_a").alias("fqn"))

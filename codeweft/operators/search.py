@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -37,8 +38,9 @@ def bm25(corpus: DataFrame, query: str, key: str = "doc_id", text: str = "text",
     """(key, score) of the documents with a positive score, divided by the greatest.
 
     Okapi BM25; a term in more than half of the documents has ``epsilon`` times the average
-    idf. The corpus is read twice, for its statistics and its scores; only the terms of the
-    query are carried. A query without words finds nothing.
+    idf. The corpus is read once for its statistics (one row, fetched) and once for its scores;
+    only a query with such a frequent term needs the frequencies of all terms, and only then they
+    are counted. A query without words finds nothing.
     """
     terms = sorted({t for t in query.lower().split() if t})
     if not terms:
@@ -47,19 +49,18 @@ def bm25(corpus: DataFrame, query: str, key: str = "doc_id", text: str = "text",
     same = lambda w: lambda x: x == F.lit(w)
     tf = [F.size(F.filter(t, same(w))).alias(f"tf{i}") for i, w in enumerate(terms)]
     d = corpus.select(key, F.size(t).alias("n"), *tf)
-    # the average idf needs every term of the corpus
-    vocabulary = corpus.select(key, F.explode(F.array_distinct(t)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = corpus.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size(t)).alias("avgdl"))
-    idf = lambda df, n: F.log(n - df + 0.5) - F.log(df + 0.5)
-    mean = vocabulary.crossJoin(F.broadcast(total.select("docs"))).agg(F.avg(idf(F.col("df"), F.col("docs"))).alias("mean_idf"))
-    dfs = d.agg(*[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
-    s = d.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(dfs))  # one row each
+    total = d.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
+    docs, avgdl = total["docs"], total["avgdl"] or 1.0
+    weights = [math.log(docs - df + 0.5) - math.log(df + 0.5) if (df := total[f"df{i}"] or 0) else 0.0 for i in range(len(terms))]
+    if min(weights) < 0:
+        vocabulary = corpus.select(F.explode(F.array_distinct(t)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        mean = vocabulary.agg(F.avg(F.log(F.lit(docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("m")).first()["m"]
+        weights = [w if w >= 0 else epsilon * mean for w in weights]
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        w = idf(F.col(f"df{i}"), F.col("docs"))
-        w = F.when(F.col(f"df{i}") == 0, 0.0).when(w < 0, epsilon * F.col("mean_idf")).otherwise(w)
+    for i, w in enumerate(weights):
         f = F.col(f"tf{i}")
-        score = score + w * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("n") / F.col("avgdl")))
+        score = score + F.lit(w) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("n") / F.lit(avgdl)))
+    s = d
     found = s.select(key, score.alias("raw")).filter("raw > 0")
     return found.crossJoin(F.broadcast(found.agg(F.max("raw").alias("top")))).select(key, (F.col("raw") / F.col("top")).alias("score"))
 

@@ -17,7 +17,7 @@ def p1_hierarchy(spark, d):
 
 
 def p1_descendants(spark, d):
-    return hierarchy.symbol_descendants(*tables(spark, d, "parsed_classes"))
+    return hierarchy.symbol_distances(*tables(spark, d, "parsed_classes"))
 
 
 def p1_loops(spark, d):
@@ -65,4 +65,17 @@ SQL = {
     "p1_loops": _PAIRS + " select x.fqn from reach r join alive x on x.k = r.a where r.a = r.b",
     "p3_found": _REFS + " select ref_table, ref_id from refs where orphan",
     "p3_report": _REFS + " select ref_table, month, count(*) as n_references, count(*) filter (where orphan) as n_orphans from refs group by 1, 2",
+    "p1_descendants": _PAIRS.replace("reach as (select a, b from edge union select r.a, e.b from reach r join edge e on e.a = r.b)", "reach as (select a, b, 1 as d from edge union select r.a, e.b, r.d + 1 from reach r join edge e on e.a = r.b where r.d < 200)")
+    + " select y.fqn, x.fqn as descendant, min(d) as distance from reach r join alive x on x.k = r.a join alive y on y.k = r.b group by 1, 2",
+    "p1_hierarchy": _PAIRS
+    + f""", prio as (select k, extends as p, 0 as o from alive union all select k, unnest(implements), 1 from alive union all select k, unnest(traits), 2 from alive),
+      chosen as (select k as a, arg_min(b, (o, b)) as b from (select n.k, t.k as b, o from prio n join alive t on t.k = {_KEY.format('n.p')} where t.k <> n.k) group by 1),
+      main as (select a, b from chosen union select m.a, c.b from main m join chosen c on c.a = m.b),
+      broken as (select least(m.a, min(n.b)) as a from main m join main n on n.a = m.a where m.a = m.b group by m.a),
+      forest as (select * from chosen where a not in (select a from broken)),
+      line as (select k, k as top, 0 as depth, [fqn] as path from alive union all select l.k, f.b, l.depth + 1, list_prepend(y.fqn, l.path) from line l join forest f on f.a = l.top join alive y on y.k = f.b),
+      whole as (select k, arg_max((top, depth, path), depth) as w from line group by 1),
+      below as (select b as k, count(*) as n from reach group by 1),
+      tops as (select r.a as k, list(y.fqn) as t from reach r join alive y on y.k = r.b where r.b not in (select a from edge) group by 1)
+      select x.fqn, y.fqn as root, w[2] as depth, w[3] as path, coalesce(n, 0) as n_descendants, list_sort(list_distinct(coalesce(t, []) || [y.fqn])) as roots from whole join alive x using (k) join alive y on y.k = w[1] left join below using (k) left join tops using (k)""",
 }

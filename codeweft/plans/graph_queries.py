@@ -71,9 +71,15 @@ def exists_or(spark, d):
     return graph.exists_any(p, "node_id", big, p.filter("p_size < 3")).select(F.substring_index("node_id", ":", -1).cast("long").alias("part_key"))
 
 
-@_query("select c_custkey as customer_key from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def _dear(spark, d):
+    """The customers with an order above 300,000, once for each."""
+    dear = _by_label(spark, d, "Order").filter("o_totalprice > 300000").select(F.col("node_id").alias("dst"))
+    return og.edges(spark, d, "PLACED").join(dear, "dst").select(F.col("src").alias("node_id"))
+
+
+@_query("select c_custkey as customer_key from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 def not_exists(spark, d):
-    x = graph.not_exists(_by_label(spark, d, "Customer"), "node_id", og.edges(spark, d, "PLACED").select(F.col("src").alias("node_id")))
+    x = graph.not_exists(_by_label(spark, d, "Customer"), "node_id", _dear(spark, d))
     return x.select(F.substring_index("node_id", ":", -1).cast("long").alias("customer_key"))
 
 
@@ -281,7 +287,8 @@ def upsert_edges(spark, d):
     n = og.nodes(spark, d, "Part", "Supplier").filter("label <> 'Part' or p_size > 20")
     legal = spark.createDataFrame([("SUPPLIED_BY", "Part", "Supplier")], "rel string, src_label string, dst_label string")
     e = og.edges(spark, d, "SUPPLIED_BY")
-    return graph.upsert_edges(e.limit(0), e, n, legal).agg(F.count(F.lit(1)).alias("n"))
+    before = graph.upsert_edges(e.limit(0), e.filter("dst like '%0'"), n, legal)  # a part of them is there already
+    return graph.upsert_edges(before, e, n, legal).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("""select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events where user_id is not null) where rn = 1""")
@@ -301,17 +308,18 @@ def bfs_levels(spark, d):
     return traverse.bfs(e, a.select(F.col("key").alias("root")), 5)
 
 
-@_query(f"""with recursive {_ALIVE}, named as (select k, extends as p from alive union all select k, unnest(implements) from alive union all select k, unnest(traits) from alive),
-  edge as (select distinct t.k as src, n.k as dst from named n join alive t on t.k = {_KEY.format('n.p')}),
+@_query(f"""with recursive {_ALIVE}, named as (select k, extends as p, true as up from alive union all select k, unnest(implements), true from alive union all select k, unnest(traits), false from alive),
+  edge as (select distinct case when up then t.k else n.k end as src, case when up then n.k else t.k end as dst from named n join alive t on t.k = {_KEY.format('n.p')}),
   w as (select distinct k as root, k as node, 0 as depth from (select {_KEY.format('fqn')} as k from eloquent_models) where k is not null union select w.root, e.dst, w.depth + 1 from w join edge e on e.src = w.node where w.depth < 3)
   select root, node, min(depth) as depth from w group by 1, 2 having min(depth) > 0""")
 def blast_radius(spark, d):
+    """Children of what changes, and the traits that it pulls in."""
     from codeweft.operators.hierarchy import symbol_links
 
     nodes, links = symbol_links(table(spark, d, "parsed_classes"))
-    e = links.select(F.col("child").alias("src"), F.col("parent").alias("dst")).join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    e = links.select(F.col("child").alias("src"), F.col("parent").alias("dst"), "prio").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
     seeds = table(spark, d, "eloquent_models").select(class_key(F.col("fqn")).alias("root")).filter("root is not null").distinct()
-    return traverse.blast_radius(e, e.limit(0), seeds, 3)
+    return traverse.blast_radius(e.filter("prio < 2").select("src", "dst"), e.filter("prio = 2").select("src", "dst"), seeds, 3)
 
 
 def communities(spark, d):

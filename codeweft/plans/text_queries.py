@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import naming
 from codeweft.operators import analytics, extract, quality, search
+from codeweft.plans import extract_sql
 from codeweft.sources import files as src
 from codeweft.sources.tables import table
 
@@ -152,7 +153,7 @@ def injections(spark, d):
 
 
 def model_facts(spark, d):
-    return extract.model_facts(_php(spark, d))
+    return extract.model_facts(_php(spark, d)).drop("casts")
 
 
 def contracts(spark, d):
@@ -233,9 +234,18 @@ def fuzzy_names(spark, d):
     return search.fuzzy(table(spark, d, "part"), "red widget", "p_partkey", "p_name").select("p_partkey", F.round("score", 6).alias("score"))
 
 
+@_query(_BM25 + """, hb as (select doc_id, round(raw / (select max(raw) from s), 6) as x from s where raw > 0),
+  he as (select embedding::double[] as q from embeddings order by vec_id limit 1),
+  hv as (select vec_id as doc_id, round(list_dot_product(embedding::double[], q) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q, q)) + 1e-10), 6) as x from embeddings, he),
+  hf as (select doc_id, round(100.0 * (1 - levenshtein(lower(coalesce(source, '')), 'invoice template policy') / greatest(length(coalesce(source, '')), 23)), 6) as x from documents order by 2 desc, 1 limit 50),
+  hp as (select doc_id, 0.4 / (60 + row_number() over (order by x desc, doc_id)) as y from hb union all select doc_id, 0.4 / (60 + row_number() over (order by x desc, doc_id)) from hv where x > 0 union all select doc_id, 0.2 / (60 + row_number() over (order by x desc, doc_id)) from hf)
+  select doc_id, round(y * case when contains(source, 'vendor/') then 0.1 when contains(lower(source), 'test') then 0.5 when source <> '' then 1.2 else 1.0 end, 8) as score from (select doc_id, sum(y) as y from hp group by 1) join documents using (doc_id) order by 2 desc, 1 limit 50""")
 def hybrid_search(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    lists = {"bm25": search.bm25(docs, "invoice template policy"), "fuzzy": search.fuzzy(docs, "invoice template policy", "doc_id", "source", 0.0)}
+    vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    near = search.cosine(vectors, vectors.orderBy("doc_id").select("embedding").first()["embedding"], "doc_id")
+    lists = {"bm25": search.bm25(docs, "invoice template policy"), "vector": near, "fuzzy": search.fuzzy(docs, "invoice template policy", "doc_id", "source", 0.0)}
+    lists = {n: x.withColumn("score", F.round("score", 6)) for n, x in lists.items()}
     return search.page(search.boosted(search.rrf(lists, "doc_id").join(docs.select("doc_id", "source"), "doc_id"), F.col("source")), "doc_id", 50).select("doc_id", F.round("score", 8).alias("score"))
 
 
@@ -301,12 +311,12 @@ def quality_report(spark, d):
 
 
 QUERIES["quality_report"] = quality_report
-QUERIES["hybrid_search"] = hybrid_search
 
 
 def discriminators(spark, d):
     c = extract.migration_columns(_source(spark, d)).select("table", "column", "type").distinct()
-    return c.select("table", "column", quality.discriminator(F.col("column"), F.col("type")).alias("is_discriminator"))
+    return c.select("table", "column", quality.discriminator(F.col("column"), F.col("type")).alias("is_discriminator")).distinct()
 
 
 QUERIES["discriminators"] = discriminators
+SQL.update(extract_sql.SQL)

@@ -115,3 +115,27 @@ SQL = {
       select 'label' as kind, name, n from node where n > 0 union all select 'relation', name, n from edge where n > 0"""
     ),
 }
+
+_ENTRY = "(select dst as node from handler union select node from meth where name = 'handle')"
+_STEM = "regexp_replace(regexp_replace({0}, 'ies$', 'y'), '([a-z][a-z][a-z])(?:es|s)$', '\\1')"
+_TOKENS = r"list_distinct([t for t in string_split(lower(trim(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))), ' ') if length(t) >= 3])"
+_FEATURES = f""", r as (select distinct node, {_WORD} as feature from (select distinct node, uri from route)), f as (select feature, {_STEM.format('feature')} as w from (select feature, count(*) as n from r group by 1) where feature <> 'general' or n <= 20),
+  words as (select node, {_STEM.format('t')} as w from (select node, unnest({_TOKENS}) as t from sym where label = 'Class_')),
+  cand as (select node, feature, 0 as k, length(words.w) as n from words join f on f.w = words.w union all select node, feature, 1, 4 from words join f on left(f.w, 4) = left(words.w, 4) where length(f.w) >= 4 and length(words.w) >= 4),
+  best as (select node, arg_min((feature, k), (k, -n, feature)) as x from cand group by 1),
+  link as (select feature, node, 'route' as match_type from r where feature in (select feature from f) union all select x[1], node, case when x[2] = 0 then 'exact' else 'prefix' end from best)"""
+
+SQL |= {
+    "tool_flows": with_parts(
+        f""", e as (select distinct src, dst from called), w as (select node as root, node, 0 as depth from {_ENTRY} union select w.root, e.dst, w.depth + 1 from w join e on e.src = w.node where w.depth < 5),
+      m as (select root, node, min(depth) as depth from w group by 1, 2) select root, node, depth, step_order from (select *, cast(row_number() over (partition by root order by depth, node) - 1 as integer) as step_order from m) where step_order < 200""",
+        recursive=True,
+    ),
+    "tool_cross_cutting": with_parts(
+        r"""select dst as node_id, count(distinct file_path) as n_units, count(distinct layer) as n_layers, case when count(distinct file_path) >= 8 or count(distinct layer) >= 4 then 'HIGH' else 'MEDIUM' end as severity
+      from (select c.dst, m.file_path, case when m.file_path is not null then regexp_extract(m.file_path, '^(?:app/)?([^/]+)', 1) end as layer from called c join meth m on m.node = c.src) group by 1 having count(distinct file_path) >= 3 and count(distinct layer) >= 2"""
+    ),
+    "tool_features": with_parts(_FEATURES + r""" select feature, array_to_string([upper(left(p, 1)) || substr(p, 2) for p in string_split(replace(replace(feature, '-', ' '), '_', ' '), ' ')], ' ') as title, node as node_id, match_type from link"""),
+    "tool_feature_context": with_parts(_FEATURES + " select feature, count(*) filter (where match_type = 'route') as n_routes, count(*) filter (where match_type = 'exact') as n_exact, count(*) filter (where match_type = 'prefix') as n_near from link group by 1"),
+    "db_access": with_parts("select via, op as operation, target, count(*) as n from acc group by 1, 2, 3"),
+}
