@@ -190,21 +190,66 @@ def middleware(spec: DataFrame, groups: DataFrame, aliases: DataFrame) -> DataFr
     return full.select("route_id", "middleware", "parameters", r.alias("position"))
 
 
+def middleware_registry(files: DataFrame) -> DataFrame:
+    """(file_id, kind, name, members) of the middleware that kernels and application files declare.
+
+    Kinds are global (no name), group (name and members) and alias (name and one member): from the
+    arrays of a kernel and from calls of append, prepend, group and alias. Members are classes
+    and names in order.
+    """
+    some = r"(?:\\?([\w\\]+)::class|['\"]([^'\"]+)['\"])"
+    names = lambda c: F.transform(F.arrays_zip(F.regexp_extract_all(c, F.lit(some), F.lit(1)).alias("a"), F.regexp_extract_all(c, F.lit(some), F.lit(2)).alias("b")), lambda x: F.when(x["a"] != "", x["a"]).otherwise(x["b"]))
+    body = lambda name: _all(files, rf"\$(?:{name})\s*=\s*\[((?:[^\[\]]|\[[^\]]*\])*)\]", ["body"], "iddleware")
+    row = lambda df, kind, name, members: df.select("file_id", F.lit(kind).alias("kind"), name.alias("name"), members.alias("members"))
+    none = F.lit(None).cast("string")
+    top = row(body("middleware"), "global", none, names("body"))
+    added = row(_all(files, r"\$middleware->(?:append|prepend)\s*\(\s*([^)]+)\)", ["body"], "$middleware->"), "global", none, names("body"))
+    entry = F.lit(r"['\"](\w+)['\"]\s*=>\s*\[([^\]]*)\]")
+    pairs = lambda df, rx: df.select("file_id", F.explode(F.arrays_zip(F.regexp_extract_all("body", rx, F.lit(1)).alias("n"), F.regexp_extract_all("body", rx, F.lit(2)).alias("m"))).alias("x")).select("file_id", "x.n", "x.m")
+    groups = row(pairs(body("middlewareGroups"), entry), "group", F.col("n"), names("m"))
+    called = row(_all(files, r"\$middleware->group\s*\(\s*['\"](\w+)['\"]\s*,\s*\[([^\]]*)\]\s*\)", ["n", "m"], "$middleware->group"), "group", F.col("n"), names("m"))
+    one = F.lit(r"['\"]([\w.-]+)['\"]\s*=>\s*(\\?[\w\\]+::class|['\"][^'\"]+['\"])")
+    aliases = row(pairs(body("routeMiddleware|middlewareAliases"), one).unionByName(pairs(_all(files, r"\$middleware->alias\s*\(\s*\[([^\]]*)\]\s*\)", ["body"], "$middleware->alias"), one)), "alias", F.col("n"), names("m"))
+    return top.unionByName(added).unionByName(groups).unionByName(called).unionByName(aliases)
+
+
 def bindings(files: DataFrame) -> DataFrame:
-    """(file_id, binding_type, abstract, concrete) of container bindings; the concrete class is null for closures."""
+    """(file_id, binding_type, abstract, concrete) of container bindings; the concrete class is null for closures that name none.
+
+    Tags give a row a tagged class, with the tag as abstract; contextual ones (when, needs, give) have the type contextual.
+    """
+    return _plain_bindings(files).unionByName(_tagged(files)).unionByName(_contextual(files))
+
+
+_APP = r"(?:\$this->app|\$app|app\(\s*\))"
+
+
+def _tagged(files: DataFrame) -> DataFrame:
+    x = _all(files, rf"{_APP}\s*->\s*tag\s*\(\s*\[([^\]]+)\]\s*,\s*['\"]([^'\"]+)['\"]\s*\)", ["many", "tag"], "->tag(")
+    return x.select("file_id", F.lit("tag").alias("binding_type"), F.col("tag").alias("abstract"), F.explode(F.regexp_extract_all("many", F.lit(r"\\?([\w\\]+)::class"), F.lit(1))).alias("concrete"))
+
+
+def _contextual(files: DataFrame) -> DataFrame:
+    x = _all(files, rf"{_APP}\s*->\s*when\s*\(\s*\\?([\w\\]+)::class\s*\)\s*->\s*needs\s*\(\s*\\?([\w\\]+)::class\s*\)\s*->\s*give\s*\(\s*(?:\\?([\w\\]+)::class)?", ["user", "abstract", "concrete"], "->needs(")
+    return x.select("file_id", F.lit("contextual").alias("binding_type"), "abstract", F.when(F.col("concrete") != "", F.col("concrete")).alias("concrete"))
+
+
+def _plain_bindings(files: DataFrame) -> DataFrame:
     x = _all(files, r"(?:\$this->app|app\(\))->(singleton|bind|scoped|instance)\(\s*\\?([\w\\]+)::class\s*,\s*(?:\\?([\w\\]+)::class|function|fn|new\s+\\?([\w\\]+)|\$)", ["binding_type", "abstract", "c1", "c2"], "->singleton(", "->bind(", "->scoped(", "->instance(")
     return x.select("file_id", "binding_type", "abstract", F.coalesce(F.when(F.col("c1") != "", F.col("c1")), F.when(F.col("c2") != "", F.col("c2"))).alias("concrete"))
 
 
 def listeners(files: DataFrame) -> DataFrame:
-    """(file_id, event, listener, source): from maps, listen calls, and listeners whose handle method names its event; the first source counts."""
+    """(file_id, event, listener, source): from maps, listen calls, attributes, and listeners whose handle method names its event; the first source counts."""
     inmap = _all(files, r"([\w\\]+)::class\s*=>\s*\[\s*((?:\\?[\w\\]+::class\s*,?\s*)+)\]", ["event", "many"], "$listen")
     a = inmap.select("file_id", "event", F.explode(F.regexp_extract_all("many", F.lit(r"([\w\\]+)::class"), F.lit(1))).alias("listener"), F.lit("map").alias("source"), F.lit(0).alias("prio"))
     b = _all(files, r"Event::listen\(\s*\\?([\w\\]+)::class\s*,\s*\[?\s*\\?([\w\\]+)::class", ["event", "listener"], "Event::listen").select("file_id", "event", "listener", F.lit("call").alias("source"), F.lit(1).alias("prio"))
     hint = _all(files.filter(F.col("path").contains("/Listeners/")), r"function\s+handle\(\s*\\?([A-Z][\w\\]*)\s+\$", ["event"], "handle")
     own = files.select("file_id", F.regexp_extract("path", r"(\w+)\.php$", 1).alias("listener"))
     c = hint.join(own, "file_id").select("file_id", "event", "listener", F.lit("type").alias("source"), F.lit(2).alias("prio"))
-    rows = a.unionByName(b).unionByName(c)
+    attribute = _all(files, r"#\[Listen\s*\(\s*\\?([\w\\]+)::class", ["event"], "#[Listen")
+    e = attribute.join(own, "file_id").select("file_id", "event", "listener", F.lit("attribute").alias("source"), F.lit(1).alias("prio"))
+    rows = a.unionByName(b).unionByName(c).unionByName(e)
     return rows.groupBy("event", "listener").agg(F.min_by("source", F.struct("prio", "file_id")).alias("source"), F.min("file_id").alias("file_id"))
 
 
@@ -283,11 +328,11 @@ def validation_rules(files: DataFrame) -> DataFrame:
 
 
 def schedules(files: DataFrame) -> DataFrame:
-    """(file_id, task, frequency, cron, disabled): scheduled commands and jobs; a commented statement is disabled."""
-    rx = r"(?m)^([ \t]*(?://|#)?)[ \t]*(?:\$schedule|Schedule::?)(?:->|::)?(?:command|job|call|exec)\(\s*(?:'([^']*)'|new\s+([\w\\]+)|([\w\\]+)::class)?[^;\n]*?->(\w+)\(\s*(?:'([^']*)')?"
-    x = _all(files, rx, ["lead", "t1", "t2", "t3", "frequency", "arg"], "chedule")
+    """(file_id, task, frequency, cron, disabled, timezone, without_overlapping, on_one_server, in_background): scheduled commands and jobs; a commented statement is disabled."""
+    rx = r"(?m)^([ \t]*(?://|#)?)[ \t]*(?:\$schedule|Schedule::?)(?:->|::)?(?:command|job|call|exec)\(\s*(?:'([^']*)'|new\s+([\w\\]+)|([\w\\]+)::class)?\s*\)?\s*->(\w+)\(\s*(?:'([^']*)')?([^;]*)"
+    x = _all(files, rx, ["lead", "t1", "t2", "t3", "frequency", "arg", "rest"], "chedule")
     some = lambda c: F.when(F.col(c) != "", F.col(c))
-    return x.select("file_id", F.coalesce(some("t1"), some("t2"), some("t3"), F.lit("closure")).alias("task"), "frequency", F.when(F.col("frequency") == "cron", F.col("arg")).alias("cron"), (F.trim("lead") != "").alias("disabled"))
+    return x.select("file_id", F.coalesce(some("t1"), some("t2"), some("t3"), F.lit("closure")).alias("task"), "frequency", F.when(F.col("frequency") == "cron", F.col("arg")).alias("cron"), (F.trim("lead") != "").alias("disabled"), F.nullif(F.regexp_extract("rest", r"->timezone\(\s*['\"]([^'\"]+)", 1), F.lit("")).alias("timezone"), *[F.col("rest").contains(f"->{call}(").alias(name) for name, call in (("without_overlapping", "withoutOverlapping"), ("on_one_server", "onOneServer"), ("in_background", "inBackground"))])
 
 
 #: Words that follow FROM or JOIN without being tables.
@@ -304,9 +349,18 @@ def sql_tables(bodies: DataFrame, text: str = "sql") -> DataFrame:
     return bodies.withColumns({"reads": F.array_sort(F.array_except(F.array_distinct(reads), stop)), "writes": F.array_sort(F.array_except(F.array_distinct(writes), stop))})
 
 
+def procedure_parameters(procedures: DataFrame, text: str = "body") -> DataFrame:
+    """(repo, name, position, mode, parameter, type) of stored procedures (repo, name, body), from their heads."""
+    rx = F.lit(r"(?i)\b(IN|OUT|INOUT)\s+(\w+)\s+(\w+(?:\([\d, ]*\))?)")
+    head = F.regexp_extract(F.col(text), r"(?is)^(.*?)\bbegin\b", 1)
+    source = F.when(head != "", head).otherwise(F.col(text))
+    x = procedures.withColumn("_s", source).select("repo", "name", F.posexplode(F.arrays_zip(*[F.regexp_extract_all("_s", rx, F.lit(i)).alias(f"g{i}") for i in (1, 2, 3)])).alias("position", "x"))
+    return x.select("repo", "name", "position", F.upper("x.g1").alias("mode"), F.col("x.g2").alias("parameter"), F.col("x.g3").alias("type"))
+
+
 def db_access(files: DataFrame) -> DataFrame:
     """(file_id, line, target, operation, via, confidence): query builder, joins, raw SQL, static ORM calls and instance writes."""
-    lines = code_lines(files, "DB::", "::", "->save(", "->delete(", "join(").filter(~F.col("text").rlike(r"^\s*(?:\*|//|#|/\*)"))
+    lines = code_lines(files, "DB::", "::", "->save(", "->delete(", "join(", "()->").filter(~F.col("text").rlike(r"^\s*(?:\*|//|#|/\*)"))
     op = F.when(F.col("text").rlike(r"(?:->|::)(?:insert|create|upsert|insertGetId|firstOrCreate|updateOrCreate|save)\("), "write").when(F.col("text").rlike(r"(?:->|::)(?:update|increment|decrement)\("), "write").when(F.col("text").rlike(r"(?:->|::)(?:delete|truncate|destroy)\("), "delete").otherwise("read")
     kinds = (
         ("query_builder", r"DB::table\(\s*'(\w+)'", 0.95, op), ("join", r"->(?:left|right|cross)?[jJ]oin\(\s*'(\w+)'", 0.90, F.lit("read")),
@@ -317,7 +371,12 @@ def db_access(files: DataFrame) -> DataFrame:
     for via, rx, confidence, operation in kinds:
         x = lines.withColumn("target", F.explode(F.regexp_extract_all("text", F.lit(rx), F.lit(1)))).select("file_id", "line", "target", operation.alias("operation"), F.lit(via).alias("via"), F.lit(confidence).alias("confidence"))
         out = x if out is None else out.unionByName(x)
-    return out.filter(~F.col("target").isin("DB", "Route", "Schema", "Cache", "Log", "this"))
+    # writes through a relation: the target is the relation's method
+    relation = r"\$\w+\s*->\s*(\w+)\s*\(\s*\)\s*->\s*(?:create|createMany|save|saveMany|update|updateOrCreate|firstOrCreate|firstOrNew|attach|detach|sync|syncWithoutDetaching|toggle|updateExistingPivot)\s*\("
+    x = lines.withColumn("target", F.explode(F.regexp_extract_all("text", F.lit(relation), F.lit(1)))).select("file_id", "line", "target", F.lit("write").alias("operation"), F.lit("relation_write").alias("via"), F.lit(0.8).alias("confidence"))
+    # tables named by a variable cannot be told; their sites are kept for review
+    y = lines.withColumn("target", F.explode(F.regexp_extract_all("text", F.lit(r"\bDB::(?:connection\([^)]*\)\s*->\s*)?table\(\s*(\$\w+)"), F.lit(1)))).select("file_id", "line", "target", op.alias("operation"), F.lit("dynamic_table").alias("via"), F.lit(0.2).alias("confidence"))
+    return out.unionByName(x).unionByName(y).filter(~F.col("target").isin("DB", "Route", "Schema", "Cache", "Log", "this"))
 
 
 def right_side(expression: Column) -> Column:
@@ -423,7 +482,23 @@ def notification_channels(files: DataFrame) -> DataFrame:
 
 
 def switch_maps(files: DataFrame) -> DataFrame:
-    """(file_id, key, value) of match arms from texts to literals, where an expression has two or more."""
+    """(file_id, key, value) of match arms from texts to literals, where an expression has two or more, and of switch cases.
+
+    A case counts by what it returns first: a property (its name) or a text (in quotes); a switch counts with two or more of those.
+    """
+    return _match_maps(files).unionByName(_case_maps(files))
+
+
+def _case_maps(files: DataFrame) -> DataFrame:
+    body = _all(files, r"\bswitch\s*\([^)]+\)\s*\{((?:[^{}]|\{[^{}]*\})*)\}", ["body"], "switch")
+    key = r"^\s*(?:(\d+)|'([^']+)'|\"([^\"]+)\")\s*:"
+    block = lambda c: F.struct(F.concat(*[F.regexp_extract(c, key, i) for i in (1, 2, 3)]).alias("key"), F.regexp_extract(c, r"return\s+\$\w+->(\w+)", 1).alias("prop"), F.concat(F.regexp_extract(c, r"return\s+'([^']+)'", 1), F.regexp_extract(c, r"return\s+\"([^\"]+)\"", 1)).alias("text"))
+    cases = F.filter(F.transform(F.split("body", r"\bcase\b"), block), lambda x: (x["key"] != "") & ((x["prop"] != "") | (x["text"] != "")))
+    x = body.select("file_id", cases.alias("cases")).filter(F.size("cases") >= 2).select("file_id", F.explode("cases").alias("c"))
+    return x.select("file_id", "c.key", F.when(F.col("c.prop") != "", F.col("c.prop")).otherwise(F.concat(F.lit('"'), "c.text", F.lit('"'))).alias("value"))
+
+
+def _match_maps(files: DataFrame) -> DataFrame:
     body = _all(files, r"(?s)match\s*\([^)]*\)\s*\{(.*?)\};", ["body"], "match (")
     numbered = body.withColumn("n", F.size(F.regexp_extract_all("body", F.lit("=>"), F.lit(0)))).filter("n >= 2")
     arm = F.regexp_extract_all("body", F.lit(r"([^,{}\n][^{}\n]*?)\s*=>\s*([^,\n]+)"), F.lit(0))

@@ -114,3 +114,36 @@ def export_json(nodes: DataFrame, path: str, labels: list[str], limit: int = 100
 def registry_update(registry: DataFrame | None, entry: DataFrame) -> DataFrame:
     """The registry of repositories with an entry added or replaced, by path."""
     return entry if registry is None else registry.join(entry.select("path"), "path", "left_anti").unionByName(entry)
+
+
+def registry_touch(registry: DataFrame, path: str, at: float) -> DataFrame:
+    """The registry with the time of one repository set and all else of it kept; one that is not there is not added."""
+    return registry.withColumn("indexed_at", F.when(F.col("path") == path, F.lit(float(at))).otherwise(F.col("indexed_at")))
+
+
+def registry_remove(registry: DataFrame, path: str) -> DataFrame:
+    """The registry without one repository."""
+    return registry.filter(F.col("path") != path)
+
+
+#: What the log of a repository must be written with to be read by :func:`git_log`.
+GIT_LOG_FORMAT = "git log --name-only --format=%x1e%H|%ct"
+
+
+def git_log(spark: SparkSession, path: str) -> DataFrame:
+    """(commit, ts, file) from logs written as :data:`GIT_LOG_FORMAT` says, one record a commit; a commit without files gives none."""
+    r = spark.read.option("lineSep", "\x1e").text(path).select(F.split("value", "\n").alias("l")).filter(F.col("l")[0].contains("|"))
+    head = F.split(F.col("l")[0], r"\|")
+    x = r.select(head[0].alias("commit"), F.timestamp_seconds(head[1].cast("long")).cast("timestamp_ntz").alias("ts"), F.explode(F.slice("l", 2, F.size("l"))).alias("file"))
+    return x.withColumn("file", F.trim("file")).filter("file <> ''")
+
+
+def schema_hash(columns: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., hash): sixteen digits that change when a column of a table (column, type) comes, goes or changes its type."""
+    each = F.concat_ws(":", "column", F.coalesce("type", F.lit("")))
+    return columns.groupBy(*by).agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set(each)), "|"), 256), 1, 16).alias("hash"))
+
+
+def stale_by_schema(cached: DataFrame, now: DataFrame, by: list[str]) -> DataFrame:
+    """The cached entries (by..., hash, ...) whose table has another hash now, or is gone."""
+    return cached.join(now.select(*by, "hash"), [*by, "hash"], "left_anti")

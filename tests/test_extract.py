@@ -218,3 +218,40 @@ def test_graph_sink_round_trip(spark, tmp_path):
     src.write_graph(spark.createDataFrame([("b", "B")], "node_id string, label string"), e, str(tmp_path / "g"))
     n2, e2 = src.read_graph(spark, str(tmp_path / "g"))
     assert {r["node_id"] for r in n2.collect()} == {"a", "b"} and e2.count() == 1
+
+
+def test_declared_middleware_and_bindings_of_every_form(frame):
+    kernel = "<?php\nclass Kernel {\n protected $middleware = [ \\App\\Trust::class, 'cors' ];\n protected $middlewareGroups = [ 'web' => [ A::class, 'throttle:6' ], 'api' => [ B::class ] ];\n protected $routeMiddleware = [ 'auth' => \\App\\Auth::class ];\n}\n"
+    boot = "<?php\n$middleware->append(C::class);\n$middleware->group('extra', [D::class]);\n$middleware->alias(['slow' => E::class]);\n"
+    x = rows(extract.middleware_registry(frame([(1, kernel), (2, boot), (3, None)], "file_id int, content string")).select("kind", F.coalesce("name", F.lit("")).alias("name"), F.concat_ws(",", "members").alias("m")), "kind", "name", "m")
+    assert x == [("alias", "auth", "App\\Auth"), ("alias", "slow", "E"), ("global", "", "App\\Trust,cors"), ("global", "", "C"), ("group", "api", "B"), ("group", "extra", "D"), ("group", "web", "A,throttle:6")]
+    text = "<?php\n$this->app->singleton(Gate::class, RealGate::class);\n$this->app->tag([A::class, B::class], 'reports');\napp()->when(X::class)->needs(Y::class)->give(Z::class);\n"
+    b = rows(extract.bindings(frame([(1, text)], "file_id int, content string")), "binding_type", "abstract", "concrete")
+    assert b == [("contextual", "Y", "Z"), ("singleton", "Gate", "RealGate"), ("tag", "reports", "A"), ("tag", "reports", "B")]
+    l = frame([(1, "app/Listeners/Mail.php", "<?php\n#[Listen(Sold::class)]\nclass Mail {}\n")], "file_id int, path string, content string")
+    assert rows(extract.listeners(l), "event", "listener", "source") == [("Sold", "Mail", "attribute")]
+
+
+def test_schedules_switches_writes_and_procedures(frame):
+    text = "<?php\n$schedule->command('a:b')->dailyAt('3:00')->timezone('UTC')->onOneServer();\n// $schedule->job(new J)->cron('* * * * *');\n$schedule->job(K::class)->hourly()->withoutOverlapping();\n"
+    s = rows(extract.schedules(frame([(1, text)], "file_id int, content string")).na.fill(""), "task", "frequency", "cron", "disabled", "timezone", "without_overlapping", "on_one_server")
+    assert s == [("J", "cron", "* * * * *", True, "", False, False), ("K", "hourly", "", False, "", True, False), ("a:b", "dailyAt", "", False, "UTC", False, True)]
+    code = "<?php\nswitch ($x) {\n case 'a':\n  return $this->left;\n case 2: return 'two';\n default: return 1;\n}\n$u->posts()->create([]);\nDB::table($name)->get();\n"
+    f = frame([(1, code)], "file_id int, content string")
+    assert rows(extract.switch_maps(f), "key", "value") == [("2", '"two"'), ("a", "left")]
+    assert rows(extract.db_access(f), "via", "target", "operation") == [("dynamic_table", "$name", "read"), ("relation_write", "posts", "write")]
+    p = frame([("r", "p", "CREATE PROCEDURE p(IN a INT, OUT b VARCHAR(20))\nBEGIN SELECT 1 IN (2); END"), ("r", "q", None)], "repo string, name string, body string")
+    assert rows(extract.procedure_parameters(p), "position", "mode", "parameter", "type") == [(0, "IN", "a", "INT"), (1, "OUT", "b", "VARCHAR(20)")]
+
+
+def test_registry_log_and_schema_hashes(spark, frame, tmp_path):
+    r = src.registry_update(None, frame([("/a", 1.0, "x"), ("/b", 2.0, "y")], "path string, indexed_at double, version string"))
+    t = src.registry_touch(r, "/a", 9)
+    assert rows(t, "path", "indexed_at", "version") == [("/a", 9.0, "x"), ("/b", 2.0, "y")] and rows(src.registry_touch(r, "/z", 9), "path") == [("/a",), ("/b",)]
+    assert rows(src.registry_remove(t, "/a"), "path") == [("/b",)]
+    (tmp_path / "log").write_text("\x1eabc|0\n\na.php\nb/c.php\n\x1edef|60\n\n\x1eghi|120\n\na.php\n")
+    assert rows(src.git_log(spark, str(tmp_path / "log")), "commit", "file") == [("abc", "a.php"), ("abc", "b/c.php"), ("ghi", "a.php")]
+    c = frame([("t", "a", "int"), ("t", "b", None), ("u", "a", "int")], "table string, column string, type string")
+    h = src.schema_hash(c, ["table"])
+    changed = src.schema_hash(c.filter("not (table = 't' and column = 'b')"), ["table"])
+    assert rows(src.stale_by_schema(h, changed, ["table"]), "table") == [("t",)] and src.stale_by_schema(h, src.schema_hash(c.orderBy("column"), ["table"]), ["table"]).count() == 0
