@@ -101,6 +101,31 @@ def pattern_language(spark, d):
     )
 
 
+@_query("select p_name as part from part where p_size < 5 and exists (select 1 from lineitem join orders on o_orderkey = l_orderkey where l_partkey = p_partkey and o_totalprice > 400000) and not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity < 2)")
+def pattern_exists(spark, d):
+    t = Translator(og.nodes(spark, d, "Part", "Order"), og.edges(spark, d, "CONTAINS"))
+    return t.run("MATCH (p:Part) WHERE p.p_size < $size AND EXISTS {(p)<-[:CONTAINS]-(o:Order) WHERE o.o_totalprice > 400000} AND NOT EXISTS {(p)<-[e:CONTAINS]-(o) WHERE e.l_quantity < 2} RETURN p.name AS part", size=5)
+
+
+@_query("select c_name as customer, count(*) as n from customer join orders on o_custkey = c_custkey group by c_custkey, c_name having count(*) >= 20")
+def pattern_with(spark, d):
+    t = Translator(og.nodes(spark, d, "Customer", "Order"), og.edges(spark, d, "PLACED"))
+    return t.run("MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, count(o) AS n WHERE n >= 20 RETURN c.name AS customer, n")
+
+
+@_query("""select n_name as place, count(*) as n from customer join nation on n_nationkey = c_nationkey group by 1
+  union all select r_name, count(*) from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey group by 1""")
+def pattern_length(spark, d):
+    t = Translator(og.nodes(spark, d, "Customer", "Nation", "Region"), og.edges(spark, d, "LOCATED_IN"))
+    return t.run("MATCH (c:Customer)-[:LOCATED_IN*1..2]->(x) RETURN x.name AS place, count(*) AS n")
+
+
+@_query("select r_name as place from region union select n_name from nation join supplier on s_nationkey = n_nationkey where s_acctbal > 5000")
+def pattern_union(spark, d):
+    t = Translator(og.nodes(spark, d, "Supplier", "Nation", "Region"), og.edges(spark, d, "LOCATED_IN"))
+    return t.run("MATCH (n:Nation)-[:LOCATED_IN]->(r:Region) RETURN r.name AS place UNION MATCH (s:Supplier)-[:LOCATED_IN]->(n:Nation) WHERE s.s_acctbal > 5000 RETURN n.name AS place")
+
+
 @_query("""select r_name as region, count(n_nationkey) as nations from region left join nation on n_regionkey = r_regionkey and n_name <> 'x' group by 1""")
 def pattern_optional(spark, d):
     t = Translator(og.nodes(spark, d, "Region", "Nation"), og.edges(spark, d, "LOCATED_IN"))

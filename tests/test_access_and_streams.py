@@ -60,6 +60,22 @@ def test_patterns(graph):
     assert rows(graph.run("MATCH (a)-[r]-(b:Post) RETURN b.name AS b, count(*) AS n ORDER BY b SKIP 1")) == [("World", 1)]
 
 
+def test_patterns_of_any_length_exists_with_and_union(frame):
+    n = frame([(x, "Class_" if x < "d" else "Post", x.upper(), i) for i, x in enumerate("abcde")], "node_id string, label string, name string, age int")
+    e = frame([("a", "UP", "b", 1), ("b", "UP", "c", 2), ("c", "UP", "d", 3), ("a", "HAS", "d", 4), ("a", "HAS", "e", 5), ("d", "UP", "a", 6)], "src string, rel string, dst string, line int")
+    g = Translator(n, e)
+    far = lambda q: sorted(rows(g.run(q)))
+    assert far("MATCH (x {name: 'A'})-[:UP*1..2]->(y) RETURN y.name AS y") == [("B",), ("C",)]
+    assert far("MATCH (x {name: 'A'})-[:UP*2]->(y) RETURN y.name AS y") == [("C",)] and far("MATCH (x {name: 'C'})<-[:UP*..9]-(y) RETURN y.name AS y") == [("A",), ("B",), ("C",), ("D",)]
+    assert far("MATCH (x {name: 'B'})-[:UP*0..1]-(y) RETURN y.name AS y") == [("A",), ("B",), ("C",)] and far("MATCH (x {name: 'A'})-[:UP*]->(y) RETURN count(*) AS n") == [(4,)]
+    assert far("MATCH (x:Class) WHERE EXISTS {(x)-[:HAS]->(y) WHERE y.name = 'E'} RETURN x.name AS x") == [("A",)]
+    assert far("MATCH (x:Class) WHERE NOT EXISTS { MATCH (x)-[:HAS]->() } AND x.age < 2 RETURN x.name AS x") == [("B",)]
+    assert far("MATCH (x)-[:HAS]->(y) WITH x, count(y) AS n WHERE n > 1 MATCH (x)-[:UP]->(z) RETURN x.name AS x, n, z.name AS z") == [("A", 2, "B")]
+    assert far("MATCH (x {name: 'A'}) RETURN x.name AS n UNION MATCH (x:Class) WHERE x.name STARTS WITH 'A' OR x.name = 'UNION' RETURN x.name AS n") == [("A",)]
+    assert far("MATCH (x {name: 'A'}) RETURN x.name AS n UNION ALL MATCH (x {name: 'A'}) RETURN x.name AS n") == [("A",), ("A",)]
+    assert far("MATCH (x {name: 'A'})-[r:HAS]->(y) RETURN *") == [("HAS", "a", "d"), ("HAS", "a", "e")]
+
+
 @pytest.mark.parametrize("q", ["MATCH (n) SET n.x = 1", "MATCH (n) DETACH DELETE n"])
 def test_patterns_only_read(graph, q):
     with pytest.raises(PermissionError):
