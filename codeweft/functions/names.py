@@ -14,12 +14,13 @@ def ascii_lower(c: Column) -> Column:
 
 def trimmed(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def class_name(c: Column) -> Column:
     """A class name as written, without outer blanks and a leading separator; null when nothing is left."""
-    bare = trimmed(F.regexp_replace(trimmed(c), r"^\\", ""))
+    bare = trimmed(c)
+    bare = F.when(bare.startswith("\\"), trimmed(F.substr(bare, F.lit(2)))).otherwise(bare)
     return F.when(bare != "", bare)
 
 
@@ -30,6 +31,6 @@ def class_key(c: Column) -> Column:
 
 def table_key(c: Column) -> Column:
     """A table name without quotes, blanks, schema prefix and letter case; null when nothing is left."""
-    bare = trimmed(F.regexp_replace(c, r"[`\"'\[\]]", ""))
-    last = F.lower(trimmed(F.element_at(F.split(bare, r"\."), -1)))
+    bare = trimmed(F.translate(c, "`\"'[]", ""))
+    last = F.lower(trimmed(F.substring_index(bare, ".", -1)))
     return F.when(last != "", last)

@@ -7,19 +7,26 @@ from pyspark.sql import functions as F
 
 from codeweft.functions.names import class_key, table_key
 from codeweft.operators.symbols import latest, living_symbols
-from codeweft.skew import salted_join
+from codeweft.session import cut, rows
+from codeweft.skew import HOT_MIN_ROWS, HOT_SHARE, salted_join
 
 
 def orphan_rows(references: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of ``references`` whose key is not in ``targets``.
 
     The keys are made distinct first, so the anti-join sees each key once however many rows
-    share it; the few orphan keys are then joined back, hot ones salted. A null in any key is
-    no reference, repeated rows each count, an empty ``targets`` makes every reference an orphan.
+    share it; the orphan keys are then joined back, hot ones salted, which their counts tell. A null
+    in any key is no reference, repeated rows each count, an empty ``targets`` makes every
+    reference an orphan. The references are written once with their keys, as both steps read them.
     """
-    wanted = references.select(*keys).na.drop(subset=keys).distinct()
+    references = cut(references.na.drop(subset=keys), "references")
+    wanted = references.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     missing = wanted.join(targets.select(*keys).na.drop(subset=keys).distinct(), keys, "left_anti")
-    return salted_join(references, missing, keys, "left_semi")
+    n = rows(references)
+    if n <= HOT_MIN_ROWS:
+        return references.join(missing.select(*keys), keys, "left_semi")
+    missing = cut(missing, "missing")
+    return salted_join(references, missing.select(*keys), keys, "left_semi", hot=missing.filter(F.col("_n") > max(HOT_MIN_ROWS, n * HOT_SHARE)).select(*keys))
 
 
 def _references(parsed_classes: DataFrame, parsed_uses: DataFrame, eloquent_models: DataFrame) -> tuple[DataFrame, DataFrame]:
