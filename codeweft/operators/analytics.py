@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from codeweft.operators.graph import mode_of
+from codeweft.operators.graph import mode_of, top_n
 from codeweft.session import cut, discard
 
 
@@ -49,8 +49,7 @@ def first_of(candidates: Sequence[tuple[DataFrame, int]], key: str, order: Seque
     for df, prio in candidates:
         part = df.withColumn("prio", F.lit(prio))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    r = F.row_number().over(W.partitionBy(key).orderBy("prio", *order))
-    return rows.withColumn("_r", r).filter("_r = 1").drop("_r")
+    return top_n(rows, [key], [F.col("prio"), *order], 1)
 
 
 def enclosing(sites: DataFrame, spans: DataFrame, by: str, at: str, begin: str, end: str) -> DataFrame:

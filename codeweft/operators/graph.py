@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Parts of a group that are cut down before the whole of it is ordered.
+TOP_PARTS = 64
+
+
 def node_id(label: str | Column, *parts: Column) -> Column:
     """label:part::part with doubled name separators made single; null parts count as empty."""
     head = F.lit(label) if isinstance(label, str) else label
@@ -166,8 +170,15 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of each group in a total order."""
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
+    """The first ``n`` rows of each group in a total order.
+
+    A group is cut into parts by a hash of the row, of which each gives its first ``n``, so that one
+    huge group is not one task.
+    """
+    plain = [c for c, t in df.dtypes if not t.startswith("map")]
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(TOP_PARTS))
+    first = df.withColumn("_p", part).withColumn("_r", F.row_number().over(W.partitionBy(*group, "_p").orderBy(*order))).filter(F.col("_r") <= n).drop("_r", "_p")
+    return first.withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
 
 
 def mode_of(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:

@@ -23,6 +23,10 @@ _KINDS = ("Class_", "Trait_", "Interface_", "Enum_")
 PAIRS = (
     [("CONTAINS", "Folder", "Folder"), ("CONTAINS", "Folder", "File"), ("CALLS", "Method", "Method"), ("ROUTES_TO", "Route", "Method"), ("DEFINES", "File", "Route"), ("IMPORTS", "File", "File"), ("EXTENDS_TEMPLATE", "BladeTemplate", "BladeTemplate"), ("INCLUDES_TEMPLATE", "BladeTemplate", "BladeTemplate")]
     + [("HAS_COLUMN", "DatabaseTable", "DatabaseColumn"), ("USES_TABLE", "EloquentModel", "DatabaseTable"), ("QUERIES_TABLE", "Method", "DatabaseTable"), ("USES_CONFIG", "File", "ConfigKey"), ("USES_ENV", "File", "EnvVariable"), ("DEFINES", "File", "BladeTemplate")]
+    + [("RENDERS_TEMPLATE", "Method", "BladeTemplate"), ("HAS_COMPONENT", "BladeTemplate", "BladeTemplate"), ("HAS_RELATIONSHIP", "EloquentModel", "EloquentModel"), ("REFERENCES_TABLE", "DatabaseColumn", "DatabaseTable"), ("APPLIES_MIDDLEWARE", "Route", "Middleware")]
+    + [("HAS_PERFORMANCE_RISK", "Method", "PerformanceRisk"), ("CALLS_EXTERNAL", "Method", "HttpClientCall"), ("BELONGS_TO_FEATURE", "Route", "Feature"), ("BELONGS_TO_FEATURE", "Class_", "Feature"), ("TESTS", "TestCase", "Route"), ("TESTS", "TestCase", "Class_")]
+    + [("VALIDATES_WITH", "Method", "Class_"), ("TRANSFORMS_WITH", "Method", "Class_")]
+    + [(r, a, b) for r in ("INJECTS", "BINDS_TO", "LISTENS_TO") for a in _KINDS for b in _KINDS]
     + [(r, a, b) for r in ("EXTENDS_CLASS", "IMPLEMENTS_INTERFACE", "USES_TRAIT") for a in _KINDS for b in _KINDS]
     + [x for k in _KINDS for x in (("DEFINES", "File", k), ("DEFINES", k, "Method"), ("DISPATCHES", "Method", k), ("USES_TYPE", "Method", k), ("CALLS", "Method", k))]
 )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from codeweft.operators.graph import top_n
 from codeweft.session import cut, discard
 from codeweft.skew import salted_join
 
@@ -21,7 +22,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, per_node: int | None = N
     """
     e = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct()
     if per_node is not None:
-        e = e.withColumn("_r", F.row_number().over(W.partitionBy("src").orderBy("dst"))).filter(F.col("_r") <= per_node).drop("_r")
+        e = top_n(e, ["src"], [F.col("dst")], per_node)
     e = cut(e, "edges")
     front = cut(seeds.filter(F.col("root").isNotNull()).select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "level")
     levels = [front]
@@ -39,8 +40,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, per_node: int | None = N
 
 def capped(levels: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` nodes of each root by (depth, node), with their position from 0."""
-    r = F.row_number().over(W.partitionBy("root").orderBy("depth", "node")) - 1
-    return levels.withColumn("step_order", r).filter(F.col("step_order") < limit)
+    first = top_n(levels, ["root"], [F.col("depth"), F.col("node")], limit)
+    return first.withColumn("step_order", F.row_number().over(W.partitionBy("root").orderBy("depth", "node")) - 1)
 
 
 def blast_radius(incoming: DataFrame, outgoing: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:

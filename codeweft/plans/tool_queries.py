@@ -16,9 +16,20 @@ def _graph(spark, d):
     return CodeGraph(lambda name: table(spark, d, name))
 
 
+#: Labels and relations of the structure, and relations of the framework that these tables have cases of.
+STRUCTURE = ("Folder", "File", "Method", "Route", "BladeTemplate", "DatabaseTable", "DatabaseColumn", "EloquentModel", "ConfigKey", "EnvVariable", *tools.KINDS)
+RELATIONS = ("CONTAINS", "DEFINES", "IMPORTS", "CALLS", "DISPATCHES", "USES_TYPE", "ROUTES_TO", "USES_TABLE", "QUERIES_TABLE", "HAS_COLUMN", "EXTENDS_TEMPLATE", "INCLUDES_TEMPLATE", "USES_CONFIG", "USES_ENV", "EXTENDS_CLASS", "IMPLEMENTS_INTERFACE", "USES_TRAIT")
+OF_FRAMEWORK = ("INJECTS", "VALIDATES_WITH", "TRANSFORMS_WITH", "HAS_PERFORMANCE_RISK", "BELONGS_TO_FEATURE", "HAS_RELATIONSHIP", "BINDS_TO", "HAS_COMPONENT", "RENDERS_TEMPLATE", "REFERENCES_TABLE", "APPLIES_MIDDLEWARE", "LISTENS_TO", "CALLS_EXTERNAL", "TESTS")
+
+
 def graph_status(spark, d):
     g = _graph(spark, d)
-    return tools.status(g.nodes(), g.edges())
+    return tools.status(g.nodes(*STRUCTURE), g.edges(*RELATIONS))
+
+
+def graph_framework(spark, d):
+    g = _graph(spark, d)
+    return g.edges(*OF_FRAMEWORK).groupBy("rel", "detail").agg(F.count(F.lit(1)).alias("n"))
 
 
 def graph_violations(spark, d):
@@ -178,7 +189,7 @@ def tool_security_surface(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_status, graph_violations, call_graph, call_targets, query_risks, race_conditions, tool_context, tool_impact, tool_request_flow, tool_flows, tool_dead_methods, tool_cross_cutting, tool_table_access, tool_write_impact, tool_settings,
+        graph_status, graph_framework, graph_violations, call_graph, call_targets, query_risks, race_conditions, tool_context, tool_impact, tool_request_flow, tool_flows, tool_dead_methods, tool_cross_cutting, tool_table_access, tool_write_impact, tool_settings,
         tool_features, tool_changed_symbols, tool_unused_classes, tool_routes, tool_api_surface, tool_models, tool_events, tool_bindings, tool_schema, tool_db_context, tool_resolve_column, tool_connection_map, tool_explain, tool_list_repos, tool_map,
         tool_risks, tool_outbound_apis, tool_tests, tool_feature_context, tool_security_surface,
     )

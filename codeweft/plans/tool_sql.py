@@ -139,3 +139,20 @@ SQL |= {
     "tool_feature_context": with_parts(_FEATURES + " select feature, count(*) filter (where match_type = 'route') as n_routes, count(*) filter (where match_type = 'exact') as n_exact, count(*) filter (where match_type = 'prefix') as n_near from link group by 1"),
     "db_access": with_parts("select via, op as operation, target, count(*) as n from acc group by 1, 2, 3"),
 }
+
+_MEANT = "(select n.file_id, n.name, coalesce(s0.node, s1.node) as node from (select distinct file_id, name from {0}) n join fileid i using (file_id) left join alias a on a.file_id = n.file_id and a.alias = n.name left join sym s0 on s0.key = a.key left join short h on h.repo = i.repo and h.name = n.name left join sym s1 on s1.key = h.key)"
+SQL["graph_framework"] = with_parts(
+    _FEATURES
+    + _SCANNED
+    + rf""", owner as (select file_id, min(node) as node from sym where file_id is not null group by 1),
+  asked as (select file_id, case when x[1] = '__construct' then 'constructor' else 'method' end as how, list_extract(string_split(regexp_extract(trim(unnest(string_split(x[2], ','))), '(?:^|[(\s])\??\\?([A-Z][\w\\]*)\s+\$\w+', 1), '\'), -1) as name
+    from (select file_id, unnest(list_zip(regexp_extract_all(content, 'function\s+(\w+)\(([^)]*)\)', 1), regexp_extract_all(content, 'function\s+(\w+)\(([^)]*)\)', 2))) as x from php where content is not null)),
+  heard as (select min(file_id) as file_id, event, listener from (select file_id, unnest(regexp_extract_all(content, 'function\s+handle\(\s*\\?([A-Z][\w\\]*)\s+\$', 1)) as event, regexp_extract(path, '(\w+)\.php$', 1) as listener from php where contains(path, '/Listeners/') and content is not null) group by 2, 3),
+  ear as (select file_id, event as full_, list_extract(string_split(event, '\'), -1) as name from heard), mouth as (select file_id, listener as name from heard)
+  select rel, detail, count(*) as n from (
+    select distinct 'INJECTS' as rel, o.node as src, m.node as dst, a.how as detail from asked a join owner o using (file_id) join {_MEANT.format('asked')} m on m.file_id = a.file_id and m.name = a.name where m.node is not null
+    union all select distinct case s.role when 'request' then 'VALIDATES_WITH' else 'TRANSFORMS_WITH' end, t.src, t.dst, t.role from tuse t join sym s on s.node = t.dst where s.role in ('request', 'resource')
+    union all select 'HAS_PERFORMANCE_RISK', method, null, risk from ({_RISKS}) union all select 'BELONGS_TO_FEATURE', node, feature, match_type from link
+    union all select 'LISTENS_TO', l.node, e.node, 'type' from heard h join {_MEANT.format('ear')} e on e.file_id = h.file_id and e.name = list_extract(string_split(h.event, '\'), -1) join {_MEANT.format('mouth')} l on l.file_id = h.file_id and l.name = h.listener where e.node is not null and l.node is not null)
+  group by 1, 2"""
+)

@@ -94,6 +94,11 @@ class CodeGraph:
             "DatabaseColumn": lambda: self.columns().select("node_id", F.lit("DatabaseColumn").alias("label"), F.col("column").alias("name"), "repo", F.col("type").alias("role")),
             "EloquentModel": lambda: latest(self.read("eloquent_models"), ["node_id"], ["parsed_at", "model_id"], ["name", "fqn", "repo", "file_path"]).withColumn("label", F.lit("EloquentModel")),
             "ConfigKey": lambda: extract.config_keys(self.files()).join(self.files().select("file_id", "repo"), "file_id").select(node_id("config_key", F.col("repo"), F.col("key")).alias("node_id"), F.lit("ConfigKey").alias("label"), F.col("key").alias("name"), "repo").dropDuplicates(["node_id"]),
+            "Middleware": lambda: self._middleware().select(F.col("dst").alias("node_id"), F.lit("Middleware").alias("label"), F.substring_index("dst", "::", -1).alias("name"), "repo").distinct(),
+            "PerformanceRisk": lambda: self._risks().select(F.col("dst").alias("node_id"), F.lit("PerformanceRisk").alias("label"), F.col("detail").alias("name")).distinct(),
+            "HttpClientCall": lambda: self._external().select(F.col("dst").alias("node_id"), F.lit("HttpClientCall").alias("label"), F.col("detail").alias("name")).distinct(),
+            "Feature": lambda: self._features().select(F.col("dst").alias("node_id"), F.lit("Feature").alias("label"), F.substring_index("dst", ":", -1).alias("name")).distinct(),
+            "TestCase": lambda: self._tests().select(F.col("src").alias("node_id"), F.lit("TestCase").alias("label"), F.substring_index("src", ":", -1).alias("name")).distinct(),
             "EnvVariable": lambda: extract.config_uses(self.php()).filter("kind = 'env'").join(self.files().select("file_id", "repo"), "file_id").select(node_id("env", F.col("repo"), F.col("key")).alias("node_id"), F.lit("EnvVariable").alias("label"), F.col("key").alias("name"), "repo").dropDuplicates(["node_id"]),
         }
         kinds = {"Class_", "Trait_", "Interface_", "Enum_"}
@@ -134,6 +139,8 @@ class CodeGraph:
         build = {
             "CONTAINS": self._contains, "DEFINES": self._defines, "IMPORTS": self._imports, "CALLS": self._calls, "DISPATCHES": self._dispatches, "USES_TYPE": self._uses_type, "ROUTES_TO": self._routes_to, "USES_TABLE": self._uses_table, "QUERIES_TABLE": self._queries_table,
             "HAS_COLUMN": self._has_column, "EXTENDS_TEMPLATE": lambda: self._template("EXTENDS_TEMPLATE"), "INCLUDES_TEMPLATE": lambda: self._template("INCLUDES_TEMPLATE"), "USES_CONFIG": lambda: self._settings("config"), "USES_ENV": lambda: self._settings("env"),
+            "INJECTS": self._injects, "RENDERS_TEMPLATE": self._renders, "HAS_COMPONENT": self._components, "LISTENS_TO": self._listens, "BINDS_TO": self._binds, "HAS_RELATIONSHIP": self._relationships, "REFERENCES_TABLE": self._references, "APPLIES_MIDDLEWARE": self._middleware,
+            "VALIDATES_WITH": lambda: self._asks_for("request"), "TRANSFORMS_WITH": lambda: self._asks_for("resource"), "HAS_PERFORMANCE_RISK": self._risks, "CALLS_EXTERNAL": self._external, "BELONGS_TO_FEATURE": self._features, "TESTS": self._tests,
             **{r: (lambda r=r: self._heritage(r)) for r in ("EXTENDS_CLASS", "IMPLEMENTS_INTERFACE", "USES_TRAIT")},
         }
         return reduce(lambda a, b: a.unionByName(b), [_shape(build[r]().withColumn("rel", F.lit(r)), _EDGE) for r in (rels or build)])
@@ -218,3 +225,74 @@ class CodeGraph:
         u = extract.config_uses(self.php()).filter(F.col("kind") == kind).join(self.files().select("file_id", "repo"), "file_id")
         label = "config_key" if kind == "config" else "env"
         return u.join(self._file_id(), "file_id").select(F.col("file_node").alias("src"), node_id(label, F.col("repo"), F.col("key")).alias("dst"), "line")
+
+    # ---- relations of the framework
+
+    def _owner(self) -> DataFrame:
+        """(file_id, src): the least symbol of each file, which stands for what the file does."""
+        return self.symbols().filter("file_id is not null").groupBy("file_id").agg(F.min("node_id").alias("src"))
+
+    def _injects(self) -> DataFrame:
+        i = extract.injections(self.php()).select("file_id", naming.short_name(F.col("type")).alias("type"), F.col("injection").alias("detail"))
+        return self._by_alias(i, "type").join(self._owner(), "file_id").select("src", "dst", "detail").distinct()
+
+    def _renders(self) -> DataFrame:
+        v = extract.placed(self.php(), r"\bview\(\s*'([\w./:-]+)'", ["view"], "view(")
+        t = self.templates().select("repo", "view", F.col("node_id").alias("dst"))
+        return self._inside(v).join(self.files().select("file_id", "repo"), "file_id").join(t, ["repo", "view"]).select("src", "dst", "line")
+
+    def _components(self) -> DataFrame:
+        t = self.templates()
+        e = extract.templates(self.files()).filter("rel = 'HAS_COMPONENT'").join(t.select("file_id", "repo", F.col("node_id").alias("src")), "file_id")
+        return e.withColumn("view", F.concat(F.lit("components."), "target")).join(t.select("repo", "view", F.col("node_id").alias("dst")), ["repo", "view"]).select("src", "dst")
+
+    def _named(self, names: DataFrame, column: str, out: str) -> DataFrame:
+        """Class names of a file with the symbol they mean, as ``out``."""
+        return self._by_alias(names.withColumn(column, naming.short_name(F.col(column))), column).withColumnRenamed("dst", out)
+
+    def _listens(self) -> DataFrame:
+        l = extract.listeners(self.php()).select("file_id", "event", "listener", F.col("source").alias("detail"))
+        return self._named(self._named(l, "event", "to"), "listener", "src").select("src", F.col("to").alias("dst"), "detail")
+
+    def _binds(self) -> DataFrame:
+        b = extract.bindings(self.php()).filter("concrete is not null").select("file_id", "abstract", "concrete", F.col("binding_type").alias("detail"))
+        return self._named(self._named(b, "concrete", "to"), "abstract", "src").select("src", F.col("to").alias("dst"), "detail")
+
+    def _relationships(self) -> DataFrame:
+        models = self.read("eloquent_models").select("repo", "name", "file_path", "node_id").distinct()
+        at = self.files().select("file_id", "repo", F.col("path").alias("file_path")).join(models.select("repo", "file_path", F.col("node_id").alias("src")), ["repo", "file_path"]).drop("file_path")
+        r = extract.model_relations(self.php()).filter("target is not null").select("file_id", naming.short_name(F.col("target")).alias("name"), F.col("relation").alias("detail"))
+        return r.join(at, "file_id").join(models.select("repo", "name", F.col("node_id").alias("dst")), ["repo", "name"]).select("src", "dst", "detail")
+
+    def _references(self) -> DataFrame:
+        t = self.live_tables().select("repo", F.col("table_key").alias("references_table"), F.col("node_id").alias("dst"))
+        return self.columns().filter("references_table is not null").select("repo", "references_table", F.col("node_id").alias("src")).join(t, ["repo", "references_table"]).select("src", "dst")
+
+    def _middleware(self) -> DataFrame:
+        m = self.routes().select("repo", F.col("node_id").alias("src"), F.posexplode("middleware").alias("line", "m"))
+        return m.select("src", node_id("middleware", F.col("repo"), F.split("m", ":", 2)[0]).alias("dst"), "line", F.get(F.split("m", ":", 2), F.lit(1)).alias("detail"), "repo")
+
+    def _asks_for(self, role: str) -> DataFrame:
+        s = self.symbols().filter(F.col("role") == role).select(F.col("node_id").alias("dst"))
+        return self._uses_type().join(s, "dst", "left_semi").select("src", "dst", "detail").distinct()
+
+    def _risks(self) -> DataFrame:
+        r = extract.query_risks(self.method_sources())
+        return r.select(F.col("method").alias("src"), node_id("perfrisk", F.col("method"), F.col("risk"), F.col("line")).alias("dst"), "line", F.col("risk").alias("detail"))
+
+    def _external(self) -> DataFrame:
+        h = self._inside(extract.http_calls(self.php()))
+        return h.select("src", node_id("http_call", F.col("src"), F.col("client"), F.col("verb"), F.col("line")).alias("dst"), "line", F.concat_ws(" ", "client", "verb").alias("detail"))
+
+    def _features(self) -> DataFrame:
+        from codeweft.plans.tools import features
+
+        f = features(self.routes().select("node_id", "uri").distinct(), self.symbols().filter("label = 'Class_'").select("node_id", "name"))
+        return f.select(F.col("node_id").alias("src"), node_id("feature", F.col("feature")).alias("dst"), F.col("match_type").alias("detail"))
+
+    def _tests(self) -> DataFrame:
+        from codeweft.operators.analytics import test_links
+
+        t = extract.test_references(self.files())
+        links = test_links(t.select("test_id", "uris", "class_refs"), self.routes().select(F.col("node_id").alias("route_id"), "uri"), self.symbols().filter("label = 'Class_'").select(F.col("node_id").alias("class_id"), "name"))
+        return links.select(node_id("test", F.col("test_id")).alias("src"), F.col("target").alias("dst"), F.col("kind").alias("detail"))

@@ -89,9 +89,9 @@ def test_tools(code):
     a = tools.table_access(nodes, edges).first()
     assert (a["n_reads"], a["n_writes"], a["conflict"]) == (1, 1, True)
     assert [(r["method"], r["target_name"]) for r in tools.write_impact(nodes, edges, seed).collect()] == [("method:OrderController::total", "OrderRaised")]
-    assert {r["other_name"] for r in tools.context(nodes, edges, nodes.filter("name = 'OrderRaised'")).collect()} == {"OrderRaised.php", "total"}
+    assert {r["other_name"] for r in tools.context(nodes, edges, nodes.filter("name = 'OrderRaised'")).collect()} == {"OrderRaised.php", "total", "orders"}
     assert {(r["key"], r["kind"], r["declared"]) for r in tools.setting_usage(nodes, edges).collect()} == {("shop.limit", "config", True), ("LIMIT_ROWS", "env", True)}
-    assert tools.find(nodes, "ORDERS").first()["node_id"] == "table:orders" and tools.find(nodes, "app\\order").first()["name"] == "Order"
+    assert tools.find(nodes.filter("label <> 'Feature'"), "ORDERS").first()["node_id"] == "table:orders" and tools.find(nodes, "app\\order").first()["name"] == "Order"
     fl = [(r["node"], r["depth"], r["step_order"]) for r in tools.flows(nodes, edges).orderBy("step_order").collect()]
     assert fl == [("method:OrderController::index", 0, 0), ("method:OrderController::total", 1, 1)]
     f = {(r["feature"], r["match_type"]) for r in tools.features(g.routes().select("node_id", "uri"), nodes.filter("label = 'Class_'")).collect()}
@@ -165,3 +165,39 @@ def test_security_surface(spark, code):
     files = [f for f in FILES if f[0] not in (2, 9)] + [(2, "r", "routes/web.php", ".php", "route_file", text), (9, "r", "database/migrations/1.php", ".php", "migration", mig)]
     g = CodeGraph({**t, "source_files": spark.createDataFrame(files, t["source_files"].schema)}.__getitem__)
     assert sorted((x["severity"], x["kind"], x["location"]) for x in c.security_surface(g).collect()) == [("CRITICAL", "UNVERIFIED_WEBHOOK", "POST /stripe/webhook"), ("HIGH", "SENSITIVE_DATA_RETENTION", "orders.card_number"), ("MEDIUM", "MISSING_AUTH", "GET /shop/open")]
+
+
+def test_relations_of_the_framework(spark, code):
+    _, _, _, t = code
+    more = """<?php
+namespace App;
+class ShopController
+{
+    public function __construct(private Base $base) {}
+    public function store(SaveRequest $r)
+    {
+        foreach ($rows as $row) {
+            $row->a->b();
+        }
+        Http::post('https://x');
+        return view('c');
+    }
+}
+"""
+    extra = [
+        (11, "r", "app/Http/Controllers/ShopController.php", ".php", None, more), (12, "r", "app/Http/Requests/SaveRequest.php", ".php", None, "<?php\nnamespace App;\nclass SaveRequest {}\n"),
+        (13, "r", "app/Listeners/Mail.php", ".php", None, "<?php\nuse App\\OrderRaised;\nclass Mail { function handle(OrderRaised $e) {} }\n"), (14, "r", "resources/views/components/badge.blade.php", ".blade.php", "blade", "x"),
+        (15, "r", "resources/views/d.blade.php", ".blade.php", "blade", "<x-badge />"), (16, "r", "app/Providers/P.php", ".php", None, "<?php\n$this->app->bind(Base::class, Order::class);\n"), (17, "r", "tests/Feature/T.php", ".php", None, "<?php\nclass T { function t() { $this->get('/orders'); Order::factory(); } }"),
+        (18, "r", "app/Order.php", ".php", "model", "<?php\nclass Order { public function bases() { return $this->hasMany(Order::class); } }\n"),
+    ]
+    files = [f for f in FILES if f[0] not in (2, 3, 9)] + extra + [(2, "r", "routes/web.php", ".php", "route_file", "<?php\nRoute::get('/orders', [OrderController::class, 'index'])->middleware('auth:api');\n"), (9, "r", "database/migrations/1.php", ".php", "migration", "<?php\nSchema::create('orders', function ($table) {\n    $table->foreignId('order_id');\n    });\n")]
+    cls = t["parsed_classes"].unionByName(spark.createDataFrame([(20 + i, "r", n, f"App\\{n}", fid, p, "class", 1, 30, None, [], [], T, None) for i, (n, fid, p) in enumerate([("ShopController", 11, "app/Http/Controllers/ShopController.php"), ("SaveRequest", 12, "app/Http/Requests/SaveRequest.php"), ("Mail", 13, "app/Listeners/Mail.php")])], t["parsed_classes"].schema))
+    met = t["methods"].unionByName(spark.createDataFrame([(20, "method:Shop::store", "r", 11, "app/Http/Controllers/ShopController.php", "store", "App\\ShopController::store", 6, 13, '["SaveRequest"]', "", T)], t["methods"].schema))
+    g = CodeGraph({**t, "source_files": spark.createDataFrame(files, t["source_files"].schema), "parsed_classes": cls, "methods": met}.__getitem__)
+    got = {(r["rel"], r["src"].split(":", 1)[1], r["dst"].split(":", 1)[1]) for r in g.edges("INJECTS", "RENDERS_TEMPLATE", "HAS_COMPONENT", "LISTENS_TO", "BINDS_TO", "HAS_RELATIONSHIP", "REFERENCES_TABLE", "APPLIES_MIDDLEWARE", "VALIDATES_WITH", "CALLS_EXTERNAL", "TESTS", "HAS_PERFORMANCE_RISK").collect()}
+    assert got >= {
+        ("INJECTS", "app\\shopcontroller", "app\\base"), ("RENDERS_TEMPLATE", "Shop::store", "r::c"), ("HAS_COMPONENT", "r::d", "r::components.badge"), ("LISTENS_TO", "app\\mail", "app\\orderraised"), ("BINDS_TO", "app\\base", "app\\order"), ("HAS_RELATIONSHIP", "Order", "Order"),
+        ("REFERENCES_TABLE", "r::orders::order_id", "orders"), ("APPLIES_MIDDLEWARE", "r::GET:/orders", "r::auth"), ("VALIDATES_WITH", "Shop::store", "app\\saverequest"), ("TESTS", "17", "r::GET:/orders"), ("TESTS", "17", "app\\order"),
+    }
+    assert {r for r, _, _ in got} >= {"CALLS_EXTERNAL", "HAS_PERFORMANCE_RISK"}
+    assert {r["name"] for r in g.nodes("Middleware", "Feature", "PerformanceRisk").collect()} == {"auth", "orders", "n_plus_one"}
