@@ -127,13 +127,13 @@ _FEATURES = f""", r as (select distinct node, {_WORD} as feature from (select di
 
 SQL |= {
     "tool_flows": with_parts(
-        f""", e as (select distinct src, dst from called), w as (select node as root, node, 0 as depth from {_ENTRY} union select w.root, e.dst, w.depth + 1 from w join e on e.src = w.node where w.depth < 5),
+        f""", e as (select distinct src, dst from called where method), w as (select node as root, node, 0 as depth from {_ENTRY} union select w.root, e.dst, w.depth + 1 from w join e on e.src = w.node where w.depth < 5),
       m as (select root, node, min(depth) as depth from w group by 1, 2) select root, node, depth, step_order from (select *, cast(row_number() over (partition by root order by depth, node) - 1 as integer) as step_order from m) where step_order < 200""",
         recursive=True,
     ),
     "tool_cross_cutting": with_parts(
         r"""select dst as node_id, count(distinct file_path) as n_units, count(distinct layer) as n_layers, case when count(distinct file_path) >= 8 or count(distinct layer) >= 4 then 'HIGH' else 'MEDIUM' end as severity
-      from (select c.dst, m.file_path, case when m.file_path is not null then regexp_extract(m.file_path, '^(?:app/)?([^/]+)', 1) end as layer from called c join meth m on m.node = c.src) group by 1 having count(distinct file_path) >= 3 and count(distinct layer) >= 2"""
+      from (select c.dst, m.file_path, case when m.file_path is not null then regexp_extract(m.file_path, '^(?:app/)?([^/]+)', 1) end as layer from called c join meth m on m.node = c.src where c.method) group by 1 having count(distinct file_path) >= 3 and count(distinct layer) >= 2"""
     ),
     "tool_features": with_parts(_FEATURES + r""" select feature, array_to_string([upper(left(p, 1)) || substr(p, 2) for p in string_split(replace(replace(feature, '-', ' '), '_', ' '), ' ')], ' ') as title, node as node_id, match_type from link"""),
     "tool_feature_context": with_parts(_FEATURES + " select feature, count(*) filter (where match_type = 'route') as n_routes, count(*) filter (where match_type = 'exact') as n_exact, count(*) filter (where match_type = 'prefix') as n_near from link group by 1"),

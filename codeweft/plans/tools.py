@@ -57,8 +57,9 @@ def request_flow(nodes: DataFrame, edges: DataFrame, routes: DataFrame, hops: in
 
 
 def flows(nodes: DataFrame, edges: DataFrame, depth: int = 5, limit: int = 200) -> DataFrame:
-    """(root, node, depth, step_order): what each entry point runs, level by level, the first ``limit`` steps of each by (depth, id)."""
-    calls = edges.filter("rel in ('CALLS')").select("src", "dst")
+    """(root, node, depth, step_order): the methods that each entry point runs, level by level, the first ``limit`` steps of each by (depth, id)."""
+    methods = nodes.filter("label = 'Method'").select(F.col("node_id").alias("dst"))
+    calls = edges.filter("rel = 'CALLS'").select("src", "dst").join(methods, "dst", "left_semi").select("src", "dst")
     starts = traverse.entry_points(("route", edges.filter("rel = 'ROUTES_TO'").select(F.col("dst").alias("node_id"))), ("handler", nodes.filter("label = 'Method' and name = 'handle'").select("node_id")))
     return traverse.capped(traverse.bfs(calls, starts.select(F.col("node_id").alias("root")), depth), limit)
 
@@ -95,7 +96,7 @@ def cross_cutting(nodes: DataFrame, edges: DataFrame, files: int = 3, layers: in
     from codeweft.operators.graph import fan_in
 
     at = nodes.filter("label = 'Method'").select(F.col("node_id").alias("src"), "file_path", F.regexp_extract("file_path", r"^(?:app/)?([^/]+)", 1).alias("layer"))
-    sites = edges.filter("rel = 'CALLS'").select("src", "dst").join(at, "src")
+    sites = edges.filter("rel = 'CALLS'").select("src", "dst").join(at, "src").join(at.select(F.col("src").alias("dst")), "dst", "left_semi")
     return fan_in(sites, "dst", "file_path", "layer", files, layers, 8, 4).withColumnRenamed("dst", "node_id")
 
 
