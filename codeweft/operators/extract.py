@@ -6,8 +6,11 @@ Each extractor takes files (file_id, path, content) and gives one row for each f
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -199,7 +202,7 @@ def middleware_registry(files: DataFrame) -> DataFrame:
     """
     some = r"(?:\\?([\w\\]+)::class|['\"]([^'\"]+)['\"])"
     names = lambda c: F.transform(F.arrays_zip(F.regexp_extract_all(c, F.lit(some), F.lit(1)).alias("a"), F.regexp_extract_all(c, F.lit(some), F.lit(2)).alias("b")), lambda x: F.when(x["a"] != "", x["a"]).otherwise(x["b"]))
-    body = lambda name: _all(files, rf"\$(?:{name})\s*=\s*\[((?:[^\[\]]|\[[^\]]*\])*)\]", ["body"], "iddleware")
+    body = lambda name: _blocks(files, rf"\$(?:{name})\s*=\s*\[", "$middleware", "$routeMiddleware")
     row = lambda df, kind, name, members: df.select("file_id", F.lit(kind).alias("kind"), name.alias("name"), members.alias("members"))
     none = F.lit(None).cast("string")
     top = row(body("middleware"), "global", none, names("body"))
@@ -489,8 +492,27 @@ def switch_maps(files: DataFrame) -> DataFrame:
     return _match_maps(files).unionByName(_case_maps(files))
 
 
+def _blocks(files: DataFrame, opening: str, *needles: str) -> DataFrame:
+    """(file_id, body) of what stands in the brackets that a pattern opens, which may nest.
+
+    Balance is no matter for patterns of the JVM, which would run out of stack on long texts, so the
+    few files that hold a needle go through Arrow batches.
+    """
+    from codeweft.operators.routes import closing
+
+    kind = dict(files.dtypes)["file_id"]
+    rx = re.compile(opening)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            rows = [(i, text[m.end() : closing(text, m.end() - 1) - 1]) for i, text in zip(x["file_id"], x["content"]) for m in rx.finditer(text)]
+            yield pd.DataFrame(rows, columns=["file_id", "body"])
+
+    return _files(files, *needles).select("file_id", "content").mapInPandas(run, f"file_id {kind}, body string")
+
+
 def _case_maps(files: DataFrame) -> DataFrame:
-    body = _all(files, r"\bswitch\s*\([^)]+\)\s*\{((?:[^{}]|\{[^{}]*\})*)\}", ["body"], "switch")
+    body = _blocks(files, r"\bswitch\s*\([^)]+\)\s*\{", "switch")
     key = r"^\s*(?:(\d+)|'([^']+)'|\"([^\"]+)\")\s*:"
     block = lambda c: F.struct(F.concat(*[F.regexp_extract(c, key, i) for i in (1, 2, 3)]).alias("key"), F.regexp_extract(c, r"return\s+\$\w+->(\w+)", 1).alias("prop"), F.concat(F.regexp_extract(c, r"return\s+'([^']+)'", 1), F.regexp_extract(c, r"return\s+\"([^\"]+)\"", 1)).alias("text"))
     cases = F.filter(F.transform(F.split("body", r"\bcase\b"), block), lambda x: (x["key"] != "") & ((x["prop"] != "") | (x["text"] != "")))

@@ -53,7 +53,7 @@ class _Group:
     controller: str = ""
 
 
-def _closing(text: str, at: int) -> int:
+def closing(text: str, at: int) -> int:
     """The place after the bracket that closes the one at ``at``; the end of the text if none does."""
     depth = 0
     for m in _BALANCE.finditer(text, at):
@@ -81,7 +81,7 @@ def _chain(text: str, at: int) -> tuple[list[tuple[str, str]], int]:
     """The calls (name, arguments) of a chain and the place after it."""
     calls = []
     while (m := _CALL.match(text, at)) and (not calls or "->" in m[0]):
-        end = _closing(text, m.end() - 1)
+        end = closing(text, m.end() - 1)
         calls.append((m[1], text[m.end() : end - 1]))
         at = end
     return calls, at
@@ -123,7 +123,7 @@ def _controller_name(name: str) -> bool:
 def _handover(closure: str) -> tuple[str, str]:
     """The controller and method to which the body of a closure hands over, or blanks."""
     opened = closure.index("(")
-    params_end = _closing(closure, opened)
+    params_end = closing(closure, opened)
     params, body = closure[opened:params_end], closure[params_end:]
     for rx, _ in _HANDOVER:
         for m in rx.finditer(body):
