@@ -244,7 +244,7 @@ def _plain_bindings(files: DataFrame) -> DataFrame:
 
 def listeners(files: DataFrame) -> DataFrame:
     """(file_id, event, listener, source): from maps, listen calls, attributes, and listeners whose handle method names its event; the first source counts."""
-    inmap = _all(files, r"([\w\\]+)::class\s*=>\s*\[\s*((?:\\?[\w\\]+::class\s*,?\s*)+)\]", ["event", "many"], "$listen")
+    inmap = _all(files, r"([\w\\]+)::class\s*=>\s*\[([^\]]*)\]", ["event", "many"], "$listen")
     a = inmap.select("file_id", "event", F.explode(F.regexp_extract_all("many", F.lit(r"([\w\\]+)::class"), F.lit(1))).alias("listener"), F.lit("map").alias("source"), F.lit(0).alias("prio"))
     b = _all(files, r"Event::listen\(\s*\\?([\w\\]+)::class\s*,\s*\[?\s*\\?([\w\\]+)::class", ["event", "listener"], "Event::listen").select("file_id", "event", "listener", F.lit("call").alias("source"), F.lit(1).alias("prio"))
     hint = _all(files.filter(F.col("path").contains("/Listeners/")), r"function\s+handle\(\s*\\?([A-Z][\w\\]*)\s+\$", ["event"], "handle")
