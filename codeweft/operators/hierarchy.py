@@ -54,7 +54,7 @@ def cycle_breaks(parents: DataFrame) -> DataFrame:
         above = jump.select(F.col("child").alias("up"), F.col("up").alias("up2"), F.col("least").alias("least2"))
         further = jump
         for _ in range(JUMPS):
-            further = further.join(above, "up").select("child", F.col("up2").alias("up"), F.least("least", "least2").alias("least"))
+            further = salted_join(further, above, ["up"], most=rows(jump)).select("child", F.col("up2").alias("up"), F.least("least", "least2").alias("least"))
         further = cut(further, "jump")
         discard(jump)
         jump, steps = further, steps * (JUMPS + 1)
@@ -115,7 +115,7 @@ def euler_intervals(nodes: DataFrame, forest: DataFrame) -> DataFrame:
         F.max(F.when(F.col("el.side") == 1, F.col("w"))).alias("w1"), F.first("tail").alias("root"),
     )
     total = sides.filter(F.col("node") == F.col("root")).select("root", F.col("w0").alias("total"))
-    placed = sides.join(total, "root")
+    placed = salted_join(sides, total, ["root"], most=rows(r))  # one root may hold most nodes
     # a leaf's element covers entry and leave, and sees the depth sum behind itself
     return cut(
         placed.select(
@@ -206,7 +206,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _forest_paths(spans: DataFrame, named: DataFrame) -> DataFrame:
     """(node, path) of every node: the names (node, fqn) from its root down to itself."""
-    up = ancestor_pairs(spans).join(named.withColumnRenamed("node", "ancestor"), "ancestor")
+    pairs = cut(ancestor_pairs(spans), "above")
+    up = salted_join(pairs, named.withColumnRenamed("node", "ancestor"), ["ancestor"], most=rows(pairs))
     above = up.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("ancestor_depth", "fqn"))), lambda x: x["fqn"]).alias("above"))
     return named.join(above, "node", "left").select("node", F.concat(F.coalesce("above", F.array().cast("array<string>")), F.array("fqn")).alias("path"))
 
@@ -325,9 +326,9 @@ def symbol_hierarchy(parsed_classes: DataFrame) -> DataFrame:
     pairs = _closed(only, spans, rest)
     below = pairs.groupBy(F.col("reached").alias("node")).agg(F.count(F.lit(1)).alias("n_descendants"))
     tops = nodes.join(forest.select("child").unionByName(rest.select("child")).select(F.col("child").alias("node")), "node", "left_anti")
-    reached = pairs.join(tops.select(F.col("node").alias("reached"), "fqn"), "reached").groupBy("node").agg(F.collect_set("fqn").alias("tops"))
+    reached = salted_join(pairs, tops.select(F.col("node").alias("reached"), "fqn"), ["reached"], most=rows(pairs)).groupBy("node").agg(F.collect_set("fqn").alias("tops"))
     roots = nodes.select(F.col("node").alias("root"), F.col("fqn").alias("root_fqn"))
-    out = spans.join(nodes, "node").join(_forest_paths(spans, nodes), "node").join(roots, "root").join(below, "node", "left").join(reached, "node", "left")
+    out = salted_join(spans, roots, ["root"], most=rows(spans)).join(nodes, "node").join(_forest_paths(spans, nodes), "node").join(below, "node", "left").join(reached, "node", "left")
     none = F.array().cast("array<string>")
     return out.select(
         "fqn", F.col("root_fqn").alias("root"), "depth", "path",
