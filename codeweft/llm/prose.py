@@ -2,8 +2,9 @@
 
 Gradient-boosted trees over the statistics of each document are trained on weak labels: texts
 that plain rules take for prose against texts that rules take for structural junk, and against
-shuffled and reversed copies of the prose, as those differ from it in order alone. The margin
-is turned into a probability by a logistic curve fitted to a hand-checked holdout.
+shuffled and reversed copies of the prose, as those differ from it in order alone. Pairs of words,
+limits of the bins and trees come from all documents. The margin is turned into a probability by
+a logistic curve fitted to a hand-checked holdout.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -20,19 +21,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.boosting import Boosted
+from codeweft.llm.boosting import BINS, Block, Boosted, in_memory
 from codeweft.llm.prose_holdout import HOLDOUT
 from codeweft.llm.prose_seed import SEED
+from codeweft.session import cut, discard, seen
 
-#: Documents of the training sample, at most about so many, taken by a hash of the key.
-SAMPLE = 8_000
-#: Pairs of words kept from the sample's prose as those of readable order.
-PAIRS = 60_000
+#: Up to so many training rows the trees grow in the driver, beyond in a job a level; the trees are the same.
+DRIVER_ROWS = 2_000_000
 TREES, DEPTH = 30, 4
+#: A statistic is kept as one of so many cells of equal width between 0 and 1.
+CELLS = 4096
 FEATURES = (
     "log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "end_punctuation", "common_share", "common_pairs", "known_pairs", "prose_block_share", "known_block_share",
     "words_per_line", "distinct_share", "repeated_trigrams", "identifier_share", "upper_share", "bullet_share", "space_ratio", "sentence_rate",
 )
+#: How the statistics that are no shares get between 0 and 1: x / width, or x / (x + half) where they have no end.
+_WIDTH, _HALF = {"common_pairs": 5.0, "identifier_share": 2.0}, {"log_words": 5.0, "mean_word_length": 5.0, "words_per_line": 10.0}
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: words of running text: no parts of names, paths and calls
 _RUNNING = re.compile(r"(?<![\w/\\$@#.>])[^\W\d_]+(?:['’][^\W\d_]+)*(?![\w/\\(]|\.\w|->|::)")
@@ -44,24 +48,39 @@ _SENTENCE = re.compile(r"(?:^|[.!?]['\")»”]?\s+)(?:[>#*/|\s]*)[A-ZÀ-ÖØ-Þ
 
 
 class Lexicon:
-    """Frequent words by language and known pairs of words; both of bounded size."""
+    """Frequent words by language, and the pairs of words that are known.
 
-    def __init__(self, common: list[tuple[str, str]], pairs: frozenset[tuple[str, str]] = frozenset()) -> None:
+    A pair is known to a text if two other texts have it: ``pairs`` are known to the texts that were not
+    counted, ``firm``, which a third text has, also to those that were.
+    """
+
+    def __init__(self, common: list[tuple[str, str]], pairs: frozenset[tuple[str, str]] = frozenset(), firm: frozenset[tuple[str, str]] = frozenset()) -> None:
         langs = sorted({lang for lang, _ in common})
         self.n = len(langs)
         self.mask: dict[str, int] = {}
         for lang, word in common:
             w = word.lower()
             self.mask[w] = self.mask.get(w, 0) | (1 << langs.index(lang))
-        self.pairs = pairs
+        self.pairs, self.firm = pairs, firm
+
+    def with_pairs(self, pairs: frozenset[tuple[str, str]], firm: frozenset[tuple[str, str]]) -> Lexicon:
+        other = Lexicon([], pairs, firm)
+        other.n, other.mask = self.n, self.mask
+        return other
+
+    def thin(self) -> Lexicon:
+        """With a third of the pairs, as a text about something else would know them."""
+        kept = frozenset(p for p in self.pairs if crc32(" ".join(p).encode()) % 3 == 0)
+        return self.with_pairs(kept, kept & self.firm)
 
     def common(self, words: list[str]) -> np.ndarray:
         """Whether each word is frequent in the language with most frequent words in the text."""
-        m = np.fromiter((self.mask.get(w, 0) for w in words), dtype=np.int64, count=len(words))
+        get = self.mask.get
+        m = np.array([get(w, 0) for w in words], dtype=np.int64)
         if not len(m) or not self.n:
             return np.zeros(len(m), dtype=bool)
-        by = [(m >> k) & 1 for k in range(self.n)]
-        return max(by, key=lambda x: int(x.sum())).astype(bool)
+        by = (m >> np.arange(self.n)[:, None]) & 1
+        return by[by.sum(axis=1).argmax()].astype(bool)
 
 
 class _Tokens(dict):
@@ -90,7 +109,12 @@ def running_words(text: str) -> list[str]:
 
 
 def statistics(text: str, lex: Lexicon) -> list[float]:
-    """The FEATURES of one text that is not blank."""
+    """The FEATURES of one text that is not blank and was not counted for the pairs."""
+    return _knowing(*_plain(text, lex), lex.pairs)
+
+
+def _plain(text: str, lex: Lexicon) -> tuple[list[float], list[str], list[tuple[int, int, int]], int]:
+    """The FEATURES of a text without known pairs, and for :func:`_knowing` its words, its lines of prose as (first word, words, letters), and its length."""
     chars = len(text)
     lines = [x for x in _LINES.split(text) if x.strip()] or [""]
     words: list[str] = []
@@ -112,33 +136,59 @@ def statistics(text: str, lex: Lexicon) -> list[float]:
     common = lex.common(words)
     c = float(common.mean()) if n else 0.0
     cc = float((common[:-1] & common[1:]).mean()) if n > 1 else 0.0
-    known = np.fromiter(map(lex.pairs.__contains__, zip(words, words[1:])), dtype=bool, count=max(0, n - 1))
     # blocks: the words of each run of lines, cut where a line has hardly a frequent word
-    at = prose = well = 0
-    upto, known_upto = [0, *common.cumsum().tolist()], [0, *known.cumsum().tolist()]
+    at = prose = 0
+    blocks = []
+    upto = [0, *common.cumsum().tolist()]
     for line, k in zip(lines, per_line):
         if k >= 3 and upto[at + k] - upto[at] >= 0.2 * k:
             prose += len(line)
-            if k > 3 and known_upto[at + k - 1] - known_upto[at] >= 0.15 * (k - 1):
-                well += len(line)
+            if k > 3:
+                blocks.append((at, k, len(line)))
         at += k
     total = sum(map(len, lines)) or 1
     repeated = max(0, n - 2) - len(set(zip(words, words[1:], words[2:])))
-    return [
+    x = [
         math.log1p(n_raw_), letters / n_raw, (solid - letters - digits) / solid, digits / solid, sum(x.rstrip().endswith(_ENDS) for x in lines) / len(lines), c,
-        min(5.0, cc / (c * c)) if c > 0 else 0.0, float(known.mean()) if len(known) else 0.0, prose / total, well / total, min(200.0, n / len(lines)),
+        min(5.0, cc / (c * c)) if c > 0 else 0.0, 0.0, prose / total, 0.0, min(200.0, n / len(lines)),
         len(set(words)) / n if n else 0.0, repeated / max(1, n - 2), min(2.0, idents / n_raw), upper / n_raw,
         sum(_BULLET.match(x) is not None for x in lines) / len(lines), spaces / max(1, chars), min(1.0, 10 * len(_SENTENCE.findall(text)) / max(1, n)),
     ]
+    return x, words, blocks, total
 
 
 _AT = {f: i for i, f in enumerate(FEATURES)}
 
 
+def _knowing(x: list[float], words: list[str], blocks: list[tuple[int, int, int]], total: int, pairs: frozenset[tuple[str, str]]) -> list[float]:
+    known = np.fromiter(map(pairs.__contains__, zip(words, words[1:])), dtype=bool, count=max(0, len(words) - 1))
+    upto = [0, *known.cumsum().tolist()]
+    out = list(x)
+    out[_AT["known_pairs"]] = float(known.mean()) if len(known) else 0.0
+    out[_AT["known_block_share"]] = sum(size for at, k, size in blocks if upto[at + k - 1] - upto[at] >= 0.15 * (k - 1)) / total
+    return out
+
+
+def cells(x: list[list[float]]) -> np.ndarray:
+    """The cell of each statistic; it grows with the statistic, so a limit between cells is one between values."""
+    u = np.array(x, dtype=float).reshape(-1, len(FEATURES))
+    for f, w in _WIDTH.items():
+        u[:, _AT[f]] /= w
+    for f, h in _HALF.items():
+        u[:, _AT[f]] /= u[:, _AT[f]] + h
+    return (np.clip(u, 0, 1) * (CELLS - 1)).astype(np.uint16)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, dtype=np.uint16).reshape(-1, len(FEATURES))
+
+
 def looks_like_prose(x: list[float]) -> bool:
     """A rule without pairs of words: running sentences of frequent words with ends and beginnings."""
     g = lambda f: x[_AT[f]]
-    return g("common_share") >= 0.24 and g("prose_block_share") >= 0.8 and g("symbol_ratio") < 0.12 and g("sentence_rate") >= 0.35 and g("log_words") > 2.5 and g("distinct_share") > 0.25 and g("repeated_trigrams") < 0.5
+    # a long text comes back to its words and phrases
+    varied = (g("distinct_share") > 0.25 and g("repeated_trigrams") < 0.5) or (g("distinct_share") * math.expm1(g("log_words")) > 60 and g("repeated_trigrams") <= 0.8)
+    return g("common_share") >= 0.24 and g("prose_block_share") >= 0.8 and g("symbol_ratio") < 0.12 and g("sentence_rate") >= 0.35 and g("log_words") > 2.5 and varied
 
 
 def looks_like_junk(x: list[float]) -> bool:
@@ -192,25 +242,25 @@ def document_statistics(documents: DataFrame, common_words: DataFrame, doc_id: s
 
 
 class ProseModel:
-    """The lexicon, the trees, the two numbers of the logistic curve, and its Brier score on texts it was not fitted to."""
+    """The lexicon, the trees over cells, the two numbers of the logistic curve, and its Brier score on texts it was not fitted to."""
 
     def __init__(self, lex: Lexicon, trees: Boosted, slope: float, shift: float, brier: float) -> None:
         self.lex, self.trees, self.slope, self.shift, self.brier = lex, trees, slope, shift, brier
 
-    def probabilities(self, x: list[list[float]]) -> np.ndarray:
-        return _curve(self.trees.margins(np.array(x).reshape(-1, len(FEATURES))), self.slope, self.shift)
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Of rows of cells."""
+        return _curve(self.trees.margins(x), self.slope, self.shift)
 
-    def score(self, rows: DataFrame, doc_id: str) -> DataFrame:
-        """(doc_id, probability) of rows with a text that is not blank, in one map-side pass."""
-        sent = rows.sparkSession.sparkContext.broadcast(self)  # of bounded size: PAIRS pairs, frequent words, trees
+    def score(self, table: DataFrame, doc_id: str) -> DataFrame:
+        """(doc_id, probability) of the documents of a table of :func:`_measured`, in one map-side pass."""
+        one = ProseModel(Lexicon([]), self.trees, self.slope, self.shift, self.brier)  # the pairs are in the cells already
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            model = sent.value
             for b in batches:
-                yield pd.DataFrame({doc_id: b[doc_id].values, "probability": model.probabilities([statistics(t, model.lex) for t in b["text"]])})
+                yield pd.DataFrame({doc_id: b[doc_id].values, "probability": one.probabilities(_unpacked(b"".join(b["cells"])))})
 
-        kind = rows.schema[doc_id].dataType.simpleString()
-        return rows.mapInPandas(run, f"`{doc_id}` {kind}, probability double")
+        kind = table.schema[doc_id].dataType.simpleString()
+        return table.filter("labels is null").select(doc_id, "cells").mapInPandas(run, f"`{doc_id}` {kind}, probability double")
 
 
 def _curve(margins: np.ndarray, slope: float, shift: float) -> np.ndarray:
@@ -251,79 +301,160 @@ def cross_fitted(margins: np.ndarray, labels: np.ndarray, folds: int = 5) -> flo
     return float(((p - labels) ** 2).mean())
 
 
-def train(documents: DataFrame, common_words: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> ProseModel:
-    """Fits the model on a bounded sample of the documents and a few texts written by hand.
+def train(documents: DataFrame, common_words: DataFrame, doc_id: str = "doc_id", text: str = "text") -> ProseModel:
+    """Fits the model on all documents and a few texts written by hand.
 
-    About ``sample`` documents are taken by a hash of their key, alike at every run. Only word
-    pairs of the sample's prose, at most PAIRS, and the sample's statistics reach the driver. The
-    texts written by hand see to it that both classes are there whatever the sample holds.
+    Two passes over the texts: the first counts the pairs of words of the prose, the second gives the
+    training rows. The pairs that two texts have come to the driver and go to every task. The
+    texts written by hand see to it that both classes are there whatever the documents hold.
     """
+    model, table = _fit(documents, common_words, doc_id, text)
+    discard(table)
+    return model
+
+
+def _fit(documents: DataFrame, common_words: DataFrame, doc_id: str, text: str) -> tuple[ProseModel, DataFrame]:
+    """The model, and the table of :func:`_measured` it was fitted to."""
     rows = _text_rows(documents, doc_id, text)
-    n = documents.count()
-    if n > sample:
-        rows = rows.filter(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(math.ceil(n / sample))) == 0)
+    lex = _lexicon(rows, common_words)
+    table = _measured(rows, lex, doc_id)
+    hand, said = cells([statistics(t, lex) for t, _ in SEED]), np.array([float(y) for _, y in SEED])
+    n, positive = seen(table, "n") or 0, seen(table, "positive") or 0
+    if n <= DRIVER_ROWS:
+        got = table.filter("labels is not null").select("cells", "labels").toPandas()
+        x, y = np.concatenate([_unpacked(b"".join(got["cells"])), hand]), np.concatenate([_labels(b"".join(got["labels"])), said])
+        limits = _limits(_cell_counts(x, y))
+        sums = in_memory([Block(_binned(x, limits), y)])
+    else:
+        limits = _limits(_summed(table, _cell_counts, hand, said))
+        sums = lambda *tree: _summed(table, lambda x, y: Block(_binned(x, limits), y).histograms(*tree), hand, said)
+    trees = Boosted(TREES, DEPTH).boost(limits, float((positive + said.sum()) / (n + len(said))), sums)
+    margins, labels = trees.margins(cells([statistics(t, lex) for t, _ in HOLDOUT])), np.array([float(y) for _, y in HOLDOUT])
+    return ProseModel(lex, trees, *_platt(margins, labels), cross_fitted(margins, labels)), table
+
+
+def _lexicon(rows: DataFrame, common_words: DataFrame) -> Lexicon:
+    """The frequent words, and the pairs of words in the documents that look like prose and in those written by hand."""
     plain = Lexicon([tuple(r) for r in common_words.select("lang", "word").na.drop().collect()])
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count: Counter = Counter()
         for b in batches:
             for t in b["text"]:
-                if looks_like_prose(statistics(t, plain)):
-                    w = running_words(t)
-                    count.update(set(zip(w, w[1:])))
-        yield pd.DataFrame([(a, b, k) for (a, b), k in count.items()], columns=["a", "b", "n"])
-
-    # pairs come from one half and labels from the other, lest every prose of the training knew its own pairs
-    half = F.pmod(F.xxhash64(F.col(doc_id), F.lit(1)), F.lit(2))
-    counted = rows.filter(half == 0).mapInPandas(pairs, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    top = {(r["a"], r["b"]) for r in counted.filter("n > 1").orderBy(F.desc("n"), "a", "b").limit(PAIRS).select("a", "b").collect()}
+                x, words, *_ = _plain(t, plain)
+                if looks_like_prose(x):
+                    count.update(set(zip(words, words[1:])))
+                if len(count) > 500_000:
+                    yield pd.DataFrame([(*p, k) for p, k in count.items()], columns=["a", "b", "n"])
+                    count.clear()
+        yield pd.DataFrame([(*p, k) for p, k in count.items()], columns=["a", "b", "n"])
+
+    counted = rows.mapInPandas(pairs, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    got = counted.filter("n > 1").toPandas()
+    known = set(zip(got["a"], got["b"]))
+    firm = {p for p, n in zip(zip(got["a"], got["b"]), got["n"]) if n > 2}
     for t, prose in SEED:
         if prose:
             w = running_words(t)
-            top.update(zip(w, w[1:]))
-    lex = Lexicon([], frozenset(top))
-    lex.n, lex.mask = plain.n, plain.mask
-    # each text counts once more with a third of the pairs, as a text about something else would know them
-    thin = Lexicon([], frozenset(p for p in top if crc32(" ".join(p).encode()) % 3 == 0))
-    thin.n, thin.mask = plain.n, plain.mask
-
-    def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known.update(zip(w, w[1:]))
+            firm.update(zip(w, w[1:]))
+    return plain.with_pairs(frozenset(known), frozenset(firm))
+
+
+def _measured(rows: DataFrame, lex: Lexicon, doc_id: str) -> DataFrame:
+    """(doc_id, cells, labels, n, positive), written once: a row with null labels for every text, and rows without a key that pack the training rows of many.
+
+    ``n`` and ``positive`` count training rows and those labelled as prose; their sums are taken along.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast((lex, lex.thin()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        full, thin = sent.value
         for b in batches:
-            out = [row for t in b["text"] for known in (lex, thin) for row in _weak_labels(t, known)]
-            yield pd.DataFrame(out, columns=["statistics", "label"])
-
-    got = rows.filter(half == 1).mapInPandas(labelled, "statistics array<double>, label double").toPandas()
-    data = [(list(x), y) for x, y in zip(got["statistics"], got["label"])] + [(statistics(t, lex), float(y)) for t, y in SEED]
-    # tasks end in any order, and a sum of many numbers depends on it
-    data.sort()
-    trees = Boosted(TREES, DEPTH).fit(np.array([x for x, _ in data]), np.array([y for _, y in data]))
-    margins, labels = trees.margins(np.array([statistics(t, lex) for t, _ in HOLDOUT])), np.array([float(y) for _, y in HOLDOUT])
-    return ProseModel(lex, trees, *_platt(margins, labels), cross_fitted(margins, labels))
-
-
-def _weak_labels(t: str, lex: Lexicon) -> Iterator[tuple[list[float], float]]:
-    """Training rows of one text: itself where a rule is sure of it, and copies of prose that are prose or junk for sure."""
-    x = statistics(t, lex)
-    if looks_like_prose(x):
-        yield x, 1.0
-        bad = disordered(t, len(t))
-        if bad.strip():
-            yield statistics(bad, lex), 0.0
-        # prose may be short, without capitals and ends, or in one line
-        bare = [" ".join(_WORD.findall(line)).lower() for line in _LINES.split(t)]
-        for other in (" ".join(bare), "\n".join(bare), _LINES.split(t)[0]):
-            if other.strip():
-                yield statistics(other, lex), 1.0
-    elif looks_like_junk(x):
-        yield x, 0.0
+            for at in range(0, len(b), 1000):
+                part = b.iloc[at : at + 1000]
+                own, training = [], []
+                for t in part["text"]:
+                    x, labelled = _weak_labels(t, full, thin)
+                    own.append(x)
+                    training += labelled
+                yield pd.DataFrame({doc_id: part[doc_id].values, "cells": [r.tobytes() for r in cells(own)], "labels": None, "n": 0, "positive": 0})
+                if training:
+                    y = np.array([y for _, y in training], dtype=np.uint8)
+                    yield pd.DataFrame({doc_id: [None], "cells": [cells([x for x, _ in training]).tobytes()], "labels": [y.tobytes()], "n": [len(y)], "positive": [int(y.sum())]})
+
+    kind = rows.schema[doc_id].dataType.simpleString()
+    out = rows.mapInPandas(run, f"`{doc_id}` {kind}, cells binary, labels binary, n int, positive int")
+    return cut(out, "measured", n=F.sum("n"), positive=F.sum("positive"))
+
+
+def _labels(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, dtype=np.uint8).astype(float)
+
+
+def _cell_counts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows by feature and cell."""
+    return np.stack([np.bincount(x[:, j], minlength=CELLS) for j in range(x.shape[1])]).astype(float)
+
+
+def _limits(counts: np.ndarray) -> list[np.ndarray]:
+    """The quantiles of each feature over all counted rows, as cells."""
+    return [np.unique(np.searchsorted(c.cumsum(), np.arange(1, BINS) / BINS * c.sum())) for c in counts]
+
+
+def _binned(x: np.ndarray, limits: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(limit, np.arange(CELLS), "left").astype(np.uint8)[x[:, j]] for j, limit in enumerate(limits)], axis=1)
+
+
+def _summed(table: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``of`` the rows (x, y) plus that of every packed row of the table. All are whole numbers, so no order matters."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = 0
+        for b in batches:
+            for c, labels in zip(b["cells"], b["labels"]):
+                out = out + of(_unpacked(c), _labels(labels)).ravel()
+        at = np.flatnonzero(out) if np.ndim(out) else np.zeros(0, dtype=int)
+        yield pd.DataFrame({"place": at, "n": out[at] if len(at) else np.zeros(0)})
+
+    parts = table.filter("labels is not null").select("cells", "labels").mapInPandas(run, "place int, n double")
+    got = parts.groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    out = of(x, y)
+    total = out.ravel()
+    total[got["place"].to_numpy(dtype=int)] += got["n"].to_numpy(dtype=float)
+    return total.reshape(out.shape)
+
+
+def _weak_labels(t: str, lex: Lexicon, thin: Lexicon) -> tuple[list[float], list[tuple[list[float], int]]]:
+    """The FEATURES of one text, and its training rows with labels: itself where a rule is sure of it, and copies of prose that are prose or junk for sure.
+
+    Each counts once more with a third of the pairs, as a text about something else would know them.
+    A text that looks like prose was counted for the pairs, so it and its copies know firm pairs only.
+    """
+    plain = _plain(t, lex)
+    if not looks_like_prose(plain[0]):
+        x = _knowing(*plain, lex.pairs)
+        return x, [(x, 0), (_knowing(*plain, thin.pairs), 0)] if looks_like_junk(x) else []
+    copies = [(plain, 1)]
+    bad = disordered(t, len(t))
+    if bad.strip():
+        copies.append((_plain(bad, lex), 0))
+    # prose may be short, without capitals and ends, or in one line
+    bare = [" ".join(_WORD.findall(line)).lower() for line in _LINES.split(t)]
+    for other in (" ".join(bare), "\n".join(bare), _LINES.split(t)[0]):
+        if other.strip():
+            copies.append((_plain(other, lex), 1))
+    return _knowing(*plain, lex.firm), [(_knowing(*c, known.firm), y) for c, y in copies for known in (lex, thin)]
 
 
 def prose_scores(documents: DataFrame, common_words: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, probability): of being natural prose, for every text that is not blank.
 
-    Whole texts are read; statistics and scores come from one map-side pass. Repeated rows repeat.
+    Whole texts are read twice, once for the pairs of words and once for their statistics and the
+    training rows. Repeated rows repeat.
     """
-    return train(documents, common_words, doc_id, text).score(_text_rows(documents, doc_id, text), doc_id)
+    model, table = _fit(documents, common_words, doc_id, text)
+    return model.score(table, doc_id)
 
 
 def not_prose(documents: DataFrame, common_words: DataFrame) -> DataFrame:

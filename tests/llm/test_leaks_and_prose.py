@@ -209,3 +209,44 @@ def test_unicode_blanks_are_blank(spark):
     docs = spark.createDataFrame([(1, "\xa0"), (2, " \n"), (3, "a;b\n1;2\n3;4\n5;6")], "doc_id long, text string")
     common = spark.createDataFrame([("en", "the")], "lang string, word string")
     assert {r["doc_id"] for r in prose.prose_scores(docs, common).collect()} == {3}
+
+
+def test_pairs_come_from_all_documents(spark, corpus):
+    _, common, _ = corpus
+    names = [(f"heron{a}", f"gravel{a}") for a in "abcdefghij"]
+    r = random.Random(8)
+    rare = [f"{make_prose(r)} The {a} {b} waits for the other step, and then it stops." for a, b in names for _ in range(3)]
+    rare += [f"{make_prose(r)} The osprey pebble waits for the other step, and then it stops." for _ in range(2)]
+    docs = spark.createDataFrame([(n, rare[n // 200] if n % 200 == 0 and n // 200 < len(rare) else ";;") for n in range(8_400)], "doc_id long, text string")
+    lex = prose.train(docs, common).lex
+    assert set(names) <= lex.pairs and set(names) <= lex.firm
+    assert ("osprey", "pebble") in lex.pairs - lex.firm
+
+
+def test_trees_are_the_same_in_jobs_and_in_the_driver(corpus, monkeypatch):
+    docs, common, _ = corpus
+    monkeypatch.setattr(prose, "TREES", 3)
+    here = {r["doc_id"]: r["probability"] for r in prose.prose_scores(docs.repartition(2), common).collect()}
+    monkeypatch.setattr(prose, "DRIVER_ROWS", 0)
+    assert here == {r["doc_id"]: r["probability"] for r in prose.prose_scores(docs.repartition(5), common).collect()} and len(here) == 400
+
+
+def test_sums_over_blocks_do_not_depend_on_the_blocks():
+    import numpy as np
+
+    from codeweft.llm.boosting import Block, Boosted, bins, in_memory
+
+    r = np.random.default_rng(2)
+    x, y = r.random((900, 4)), (r.random(900) < 0.4).astype(float)
+    limits = [np.linspace(0, 1, 20)] * 4
+    one, many = (Boosted(9, 4).boost(limits, float(y.mean()), in_memory(Block(bins(a, limits), b) for a, b in parts)) for parts in ([(x, y)], [(x[k::7], y[k::7]) for k in range(7)]))
+    assert np.array_equal(one.margins(x), many.margins(x))
+
+
+def test_long_prose_comes_back_to_its_words():
+    lex = prose.Lexicon(COMMON)
+    r = random.Random(3)
+    text = " ".join(make_prose(r) for _ in range(5))
+    x = prose.statistics(text, lex)
+    assert x[prose.FEATURES.index("distinct_share")] < 0.25 and prose.looks_like_prose(x)
+    assert not prose.looks_like_prose(prose.statistics("The nightly job reads the rows in order. " * 100, lex))
