@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from codeweft.operators.graph import mode_of, top_n
-from codeweft.session import cut, discard
+from codeweft.operators.labels import labelled
+from codeweft.session import cut, discard, rows as rows_of, seen
+from codeweft.skew import global_rank, salted_join
+
+#: Label propagation over at most so many links runs in one task; it changes the plan, not the rows.
+TASK_LINKS = 5_000_000
 
 
 def co_change(changes: DataFrame, group: str, item: str, min_strength: float = 0.3, max_items: int | None = None) -> DataFrame:
@@ -109,25 +114,54 @@ def communities(edges: DataFrame) -> DataFrame:
     A node takes the label with most edges to it, its own counting once more, the least on ties.
     Of the nodes that would move only those move in a round whose hash, new each round, is the
     least among their neighbours that would. No two neighbours move at once, so each move adds
-    to the edges within communities and the rounds come to an end by themselves.
+    to the edges within communities and the rounds come to an end by themselves. The nodes are
+    numbered in the order of their names; up to ``TASK_LINKS`` links all rounds are gone over in
+    one task, more in jobs, with the same rows.
+    """
+    named = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    named = cut(named.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")), "links")
+    nodes = cut(global_rank(named.select(F.explode(F.array("a", "b")).alias("name")).distinct(), [], [F.col("name")], "node").select("name", (F.col("node") - 1).alias("node")), "nodes")
+    links = named
+    for end in ("a", "b"):
+        links = salted_join(links, nodes.select(F.col("name").alias(end), F.col("node").alias(f"_{end}")), [end], most=rows_of(named)).drop(end)
+    links = cut(links.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "w"), "links")
+    discard(named)
+    if rows_of(links) <= TASK_LINKS:
+        both = links.unionByName(nodes.select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.xxhash64("name").alias("w")))
+        label = cut(both.coalesce(1).mapInArrow(labelled, "node long, community long"), "label")
+    else:
+        label = _labels_in_jobs(links, nodes)
+    discard(links)
+    label = label.join(nodes, "node").select("name", F.col("community").alias("node")).withColumnRenamed("name", "_own")
+    return salted_join(label, nodes, ["node"]).select(F.col("_own").alias("node"), F.col("name").alias("community"))
+
+
+def _labels_in_jobs(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, community) of numbered nodes: the rounds of :func:`communities`, each in jobs.
+
+    After the first round only the nodes beside one that moved, and that one, are counted again.
     """
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b")
-    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")), "links")
-    label = cut(both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")), "label")
-    r = 0
+    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "both")
+    label = cut(nodes.select("node", "name", F.col("node").alias("community"), F.col("node").alias("to")), "label")
+    beside, r = None, 0
     while True:
-        votes = both.join(label.select(F.col("node").alias("b"), "community"), "b").select(F.col("a").alias("node"), "community", "w")
-        votes = votes.unionByName(label.select("node", "community", F.lit(1).cast("long").alias("w")))
+        near = both if beside is None else both.join(beside.select(F.col("node").alias("a")), "a", "left_semi")
+        own = label if beside is None else label.join(beside, "node", "left_semi")
+        votes = near.join(label.select(F.col("node").alias("b"), "community"), "b").select(F.col("a").alias("node"), "community", "w")
+        votes = votes.unionByName(own.select("node", "community", F.lit(1).cast("long").alias("w")))
         best = votes.groupBy("node", "community").agg(F.sum("w").alias("w")).groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("x"))
-        would = cut(label.join(best.select("node", F.col("x.community").alias("to")), "node").filter("to <> community").select("node", "to", F.xxhash64("node", F.lit(r)).alias("h")), "would")
-        if would.isEmpty():
-            discard(would, both)
-            return label.select("node", "community")
-        beside = both.join(would.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(would.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
-        held = beside.filter("hb < ha or (hb = ha and b < a)").select(F.col("a").alias("node")).distinct()
-        new = cut(label.join(would.join(held, "node", "left_anti").select("node", "to"), "node", "left").select("node", F.coalesce("to", "community").alias("community")), "label")
-        discard(label, would)
-        label = new
+        new = cut(label.join(best.select("node", F.col("x.community").alias("best")), "node", "left").select("node", "name", "community", F.coalesce("best", "to").alias("to")), "label", would=F.count_if(F.expr("to <> community")))
+        discard(label, beside)
+        if seen(new, "would") == 0:
+            discard(both)
+            return new.select("node", "community")
+        would = new.filter("to <> community").select("node", "to", F.xxhash64("name", F.lit(r)).alias("h"))
+        met = both.join(would.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(would.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
+        held = met.filter("hb < ha or (hb = ha and b < a)").select(F.col("a").alias("node")).distinct()
+        moved = cut(would.join(held, "node", "left_anti").select("node", "to"), "moved")
+        label = cut(new.join(moved.select("node", F.col("to").alias("taken")), "node", "left").select("node", "name", F.coalesce("taken", "community").alias("community"), "to"), "label")
+        beside = cut(both.join(moved.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).unionByName(moved.select("node")).distinct(), "beside")
+        discard(new, moved)
         r += 1
 
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,42 @@ def test_communities_cover_the_graph_and_beat_single_nodes(frame):
     assert analytics.communities(frame([], "src string, dst string")).count() == 0
 
 
+def test_communities_follow_their_rule_without_a_job_a_round(spark, frame, monkeypatch):
+    r = random.Random(3)
+    name = lambda: f"{'aZé😀'[r.randrange(4)]}{r.randrange(12)}"
+    links = [(name(), name()) for _ in range(90)] + [("hub", f"a{i}") for i in range(12)] + [("p", "q"), ("q", "p"), ("s", "s"), (None, "p")]
+    e = frame(links, "src string, dst string")
+    beside = {}
+    for a, b in links:
+        if a and a != b:
+            beside.setdefault(a, []).append(b)
+            beside.setdefault(b, []).append(a)
+    turns = 60
+    hashes = {x["n"]: x["h"] for x in frame([(n,) for n in beside], "n string").select("n", F.array(*[F.xxhash64("n", F.lit(i)) for i in range(turns)]).alias("h")).collect()}
+    want, n = {x: x for x in beside}, 0
+    while True:
+        would = {}
+        for x, near in beside.items():
+            votes = Counter([*(want[y] for y in near), want[x]])
+            to = min(votes, key=lambda c: (-votes[c], c.encode()))
+            if to != want[x]:
+                would[x] = to
+        if not would:
+            break
+        order = lambda x: (hashes[x][n], x.encode())
+        want.update({x: to for x, to in would.items() if all(order(x) < order(y) for y in beside[x] if y in would)})
+        n += 1
+    assert 2 < n < turns
+    steps = []
+    whole = analytics.cut
+    monkeypatch.setattr(analytics, "cut", lambda df, *a, **k: steps.append(a) or whole(df, *a, **k))
+    assert {x["node"]: x["community"] for x in analytics.communities(e).collect()} == want
+    assert len(steps) <= 4 < 2 * n
+    monkeypatch.setattr(analytics, "TASK_LINKS", 0)
+    got = analytics.communities(e).collect()
+    assert len(steps) > 8 and len(got) == len(want) and {x["node"]: x["community"] for x in got} == want
+
+
 def test_asof_takes_the_nearest_begin_first(frame):
     spans = frame([("f", 1, 100, "outer"), ("f", 10, 20, "inner"), (None, 1, 9, "none")], "file string, a int, z int, name string")
     sites = frame([(1, "f", 5), (2, "f", 15), (3, "f", 30), (4, "g", 5), (5, None, 5), (6, "f", None), (7, "f", 10)], "id int, file string, at int")
