@@ -119,12 +119,12 @@ def communities(edges: DataFrame) -> DataFrame:
     one task, more in jobs, with the same rows.
     """
     named = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    named = cut(named.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")), "links")
+    named = cut(named, "edges")
     nodes = cut(global_rank(named.select(F.explode(F.array("a", "b")).alias("name")).distinct(), [], [F.col("name")], "node").select("name", (F.col("node") - 1).alias("node")), "nodes")
     links = named
     for end in ("a", "b"):
         links = salted_join(links, nodes.select(F.col("name").alias(end), F.col("node").alias(f"_{end}")), [end], most=rows_of(named)).drop(end)
-    links = cut(links.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "w"), "links")
+    links = cut(links.groupBy(F.col("_a").alias("a"), F.col("_b").alias("b")).agg(F.count(F.lit(1)).alias("w")), "links")
     discard(named)
     if rows_of(links) <= TASK_LINKS:
         both = links.unionByName(nodes.select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.xxhash64("name").alias("w")))

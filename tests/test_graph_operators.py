@@ -1,10 +1,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeweft.operators import analytics, graph, search, traverse
+from codeweft.operators import analytics, graph, labels, search, traverse
 from codeweft.functions import naming
 
 NODE, EDGE = "node_id string, label string, name string", "src string, rel string, dst string, line int"
@@ -127,6 +128,16 @@ def test_communities_follow_their_rule_without_a_job_a_round(spark, frame, monke
     assert len(steps) > 8 and len(got) == len(want) and {x["node"]: x["community"] for x in got} == want
 
 
+def test_parts_of_a_round_change_no_label(monkeypatch):
+    r = np.random.default_rng(2)
+    a, b = np.unique(np.sort(r.integers(0, 200, (260, 2)), axis=1), axis=0).T
+    a, b = a[a < b], b[a < b]
+    w, seed = r.integers(1, 4, len(a)), r.integers(-(2**63), 2**63 - 1, 200)
+    whole = labels.propagate(a, b, w, seed)
+    monkeypatch.setattr(labels, "PART", 7)
+    assert (labels.propagate(a, b, w, seed) == whole).all() and 1 < len(set(whole)) < 200
+
+
 def test_asof_takes_the_nearest_begin_first(frame):
     spans = frame([("f", 1, 100, "outer"), ("f", 10, 20, "inner"), (None, 1, 9, "none")], "file string, a int, z int, name string")
     sites = frame([(1, "f", 5), (2, "f", 15), (3, "f", 30), (4, "g", 5), (5, None, 5), (6, "f", None), (7, "f", 10)], "id int, file string, at int")
